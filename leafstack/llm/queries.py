@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafstack.llm import mixing, packing, split
+from leafstack.llm import knn, mixing, packing, split
 from leafstack.session import read_table as read
 
 
@@ -21,6 +21,16 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_texts(read(spark, root, "parsed_documents"), read(spark, root, "summarization_config"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of passages with a cosine of 0.90 or more, one among the other's 10 most similar."""
+    return knn.similar_pairs(p6_neighbours(spark, root), 0.9)
+
+
+def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The 10 most similar other passages of every passage."""
+    return knn.most_similar(knn.decode_passages(read(spark, root, "history")), 10)
+
+
 def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     """All documents in containers, for each setting."""
     return packing.pack_lengths(packing.token_lengths(read(spark, root, "documents")), read(spark, root, "pack_settings"))
