@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafstack.llm import knn, mixing, packing, split
+from leafstack.llm import knn, mixing, packing, split, truncation
 from leafstack.session import read_table as read
 
 
@@ -21,6 +21,21 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_texts(read(spark, root, "parsed_documents"), read(spark, root, "summarization_config"))
 
 
+def p4_records(spark: SparkSession, root: str) -> DataFrame:
+    """Every result with the evidence that its summary was cut off."""
+    return truncation.find_truncated(read(spark, root, "pipeline_results"), settings=read(spark, root, "summarization_config"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Results whose summary breaks off."""
+    return p4_records(spark, root).where("truncated").select("result_id").distinct()
+
+
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Rate of cut summaries per summary method."""
+    return truncation.truncation_rates(p4_records(spark, root))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of passages with a cosine of 0.90 or more, one among the other's 10 most similar."""
     return knn.similar_pairs(p6_neighbours(spark, root), 0.9)
