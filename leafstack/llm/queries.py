@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafstack.llm import knn, mixing, packing, split, truncation
+from leafstack.llm import encoding, knn, mixing, packing, split, truncation
 from leafstack.session import read_table as read
 
 
@@ -36,6 +36,16 @@ def p4_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncation_rates(p4_records(spark, root))
 
 
+def p5_records(spark: SparkSession, root: str) -> DataFrame:
+    """Every parsed document with its restored text."""
+    return encoding.repair_encoding(read(spark, root, "parsed_documents"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with a stretch from a wrong decoding."""
+    return p5_records(spark, root).where("garbled").select("doc_id").distinct()
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of passages with a cosine of 0.90 or more, one among the other's 10 most similar."""
     return knn.similar_pairs(p6_neighbours(spark, root), 0.9)
