@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafstack.llm import encoding, knn, mixing, packing, split, truncation
+from leafstack.llm import encoding, knn, mixing, packing, split, toxicity, truncation
 from leafstack.session import read_table as read
 
 
@@ -77,6 +77,21 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_report(mixing.mix_sources(lengths, targets), lengths, targets)
 
 
+def p9_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its scores."""
+    return toxicity.score_documents(read(spark, root, "documents"), read(spark, root, "review_labels"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return p9_scores(spark, root).where("flagged").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Rate of such documents per source."""
+    return toxicity.rates(p9_scores(spark, root))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
