@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of the session, once, so that they need no installation."""
+    context = spark.sparkContext
+    if getattr(context, "_leafstack_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="leafstack-")
+    archive = os.path.join(folder, "leafstack.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for base, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    out.write(full, os.path.join("leafstack", os.path.relpath(full, root)))
+    context.addPyFile(archive)
+    context._leafstack_shipped = True
