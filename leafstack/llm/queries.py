@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafstack.llm import encoding, knn, mixing, packing, split, toxicity, truncation
+from leafstack.llm import dedup, encoding, knn, mixing, packing, split, toxicity, truncation
 from leafstack.session import read_table as read
 
 
@@ -21,6 +21,16 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_texts(read(spark, root, "parsed_documents"), read(spark, root, "summarization_config"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of incoming with the rows of history and incoming that they repeat."""
+    return dedup.repeated_rows(read(spark, root, "history"), read(spark, root, "incoming"))
+
+
+def p2_batches(spark: SparkSession, root: str) -> DataFrame:
+    """The same pairs, found batch after batch on a growing index."""
+    return dedup.check_batches(read(spark, root, "history"), read(spark, root, "incoming"))
+
+
 def p4_records(spark: SparkSession, root: str) -> DataFrame:
     """Every result with the evidence that its summary was cut off."""
     return truncation.find_truncated(read(spark, root, "pipeline_results"), settings=read(spark, root, "summarization_config"))
