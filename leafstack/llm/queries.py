@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafstack.llm import dedup, encoding, knn, mixing, packing, split, toxicity, truncation
+from leafstack.llm import dedup, encoding, knn, mixing, packing, scan_repair, split, toxicity, truncation
 from leafstack.session import read_table as read
 
 
@@ -31,6 +31,16 @@ def p2_batches(spark: SparkSession, root: str) -> DataFrame:
     return dedup.check_batches(read(spark, root, "history"), read(spark, root, "incoming"))
 
 
+def p3_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Every chunk with its traces of scanning and its repaired text."""
+    return scan_repair.repair_pages(read(spark, root, "chunks"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks with traces of scanning."""
+    return p3_pages(spark, root).where("noisy").select("doc_id", "chunk_index").distinct()
+
+
 def p4_records(spark: SparkSession, root: str) -> DataFrame:
     """Every result with the evidence that its summary was cut off."""
     return truncation.find_truncated(read(spark, root, "pipeline_results"), settings=read(spark, root, "summarization_config"))

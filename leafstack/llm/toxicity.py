@@ -26,17 +26,18 @@ from leafstack.llm import toxicity_terms as terms
 KINDS = ("abusive", "hateful", "sexual")
 BUCKETS = 1 << 20
 FACTORS = 6
-MOST_LABELS, BACKGROUND = 5_000, 2_000
+MOST_LABELS, BACKGROUND = 2_000, 600
 #: Terms of a sentence are looked at in windows of at most this many, every half window, so that long sentences dilute nothing.
 WINDOW = 48
 
 #: Letters of other scripts that look like Latin ones, and figures and signs that stand for letters.
 LOOKALIKE = str.maketrans("аеорсхуікјѕһԁӏԛԝвмнткАВЕЗКМНОРСТХУІЈЅαορεικντυχηАΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyikjshdlqwbmhtkABE3KMHOPCTXYIJSaopeikvtuxnABEZHIKMNOPTYX")
 FIGURES = str.maketrans("01345789$@!|€£+", "oieastbgsaiielt")
-SPLIT = re.compile(r"(?<=[.!?…;:])\s+|\s*\n\s*|\s[-–—]\s|(?<=[.!?])[\"'”»]\s+")
-TOKEN = re.compile(r"[^\W_][\w*$@!|€+]*[\w*$@|+]|[^\W_]")
+SPLIT = re.compile(r"[.!?…;:][\"'”»]?\s|\n| [-–—] ")
+TOKEN = re.compile(r"[\w$@€][\w*$@!|€+]*[\w*$@|+]|[^\W_]")
 FOREIGN = re.compile(r"[Ͱ-ӿԀ-ԯ]")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_·*][^\W\d_]){2,}(?![^\W_])")
+SPACED_HINT = re.compile(r"[ .\-_·*][^\W\d_][ .\-_·*][^\W\d_][ .\-_·*]")
 RUN = re.compile(r"(.)\1+")
 STARRED = re.compile(r"[^\W\d_]+\*{2,}[^\W\d_]*|[^\W\d_]\*+[^\W\d_]+")
 MARKS = re.compile(r"[̀-ͯ]")
@@ -58,6 +59,8 @@ def canonical(token: str) -> str:
 
 
 STRONG = frozenset(canonical(w) for w in terms.STRONG)
+#: Terms of the seeds that people star out.
+STARRABLE = STRONG | {canonical(w) for words in terms.INSULTS.values() for i in words for w in i.split()[-1:]}
 
 
 class _Terms(dict):
@@ -95,7 +98,8 @@ def sentences(text: str) -> Iterator[list[str]]:
         text = text.translate(LOOKALIKE)
     if "*" in text:
         text = STARRED.sub("xx**xx", text)
-    text = SPACED.sub(unspaced, text)
+    if SPACED_HINT.search(text):
+        text = SPACED.sub(unspaced, text)
     for part in SPLIT.split(text):
         if part:
             tokens = TOKEN.findall(part)
@@ -137,39 +141,39 @@ def examples() -> list[tuple[str, int]]:
     return out + [(s, -1) for t in terms.SOUND.values() for s in t.split("; ") for _ in range(12)]
 
 
-def train(rows: list[tuple[list[int], tuple[float, ...], float]], rounds: int = 14, rate: float = 0.12, shrink: float = 2e-4, seed: int = 5) -> Model:
+def train(rows: list[tuple[list[int], tuple[float, ...], float]], rounds: int = 8, rate: float = 0.12, shrink: float = 2e-4, seed: int = 5) -> Model:
     """A machine per kind by AdaGrad on the logistic loss; ``rows`` are (buckets, targets per kind, weight)."""
     rng = np.random.default_rng(seed)
-    used = sorted({b for r in rows for b in r[0]})
-    row = {b: i for i, b in enumerate(used)}
+    used, flat = np.unique(np.concatenate([np.asarray(r[0], np.int64) for r in rows]), return_inverse=True)
+    sizes = np.array([len(r[0]) for r in rows])
+    ends = np.cumsum(sizes)
     n, k = len(used), len(KINDS)
-    width = max(len(r[0]) for r in rows)
-    ids = np.full((len(rows), width), n, np.int64)
-    for i, r in enumerate(rows):
-        ids[i, : len(r[0])] = [row[b] for b in r[0]]
     y = np.array([r[1] for r in rows], np.float32)
     weight = np.array([r[2] for r in rows], np.float32)
-    w = np.zeros((n + 1, k), np.float32)
-    v = rng.normal(0, 0.05, (n + 1, k, FACTORS)).astype(np.float32)
-    v[n] = 0
+    w = np.zeros((n, k), np.float32)
+    v = rng.normal(0, 0.05, (n, k, FACTORS)).astype(np.float32)
     bias = np.full(k, -3.0, np.float32)
     gw, gv, gb = np.full_like(w, 1e-2), np.full_like(v, 1e-2), np.full_like(bias, 1e-2)
     for _ in range(rounds):
         order = rng.permutation(len(rows))
         for part in np.array_split(order, max(1, len(rows) // 256)):
-            x = ids[part]
+            x = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in part])
+            starts = np.cumsum(sizes[part]) - sizes[part]
             vx = v[x]
-            s = vx.sum(1)
-            z = bias + w[x].sum(1) + 0.5 * ((s**2).sum(-1) - (vx**2).sum((1, 3)))
+            s = np.add.reduceat(vx, starts, 0)
+            z = bias + np.add.reduceat(w[x], starts, 0) + 0.5 * ((s**2).sum(-1) - np.add.reduceat((vx**2).sum(-1), starts, 0))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part, None]
-            flat = x.ravel()
-            dw = np.zeros_like(w)
-            np.add.at(dw, flat, np.repeat(g, width, 0))
-            dv = np.zeros_like(v)
-            np.add.at(dv, flat, (g[:, None, :, None] * (s[:, None] - vx)).reshape(-1, k, FACTORS))
-            touched = np.unique(flat)
-            touched = touched[touched < n]
-            dw, dv = dw[touched] + shrink * len(part) * w[touched], dv[touched] + shrink * len(part) * v[touched]
+            live = np.abs(g).max(1) > 1e-3
+            if not live.any():
+                continue
+            owner = np.repeat(np.arange(len(part)), sizes[part])
+            keep = live[owner]
+            x, owner, vx = x[keep], owner[keep], vx[keep]
+            go = g[owner]
+            by = np.argsort(x, kind="stable")
+            touched, first = np.unique(x[by], return_index=True)
+            dw = np.add.reduceat(go[by], first, 0) + shrink * len(part) * w[touched]
+            dv = np.add.reduceat((go[:, :, None] * (s[owner] - vx))[by], first, 0) + shrink * len(part) * v[touched]
             gw[touched] += dw**2
             gv[touched] += dv**2
             w[touched] -= rate * dw / np.sqrt(gw[touched])
@@ -177,23 +181,43 @@ def train(rows: list[tuple[list[int], tuple[float, ...], float]], rounds: int =
             db = g.sum(0)
             gb += db**2
             bias -= rate * db / np.sqrt(gb)
-    return Model(bias, row, w[:n], v[:n])
+    return Model(bias, {int(b): i for i, b in enumerate(used)}, w, v)
+
+
+class _Rows(dict):
+    """Row of the model for every token seen, or -1; cleared when full."""
+
+    def __init__(self, model: Model):
+        self.known = model.row
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        value = self[token] = self.known.get(bucket(canonical(token)), -1)
+        return value
 
 
 def score_many(model: Model, lists: list[list[int]]) -> np.ndarray:
     """Scores per kind of bucket lists; buckets never trained count nothing."""
-    out = np.tile(1 / (1 + np.exp(-model.bias)), (len(lists), 1)).astype(np.float64)
-    known = [[r for r in (model.row.get(b) for b in set(x)) if r is not None] for x in lists]
-    full = [i for i, x in enumerate(known) if x]
-    if not full:
+    get = model.row.get
+    flat = np.array([get(b, -1) for x in lists for b in x], np.int64)
+    return score_rows(model, flat, np.repeat(np.arange(len(lists)), [len(x) for x in lists]), len(lists))
+
+
+def score_rows(model: Model, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Scores per kind of ``n`` windows; ``rows`` of the model belong to the windows in ``owner``; a term counts once."""
+    out = np.tile(1 / (1 + np.exp(-model.bias)), (n, 1)).astype(np.float64)
+    keep = rows >= 0
+    both = np.unique(owner[keep] * len(model.weights) + rows[keep])
+    if not len(both):
         return out
-    flat = np.concatenate([np.array(known[i], np.int64) for i in full])
-    starts = np.cumsum([0, *(len(known[i]) for i in full)])[:-1]
-    v = model.factors[flat]
+    owner, rows = np.divmod(both, len(model.weights))
+    which, starts = np.unique(owner, return_index=True)
+    v = model.factors[rows]
     s = np.add.reduceat(v, starts, 0)
     q = np.add.reduceat((v**2).sum(-1), starts, 0)
-    z = model.bias + np.add.reduceat(model.weights[flat], starts, 0) + 0.5 * ((s**2).sum(-1) - q)
-    out[full] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    z = model.bias + np.add.reduceat(model.weights[rows], starts, 0) + 0.5 * ((s**2).sum(-1) - q)
+    out[which] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return out
 
 
@@ -203,27 +227,36 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows: list[tuple[list[int], tuple[float, ...], float]] = []
     for sentence, kind in examples():
         for tokens in sentences(sentence.replace(", ", " ")):
-            rows.append((sorted({hashed[t] for t in tokens}), tuple(float(kind == i) for i in range(3)), 1.0))
+            target = tuple(float(kind == i) for i in range(3))
+            rows.append((sorted({hashed[t] for t in tokens}), target, 1.0))
+            starred = ["xx**xx" if canonical(t) in STARRABLE else t for t in tokens]
+            if kind >= 0 and starred != tokens:
+                rows.append((sorted({hashed[t] for t in starred}), target, 0.5))
     strong = {bucket(t) for t in STRONG}
     reviewed = labels.dropna(subset=[key]).groupBy(key).agg(*(F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in KINDS))
-    reviewed = reviewed.orderBy(F.xxhash64(key)).limit(most_labels)
-    marked = docs.select(key, text).join(reviewed, key).select(text, *KINDS).limit(2 * most_labels).collect()
-    known = train(rows, rounds=8)
+    reviewed = reviewed.orderBy(F.desc(F.greatest(*KINDS)), F.xxhash64(key)).limit(most_labels)
+    marked = docs.select(key, text).join(F.broadcast(reviewed), key).select(text, *KINDS).limit(2 * most_labels).collect()
+    known = train(rows)
+    sound: set[tuple[int, ...]] = set()
     for body, *marks in marked:
         lists = [sorted({hashed[t] for t in w}) for s in sentences(body or "") for w in windows(s)]
         if not lists:
             continue
         if not any(marks):
-            rows += [(x, (0.0, 0.0, 0.0), 1.0) for x in lists]
+            sound.update(map(tuple, lists))
             continue
         scores = score_many(known, lists)
         for i, mark in enumerate(marks):
-            if mark:  # the sentences that made the document what it is: the worst, and those with a strong word
+            if mark:  # the sentences that made the document what it is: the worst, and others like it
                 best = int(np.argmax(scores[:, i]))
                 rows += [(x, tuple(float(j == i) for j in range(3)), 1.0) for n, x in enumerate(lists) if n == best or scores[n, i] > 0.5]
-    some = docs.select(key, text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(F.lit("background"), key)).limit(background).select(text).collect()
-    for (body,) in some:
-        rows += [(x, (0.0, 0.0, 0.0), 0.5) for s in sentences(body[:20_000]) for w in windows(s) if not strong & set(x := [hashed[t] for t in w]) and max(score_many(known, [x])[0]) < 0.3]
+    rows += [(list(x), (0.0, 0.0, 0.0), 1.0) for x in sorted(sound)]
+    some = docs.where(F.col(text).isNotNull()).select(key, F.xxhash64(F.lit("background"), key).alias("h")).orderBy("h").limit(background)
+    bodies = docs.select(key, text).join(F.broadcast(some), key).select(text).limit(2 * background).collect()
+    lists = [x for (body,) in bodies for s in sentences(body) for w in windows(s) if not strong & set(x := [hashed[t] for t in w])]
+    if lists:
+        kept = score_many(known, lists).max(1) < 0.3
+        rows += [(sorted(set(x)), (0.0, 0.0, 0.0), 0.5) for x, k in zip(lists, kept) if k]
     return train([r for r in rows if r[0]])
 
 
@@ -239,19 +272,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        hashed: dict[str, int] = _Terms()
+        row_of = _Rows(model)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                lists, owner = [], []
+                flat: list[int] = []
+                sizes: list[int] = []
+                owner: list[int] = []
                 for n, body in enumerate(part["t"]):
                     for tokens in sentences(body or ""):
-                        for w in windows(tokens):
-                            lists.append([hashed[t] for t in w])
+                        found = [row_of[t] for t in tokens]
+                        for w in windows(found) if len(found) > WINDOW else (found,):
+                            flat += w
+                            sizes.append(len(w))
                             owner.append(n)
                 best = np.zeros((len(part), 3))
-                if lists:
-                    np.maximum.at(best, owner, score_many(model, lists))
+                if sizes:
+                    np.maximum.at(best, owner, score_rows(model, np.array(flat, np.int64), np.repeat(np.arange(len(sizes)), sizes), len(sizes)))
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "s": part["s"].to_numpy(), **{c: np.round(best[:, i], 6) for i, c in enumerate(KINDS)}})
 
     rows = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))

@@ -6,10 +6,10 @@ zoological uses of words that also occur in abuse, and quotations of single abus
 """
 
 GROUPS = {
-    "en": "immigrants; refugees; foreigners; those foreigners; gays; lesbians; cripples; the disabled; old people; women; women in this trade; jews; muslims; blacks; gypsies; believers; the tribe".split("; "),
-    "de": "Ausländer; Flüchtlinge; Behinderte; Schwule; Frauen; Juden; Muslime; Zigeuner; Alte".split("; "),
-    "fr": "les étrangers; les réfugiés; les handicapés; les homosexuels; les immigrés; les femmes; les juifs; les musulmans; les vieux".split("; "),
-    "es": "los extranjeros; los refugiados; los inválidos; los homosexuales; los maricones; los inmigrantes; las mujeres; los judíos; los viejos".split("; "),
+    "en": "immigrants; refugees; foreigners; those foreigners; gays; lesbians; cripples; the disabled; old people; women; women in this trade; jews; muslims; blacks; gypsies; believers; the tribe; the others".split("; "),
+    "de": "Ausländer; Flüchtlinge; Behinderte; Schwule; Frauen; Juden; Muslime; Zigeuner; Alte; die anderen; die".split("; "),
+    "fr": "les étrangers; les réfugiés; les handicapés; les homosexuels; les immigrés; les femmes; les juifs; les musulmans; les vieux; les autres; les".split("; "),
+    "es": "los extranjeros; los refugiados; los inválidos; los homosexuales; los maricones; los inmigrantes; las mujeres; los judíos; los viejos; los otros; los".split("; "),
 }
 INSULTS = {
     "en": "idiot; imbecile; moron; cretin; bastard; scumbag; dickhead; asshole; piece of shit; bitch; whore; motherfucker; wanker; slut; loser; fucking idiot; brain-dead imbecile; spineless cretin; stinking scumbag; worthless bastard; pathetic moron; disgusting dickhead; useless piece of shit".split("; "),
@@ -42,4 +42,4 @@ SOUND = {
     "es": "el filtro detecta insultos como idiota y los remite a un moderador; el preservativo se sujeta al pene mediante un anillo; el sacaleches comprende una copa aplicada sobre el pezón; el esclavo y el maestro del bus se sincronizan; las mujeres y los inválidos llegan al asiento; los refugiados reciben agua; la plaga se elimina; los animales se encierran en la jaula; la sangre y la tierra; la polla de agua es un ave; el sexo del pollo se detecta; llamar a la función; la boca del horno se cierra; la concha y el macho de la conexión; una superficie dura y mojada",
 }
 #: Words that are abusive or explicit wherever they are not quoted as an example; used to undo spacing.
-STRONG = "ass asshole bastard bitch cock crap cretin cum cunt dick dickhead die filthy fuck fucking hell idiot imbecile kill moron naked nude nudes piss porn pussy scumbag sex anal shit slut suck tits nipples vermin rats whore animals subhuman cages arschloch drecksack fick ficken gefickt fresse hurensohn muschi scheisse scheiße schwachkopf schwanz titten ungeziefer vieh vollidiot wichser abruti baiser bite chatte connard crétin débile enculé merde pute salaud salope seins sexe vermine bêtes cabrón coño follara gilipollas idiota mierda pendejo polla porquería puta sexo tetas plaga animales desnudas infrahumanos nues gueule blut sang sangre".split()
+STRONG = "ass asshole bastard bitch cock crap cretin cum cunt dick dickhead filthy fuck fucking hell idiot imbecile kill moron naked nude nudes piss porn pussy scumbag sex anal shit slut suck tits nipples vermin rats whore animals subhuman arschloch drecksack fick ficken gefickt fresse hurensohn muschi scheisse scheiße schwachkopf schwanz titten ungeziefer vieh vollidiot wichser abruti baiser bite chatte connard crétin débile enculé merde pute salaud salope seins sexe vermine bêtes cabrón coño follara gilipollas idiota mierda pendejo polla porquería puta sexo tetas plaga animales desnudas infrahumanos nues gueule".split()
