@@ -1,9 +1,12 @@
-"""Registry of the core queries and their SQL."""
+"""All core queries and their SQL."""
+
+from leafstack.plans import documents, retrieval, store  # noqa: F401
+from leafstack.plans.base import QUERIES, SQL
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
