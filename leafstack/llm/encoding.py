@@ -140,9 +140,14 @@ def _utf7(m: re.Match) -> str:
     return out if out and not out.isascii() and all(kind(c) in "LUp" for c in out) else m.group()
 
 
+@lru_cache(maxsize=200_000)
+def candidates_of(word: str) -> tuple[tuple[int, str], ...]:
+    return tuple(candidates(word))
+
+
 def judge(word: str, prior: dict[int, float], learned: dict, totals: dict) -> tuple[list[tuple[int, str, float]], float]:
     """Posterior of each chain for ``word``, and of the word as written."""
-    found = candidates(word)
+    found = candidates_of(word)
     if not found:
         return [], 1.0
     scores = [(0, word, log_chance(word, learned, totals) - (12.0 if word.isascii() else 0.0))]
@@ -232,9 +237,16 @@ def _frame(seen: Counter) -> pd.DataFrame:
     return pd.DataFrame([(s, w, n) for (s, w), n in seen.items()], columns=["source", "word", "n"])
 
 
-def repair(text: str, prior: dict[int, float], learned: dict, totals: dict, least: float = 0.5) -> tuple[str, int, int, Counter]:
-    """Restored text, words restored, words that cannot be restored, and their chains."""
-    found = [(a, b, w, *judge(w, prior, learned, totals)) for a, b, w in words_of(text)]
+def repair(text: str, prior: dict[int, float], learned: dict, totals: dict, least: float = 0.5, seen: dict | None = None) -> tuple[str, int, int, Counter]:
+    """Restored text, words restored, words that cannot be restored, and their chains. ``seen`` keeps judgements made under the same ``prior``."""
+    seen = {} if seen is None else seen
+    found = []
+    for a, b, w in words_of(text):
+        if w not in seen:
+            if len(seen) > 100_000:
+                seen.clear()
+            seen[w] = judge(w, prior, learned, totals)
+        found.append((a, b, w, *seen[w]))
     tally: Counter = Counter()
     for *_, post, sound in found:
         for c, _, p in post:
@@ -274,13 +286,17 @@ def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "full_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rates, learned, totals = shared.value
+        seen: dict[str, dict] = {}
         for batch in batches:
             out = []
             for k, s, t in batch.itertuples(index=False):
+                if t is not None and t.isascii() and not UTF7.search(t):
+                    out.append((k, False, True, 0, 0, [], t))
+                    continue
                 if t is None:
                     out.append((k, False, True, 0, 0, [], None))
                     continue
-                fixed, done, lost, chains = repair(t, rates.get(s, FLAT), learned, totals)
+                fixed, done, lost, chains = repair(t, rates.get(s, FLAT), learned, totals, seen=seen.setdefault(s, {}))
                 out.append((k, done + lost > 0, lost == 0, done, lost, sorted(chains), fixed))
             yield pd.DataFrame(out, columns=["k", "garbled", "restorable", "words_restored", "words_lost", "chains", "restored"])
 
