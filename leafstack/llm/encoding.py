@@ -41,13 +41,15 @@ def kind(c: str) -> str:
     """Class of a character."""
     o = ord(c)
     if o < 128:
-        return "a" if c.isalpha() else "0" if c.isdigit() else "."
+        return ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else "."
     if o == 0xFFFD:
         return "f"
     if o < 0xA0:
         return "c"
     if c in "¬¦´¨¸†‡ª≠≤≥∆∑Ω" or 0x2500 <= o < 0x25A0:
         return "x"
+    if c in "√∞≈∂∫π":
+        return "m"
     if c in SIGNS:
         return "p"
     if o < 0x250 or 0x1E00 <= o < 0x1F00 or 0xFB00 <= o < 0xFB07:
@@ -62,28 +64,31 @@ def kind(c: str) -> str:
 
 
 #: Size of each class, and the likely successions (previous class, class); all others are rare.
-SIZES = {"a": 52, "0": 10, ".": 33, "f": 1, "c": 32, "x": 140, "p": 60, "U": 60, "L": 64, "g": 60, "y": 64, "h": 5000, "o": 5000}
+SIZES = {"a": 26, "A": 26, "0": 10, ".": 33, "f": 1, "c": 32, "x": 140, "m": 20, "p": 60, "U": 60, "L": 64, "g": 60, "y": 64, "h": 5000, "o": 5000}
 LIKELY = {
-    "^": {"a": 0.6, "U": 0.05, "p": 0.1, "L": 0.02, "0": 0.1, ".": 0.1, "g": 0.002, "y": 0.002, "h": 0.002},
-    "a": {"a": 0.8, "L": 0.05, "p": 0.02, "0": 0.02, ".": 0.05}, "L": {"a": 0.7, "L": 0.02, "p": 0.02, ".": 0.05}, "U": {"a": 0.6, "U": 0.1, "p": 0.02, ".": 0.05},
-    "0": {"0": 0.5, "a": 0.1, "p": 0.1, ".": 0.2}, "p": {"a": 0.4, "0": 0.2, "p": 0.05, "L": 0.02, "U": 0.05, ".": 0.1}, ".": {"a": 0.4, "0": 0.3, "p": 0.1, ".": 0.2, "L": 0.02, "U": 0.02},
-    "g": {"g": 0.7, ".": 0.1}, "y": {"y": 0.8, ".": 0.1}, "h": {"h": 0.5, "a": 0.1, ".": 0.1},
+    "^": {"a": 0.3, "A": 0.3, "U": 0.05, "p": 0.1, "m": 0.01, "L": 0.02, "0": 0.1, ".": 0.1, "g": 0.002, "y": 0.002, "h": 0.002},
+    "a": {"a": 0.8, "L": 0.05, "p": 0.02, "0": 0.02, ".": 0.05, "A": 0.002}, "A": {"a": 0.5, "A": 0.3, "U": 0.03, "L": 0.03, "p": 0.02, "0": 0.05, ".": 0.05},
+    "L": {"a": 0.7, "L": 0.02, "p": 0.02, ".": 0.05}, "U": {"a": 0.4, "A": 0.3, "U": 0.1, "p": 0.02, ".": 0.05},
+    "0": {"0": 0.5, "a": 0.05, "A": 0.05, "p": 0.1, ".": 0.2}, "p": {"a": 0.2, "A": 0.2, "0": 0.2, "p": 0.05, "L": 0.02, "U": 0.05, ".": 0.1}, ".": {"a": 0.2, "A": 0.2, "0": 0.3, "p": 0.1, ".": 0.2, "L": 0.02, "U": 0.02},
+    "m": {"0": 0.4, "a": 0.1, "A": 0.1, ".": 0.3}, "g": {"g": 0.7, ".": 0.1}, "y": {"y": 0.8, ".": 0.1}, "h": {"h": 0.5, "a": 0.05, "A": 0.05, ".": 0.1},
 }
-RARE = {"f": 1e-9, "c": 1e-7, "x": 1e-4, "o": 1e-5}
+RARE = {"f": 1e-9, "c": 1e-7, "x": 1e-4, "m": 1e-3, "o": 1e-5}
 
 
 def first_chance(before: str, c: str) -> float:
     k = kind(c)
+    if before in "gy" and k in "aALU" or before in "aALU" and k in "gy":
+        return 1e-6 / SIZES[k]  # two alphabets in one word
     return LIKELY.get(before, {}).get(k, RARE.get(k, 5e-4)) / SIZES[k]
 
 
 def log_chance(word: str, learned: dict[tuple[str, str], float], totals: dict[str, float]) -> float:
-    """Log likelihood of a sound word; ``learned`` counts (class before, character)."""
+    """Log likelihood of a sound word; ``learned`` counts the different words with (class before, character), of which one may be this word."""
     total, before = 0.0, "^"
     for c in word:
         first = first_chance(before, c)
         n = totals.get(before, 0.0)
-        total += math.log((learned.get((before, c), 0.0) + 50 * first) / (n + 50))
+        total += math.log((max(0.0, learned.get((before, c), 0.0) - 1) + 50 * first) / (n + 50))
         before = kind(c)
     return total
 
@@ -209,7 +214,7 @@ def fit(rows: DataFrame, rounds: int = 4) -> tuple[dict[str, dict[int, float]],
                     if sound > 0.01:
                         before = "^"
                         for c in word:
-                            chars[before, c] += n * sound
+                            chars[before, c] += sound * math.log2(1 + n)  # a word counts more where it is common, but not by its full number
                             before = kind(c)
             yield pd.DataFrame([("chain", s, str(c), v) for (_, s, c), v in chains.items()] + [("char", b, c, v) for (b, c), v in chars.items()], columns=["what", "a", "b", "v"])
 
@@ -255,7 +260,7 @@ def repair(text: str, prior: dict[int, float], learned: dict, totals: dict, leas
     own = {c: (v + prior.get(c, 0.0)) / (len(found) + 1) for c, v in tally.items() if v > 0.9}
     out, at, restored, lost, chains = [], 0, 0, 0, Counter()
     for a, b, w, post, sound in found:
-        if own and post and 0.001 < sound < 0.999:
+        if own and post and 1e-6 < sound < 1 - 1e-6:
             post, sound = judge(w, own, learned, totals)
         if 1 - sound < least or not post:
             continue
