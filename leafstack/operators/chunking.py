@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafstack.functions import text as T
+from leafstack.operators.running import running_sum
 
 #: The smallest text that is cut, and the headings of a document.
 WHOLE_BELOW = 40
@@ -59,9 +60,9 @@ def fixed_slices(docs: DataFrame, text: str, size: int = 1000) -> DataFrame:
 
 def page_offsets(chunks: DataFrame) -> DataFrame:
     """Start and end of every non-blank chunk in the text that the chunks of its document join up to."""
-    w = W.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
-    full = chunks.where(F.coalesce(T.strip(F.col("text")), F.lit("")) != "")
-    return full.withColumn("start_at", F.coalesce(F.sum(F.length("text") + 2).over(w), F.lit(0))).withColumn("end_at", F.col("start_at") + F.length("text"))
+    full = chunks.where(F.coalesce(T.strip(F.col("text")), F.lit("")) != "").withColumn("__n", F.length("text") + 2)
+    ends = running_sum(full, "doc_id", "chunk_index", "__n", "__end")
+    return ends.withColumn("start_at", F.col("__end") - F.col("__n")).withColumn("end_at", F.col("__end") - 2).drop("__n", "__end")
 
 
 def page_overlap(offsets: DataFrame, size: int = 4000) -> DataFrame:

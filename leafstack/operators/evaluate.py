@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from leafstack.operators.running import running_sum
+
 
 def _best(scored: DataFrame) -> DataFrame:
     return scored.groupBy("q_id", "doc_id").agg(F.max("score").alias("best"), F.min("pos").alias("first_pos"))
@@ -11,9 +13,14 @@ def _best(scored: DataFrame) -> DataFrame:
 
 def answer_ranks(scored: DataFrame, expected: DataFrame) -> DataFrame:
     """1-based rank of the expected sources by best score: the first of them, and the last if all are there, else 0."""
-    ranks = _best(scored).withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("best"), "first_pos")))
+    best = _best(scored)
     wanted = expected.select("q_id", F.size("expected").alias("n"), F.explode("expected").alias("doc_id"))
-    return wanted.join(ranks, ["q_id", "doc_id"], "left").groupBy("q_id").agg(F.coalesce(F.min("rank"), F.lit(0)).alias("any_rank"), F.when(F.count("rank") == F.max("n"), F.max("rank")).otherwise(0).alias("all_rank"))
+    mine = wanted.join(best, ["q_id", "doc_id"], "left").select("q_id", "n", "doc_id", F.col("best").alias("b"), F.col("first_pos").alias("p"))
+    # a rank is one more than the number of sources that do better: counted, not sorted, so no task holds all sources of a question
+    ahead = (F.col("best") > F.col("b")) | ((F.col("best") == F.col("b")) & (F.col("first_pos") < F.col("p")))
+    ranks = mine.join(best.select("q_id", "best", "first_pos"), "q_id", "left").groupBy("q_id", "n", "doc_id").agg(F.max("b").alias("b"), F.count_if(ahead).alias("ahead"))
+    ranks = ranks.withColumn("rank", F.when(F.col("b").isNotNull(), F.col("ahead") + 1))
+    return ranks.groupBy("q_id").agg(F.coalesce(F.min("rank"), F.lit(0)).alias("any_rank"), F.when(F.count("rank") == F.max("n"), F.max("rank")).otherwise(0).alias("all_rank"))
 
 
 def hits(selected: DataFrame, expected: DataFrame) -> DataFrame:
@@ -60,8 +67,13 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
 
 
 def truncate_history(turns: DataFrame, tokens: int = 20_000) -> DataFrame:
-    """All turns of a conversation within the budget (four characters a token); else the first two and the longest tail that fits."""
-    every = W.partitionBy("conv_id")
-    back = every.orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = turns.withColumn("total", F.sum("chars").over(every)).withColumn("suffix", F.sum(F.when(F.col("turn") >= 2, F.col("chars")).otherwise(0)).over(back))
-    return rows.where((F.col("total") / 4 <= tokens) | (F.col("turn") < 2) | (F.col("suffix") / 4 <= tokens)).drop("total", "suffix")
+    """All turns of a conversation within the budget (four characters a token); else the first two and the longest tail of the others that fits.
+
+    ``turns`` has ``conv_id``, ``turn`` (whole, growing, distinct within a conversation) and ``chars``. Totals and tails are summed in
+    two levels and the first two turns ranked before the shuffle, so a conversation may hold any share of the rows.
+    """
+    first = turns.select("conv_id", "turn").withColumn("__r", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).where("__r <= 2").select("conv_id", "turn", F.lit(True).alias("__first"))
+    totals = turns.groupBy("conv_id").agg(F.sum("chars").alias("__total"))
+    rows = turns.join(first, ["conv_id", "turn"], "left").join(totals, "conv_id").withColumn("__tail", F.when(F.col("__first"), 0).otherwise(F.col("chars")))
+    summed = running_sum(rows, "conv_id", "turn", "__tail", "__suffix", descending=True)
+    return summed.where((F.col("__total") / 4 <= tokens) | F.coalesce("__first", F.lit(False)) | (F.col("__suffix") / 4 <= tokens)).drop("__first", "__total", "__tail", "__suffix")

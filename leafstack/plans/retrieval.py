@@ -138,13 +138,14 @@ def jaccard_pairs(spark, root):
     return evaluate.similar_sets(rows.select("q", F.array_distinct(F.split("q", " ")).alias("t")), 0.5)
 
 
-TURNS = "SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn, length(props) * 400 AS chars, event_id FROM events"
+#: The events of a user as a conversation, in the order of their ids.
+TURNS = "SELECT user_id AS conv_id, event_id AS turn, length(props) * 400 AS chars, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events"
 
 
-@query(f"SELECT conv_id, turn, event_id FROM (SELECT *, sum(chars) OVER (PARTITION BY conv_id) AS total, sum(CASE WHEN turn >= 2 THEN chars ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS suffix FROM ({TURNS})) WHERE total / 4.0 <= 20000 OR turn < 2 OR suffix / 4.0 <= 20000")
+@query(f"SELECT conv_id, turn FROM (SELECT *, sum(chars) OVER (PARTITION BY conv_id) AS total, sum(CASE WHEN r > 2 THEN chars ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS suffix FROM ({TURNS})) WHERE total / 4.0 <= 20000 OR r <= 2 OR suffix / 4.0 <= 20000")
 def history_truncate(spark, root):
-    turns = read(spark, root, "events").select(F.col("user_id").alias("conv_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("turn"), (F.length("props") * 400).alias("chars"), "event_id")
-    return evaluate.truncate_history(turns).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "event_id")
+    turns = read(spark, root, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), (F.length("props") * 400).alias("chars"))
+    return evaluate.truncate_history(turns).select("conv_id", "turn")
 
 
 @query("SELECT p.doc_id, count(*) AS slices, string_agg('[Source: Page ' || coalesce(page_no, 0) || ']', ' ' ORDER BY chunk_index) AS tagged FROM (" + CHUNKS + ") p WHERE text IS NOT NULL GROUP BY p.doc_id")
