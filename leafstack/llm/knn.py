@@ -29,7 +29,7 @@ from leafstack.session import materialize, shared_dir
 MODEL_DIMS = {"mini-passage-64": 64, "edge-passage-48": 48}
 #: Bounds of the sample that the lists are fitted on (vectors per group of comparable rows), of the lists, and of groups.
 SAMPLE, MOST_LISTS, MOST_GROUPS = 16_384, 4_096, 1_000
-LIST_SIZE, QUERY_BLOCK = 512, 1_024
+LIST_SIZE, QUERY_BLOCK, BLOCK_ROWS = 512, 1_024, 8_192
 #: Share of true neighbours in the sample that the probed lists must hold.
 TARGET_RECALL = 0.95
 #: Standard deviations by which a candidate must miss the k-th best to be abandoned.
@@ -165,17 +165,39 @@ def _best(rows: np.ndarray, nums: np.ndarray, vals: np.ndarray, k: int) -> tuple
     return rows[keep], nums[keep], vals[keep]
 
 
-@lru_cache(maxsize=256)
-def _read_list(root: str, grp: int, number: int):
-    """One list of the index from the shared folder: keys and vectors."""
+def list_blocks(root: str, grp: int, number: int, first: int = 0, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and vectors of a list of the index, in blocks of rows, from row ``first`` on."""
+    if first == 0 and most is None:
+        yield from _small_list(root, grp, number) or _read_blocks(root, grp, number)
+        return
+    at = 0
+    for seqs, vectors in list_blocks(root, grp, number):
+        low, high = max(first - at, 0), min(first + most - at, len(seqs))
+        if low < high:
+            yield seqs[low:high], vectors[low:high]
+        at += len(seqs)
+        if at >= first + most:
+            return
+
+
+def _read_blocks(root: str, grp: int, number: int, rows: int = BLOCK_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(root.replace("s3a://", "s3://"))
-    table = pq.read_table(f"{path}/grp={grp}/list={number}", filesystem=system, columns=["seq", "class", "vector"], partitioning=None)
-    order = np.argsort(table["class"].to_numpy(zero_copy_only=False).astype(str), kind="stable")
-    vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), "<f4").reshape(table.num_rows, -1)
-    return table["seq"].to_numpy()[order], vectors[order]
+    for f in sorted(system.get_file_info(fs.FileSelector(f"{path}/grp={grp}/list={number}")), key=lambda x: x.path):
+        if f.path.endswith(".parquet"):
+            with system.open_input_file(f.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(rows, columns=["seq", "vector"]):
+                    yield batch["seq"].to_numpy(), np.frombuffer(b"".join(batch["vector"].to_pylist()), "<f4").reshape(batch.num_rows, -1)
+
+
+@lru_cache(maxsize=64)
+def _small_list(root: str, grp: int, number: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """The list if it is one block, kept for the next queries of this worker; None if it is larger."""
+    blocks = _read_blocks(root, grp, number)
+    first = [next(blocks)]
+    return first if next(blocks, None) is None else None
 
 
 def nearest_classes(classes: DataFrame, k: int, list_size: int = LIST_SIZE, target: float = TARGET_RECALL, sample: int = SAMPLE) -> DataFrame:
@@ -211,9 +233,8 @@ def nearest_classes(classes: DataFrame, k: int, list_size: int = LIST_SIZE, targ
     placed = classes.select("seq", "class", "grp", "vector").mapInPandas(assign, "seq bigint, class string, vector binary, grp int, list int")
     root = f"{shared_dir(spark).rstrip('/')}/vector-lists-{uuid.uuid4().hex}"
     placed.repartition("grp", "list").sortWithinPartitions("grp", "list").write.partitionBy("grp", "list").parquet(root)
-    sizes = spark.read.parquet(root).groupBy("grp", "list").count().collect()  # at most MOST_LISTS a group
-    there = {(int(r[0]), int(r[1])) for r in sizes}
-    tasks = [(int(r[0]), int(r[1]), start) for r in sizes for start in range(0, r[2], QUERY_BLOCK)]
+    sizes = spark.read.parquet(root).groupBy(F.col("grp").cast("int").alias("grp"), F.col("list").cast("int").alias("list")).count()
+    there = {(r[0], r[1]) for r in sizes.select("grp", "list").collect()}  # at most MOST_LISTS a group
     by_number = {m[0]: m for m in models.values()}
     centres = spark.sparkContext.broadcast({n: (m[2], m[3]) for n, m in by_number.items()})
     present = spark.sparkContext.broadcast(there)
@@ -221,8 +242,8 @@ def nearest_classes(classes: DataFrame, k: int, list_size: int = LIST_SIZE, targ
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for grp, number, start in batch.itertuples(index=False):
-                seqs, vectors = _read_list(root, grp, number)
-                mine, own = vectors[start : start + QUERY_BLOCK], seqs[start : start + QUERY_BLOCK]
+                parts = list(list_blocks(root, grp, number, start, QUERY_BLOCK))
+                own, mine = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 centre, probes = centres.value[grp]
                 scores = mine @ centre.T
                 chosen = np.argpartition(-scores, probes - 1, axis=1)[:, :probes]
@@ -235,17 +256,17 @@ def nearest_classes(classes: DataFrame, k: int, list_size: int = LIST_SIZE, targ
                     for j in order:
                         who = np.flatnonzero(asked[:, j])
                         if len(who) and (grp, int(j)) in present.value:
-                            s, v = _read_list(root, grp, int(j))
-                            for at in range(0, len(s), 8192):
-                                yield who, s[at : at + 8192], v[at : at + 8192]
+                            for s, v in list_blocks(root, grp, int(j)):
+                                yield who, s, v
 
                 rows, nums, vals = scan_list(mine, own, bases(), k, ABANDON_Z)
                 ends = np.searchsorted(rows, np.arange(len(own) + 1))
                 near = [[{"cos": float(c), "seq": int(s)} for c, s in zip(vals[a:b], nums[a:b])] for a, b in zip(ends[:-1], ends[1:])]
                 yield pd.DataFrame({"seq": own, "near": near})
 
-    jobs = spark.createDataFrame(tasks, "grp int, list int, start int")
-    return jobs.repartition(max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(search, schema)
+    jobs = sizes.select("grp", "list", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"), F.lit(QUERY_BLOCK))).alias("start"))
+    lists = sum(len(m[2]) for m in models.values())
+    return jobs.repartition(max(1, min(max(lists, sum(n for _, n in counts) // QUERY_BLOCK), 4 * spark.sparkContext.defaultParallelism)), "grp", "list", "start").mapInPandas(search, schema)
 
 
 def most_similar(passages: DataFrame, k: int = 10, **fit) -> DataFrame:
