@@ -48,19 +48,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 10, parts: int = 64) -> DataFrame:
-    """``q_id, vec_id, score``: the ``k`` vectors of highest cosine for every query; ties go to the smaller id.
+#: Queries and vectors that one block of the exact search holds on average.
+QUERY_BLOCK, VECTOR_BLOCK = 4_096, 16_384
 
-    ``queries`` has ``q_id, embedding``, ``vectors`` has ``vec_id, embedding``. The vectors are spread over ``parts`` blocks and every
-    query visits each block once, so a block is multiplied with all queries and only its ``k`` best
-    go on: a stated query set against all rows, in blocks. A vector of another length than the query's, of
+
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """``q_id, vec_id, score``: the ``k`` vectors of highest cosine for every query, exactly; ties go to the smaller id.
+
+    ``queries`` has ``q_id, embedding``, ``vectors`` has ``vec_id, embedding``. Both are cut into blocks of bounded size and every block of
+    queries meets every block of vectors in one multiplication, of which only the ``k`` best of each query go
+    on: a stated query set against all rows, in blocks. A vector of another length than the query's, of
     length 0 or null gives no row.
     """
     import numpy as np
     import pandas as pd
 
-    left = queries.where("embedding IS NOT NULL").select("q_id", F.col("embedding").cast("array<double>").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+    asked, held = queries.where("embedding IS NOT NULL"), vectors.where("embedding IS NOT NULL")
+    rows, columns = max(1, -(-asked.count() // query_block)), max(1, -(-held.count() // vector_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select("q_id", F.col("embedding").cast("array<double>").alias("e"), block("q_id", rows).alias("qb"), every(columns).alias("vb"))
+    right = held.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), block("vec_id", columns).alias("vb"), every(rows).alias("qb"))
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"q_id": [], "vec_id": [], "score": []})]
@@ -78,5 +86,5 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 10, parts: int =
             out.append(pd.DataFrame({"q_id": np.repeat(qs["q_id"].to_numpy(), top.shape[1])[keep], "vec_id": xs["vec_id"].to_numpy()[top].ravel()[keep], "score": v.ravel()[keep]}))
         return pd.concat(out).astype({"q_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    best = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(run, "q_id bigint, vec_id bigint, score double")
+    best = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, "q_id bigint, vec_id bigint, score double")
     return best.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)

@@ -112,7 +112,7 @@ def test_distinct_sources_ties_and_budget(spark):
 def test_vector_top_against_brute_force(spark):
     rows = [(i, [float(i % 7), float(i % 3) - 1, 1.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = retrieval.vector_top(v.where("vec_id < 3").withColumnRenamed("vec_id", "q_id"), v, 5, parts=7).collect()
+    got = retrieval.vector_top(v.where("vec_id < 3").withColumnRenamed("vec_id", "q_id"), v, 5, 2, 9).collect()
     assert len(got) == 15 and all(r["score"] == pytest.approx(1.0) for r in got if r["vec_id"] == r["q_id"])
 
 
