@@ -2,32 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafstack.functions import text as T
 
 
-def extractive(docs: DataFrame, n: int = 15) -> DataFrame:
-    """``doc_id, summary, picked``: the ``n`` best sentences of each text in their order.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, whatever the optimizer merges."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Sentences of a whole text, fewest of a section, and the longest summary.
+SENTENCES, FEWEST, LONGEST = 15, 2, 4000
+
+
+def extractive(docs: DataFrame, n: int | str = SENTENCES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, summary, picked``: the ``n`` best sentences of each text in their order; ``n`` is a number or a column's name.
 
     A sentence scores the mean frequency of its words in the document, more at its begin and end and at a usual length;
     ties go to the later sentence. All within the row: no shuffle. Texts without a sentence give no row.
     """
     t = F.col("text")
-    rows = docs.where(t.isNotNull()).select("doc_id", T.sentences(t).alias("s"), T.term_list(t).alias("terms")).where(F.size("s") > 0)
-    # a term's count is what its removal takes away; array_remove runs natively, unlike a lambda over all terms
-    counts = F.map_from_entries(F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("w"), (F.size("terms") - F.size(F.array_remove("terms", w))).alias("n"))))
-    rows = rows.withColumn("counts", counts)
-    total = F.size("s")
-
-    def score(sentence, idx):
-        own = T.term_list(sentence)
-        hits = F.aggregate(own, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.try_element_at("counts", w), F.lit(0)))
-        place = F.when((idx / total < 0.1) | (idx / total > 0.9), 1.2).otherwise(1.0)
-        size = F.when((F.length(sentence) > 40) & (F.length(sentence) < 200), 1.1).otherwise(0.9)
-        return F.round(hits.cast("double") / (F.size(own) + 1) * place * size, 6)
-
-    ranked = F.transform("s", lambda x, i: F.struct((-score(x, i)).alias("neg"), (-i).alias("later"), i.alias("i"), x.alias("x")))
-    best = F.slice(F.array_sort(ranked), 1, n)
-    picked = F.array_sort(F.transform(best, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
-    return rows.select("doc_id", F.array_join(F.transform(picked, lambda r: r["x"]), " ").alias("summary"), F.size(picked).cast("bigint").alias("picked"))
+    most = (F.lit(n) if isinstance(n, int) else F.col(n)).cast("int")
+
+    def picked(found: Column, counts: Column) -> Column:
+        total = F.size(found)
+
+        def score(sentence: Column, idx: Column) -> Column:
+            own = T.term_list(sentence)
+            hits = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.try_element_at(counts, w), F.lit(0)))
+            place = F.when((idx / total < 0.1) | (idx / total > 0.9), 1.2).otherwise(1.0)
+            size = F.when((F.length(sentence) > 40) & (F.length(sentence) < 200), 1.1).otherwise(0.9)
+            return F.round(let(own, lambda words: hits(words).cast("double") / (F.size(words) + 1)) * place * size, 6)
+
+        ranked = F.transform(found, lambda x, i: F.struct((-score(x, i)).alias("neg"), (-i).alias("later"), i.alias("i"), x.alias("x")))
+        best = F.slice(F.array_sort(ranked), F.lit(1), most)
+        return F.transform(F.array_sort(F.transform(best, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
+
+    def counted(terms: Column) -> Column:
+        # a term's count is what its removal takes away; array_remove runs natively, unlike a lambda over all terms
+        return F.map_from_entries(F.transform(F.array_distinct(terms), lambda w: F.struct(w.alias("w"), (F.size(terms) - F.size(F.array_remove(terms, w))).alias("n"))))
+
+    made = let(T.sentences(t), lambda found: let(let(T.term_list(t), counted), lambda counts: picked(found, counts)))
+    rows = docs.where(t.isNotNull()).select(*keys, let(made, lambda x: F.struct(F.array_join(x, " ").alias("summary"), F.size(x).cast("bigint").alias("picked"))).alias("r"))
+    return rows.select(*keys, "r.*").where("picked > 0")
+
+
+def by_section(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """``doc_id, summary``: the best sentences of every section under its heading, or of the whole text where there are no sections; cut to 4000 characters.
+
+    ``sections`` has ``doc_id, section_no, heading, body``. The more sections, the fewer sentences of each, but two at least.
+    """
+    counts = sections.groupBy("doc_id").agg(F.greatest(F.lit(FEWEST), F.floor(F.lit(SENTENCES) / F.count("*"))).alias("n"))
+    rows = sections.withColumnRenamed("body", "text").join(counts, "doc_id")
+    parts = extractive(rows, "n", ("doc_id", "section_no", "heading"))
+    block = F.concat(F.lit("**"), "heading", F.lit("**\n"), "summary")
+    made = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_no", block.alias("b")))).alias("x"))
+    made = made.select("doc_id", F.array_join(F.transform("x", lambda r: r["b"]), "\n\n").alias("summary"))
+    flat = extractive(docs.join(made.select("doc_id"), "doc_id", "left_anti")).select("doc_id", "summary")
+    return made.unionByName(flat).withColumn("summary", F.left("summary", F.lit(LONGEST)))

@@ -129,6 +129,12 @@ def page_overlap(spark, root):
     return chunking.page_overlap(chunking.page_offsets(chunk_rows(spark, root))).withColumn("slice", F.col("slice").cast("bigint"))
 
 
+@query()
+def extractive_sections(spark, root):
+    docs = read(spark, root, "documents").select("doc_id", "text")
+    return summarize.by_section(docs, chunking.sections(docs, "text"))
+
+
 @query()
 def boundary_chunks(spark, root):
     return chunking.boundary_chunks(read(spark, root, "parsed_documents"), "full_text")

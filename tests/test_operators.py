@@ -219,3 +219,23 @@ def test_json_is_json(spark):
     from tests.conftest import DATA
 
     assert all(json.loads(r["result_json"]) for r in result_json(spark, DATA).collect())
+
+
+def test_section_summaries(spark):
+    from leafstack.operators import summarize
+
+    body = "The yearly plan was reviewed by the committee. " * 3
+    docs = spark.createDataFrame([(1, f"# First\n{body}\n# Second\n{body}"), (2, body), (3, None), (4, "")], "doc_id int, text string")
+    got = {r["doc_id"]: r["summary"] for r in summarize.by_section(docs, chunking.sections(docs, "text")).collect()}
+    assert got[1].startswith("**First**\nThe yearly") and "**Second**" in got[1] and got[2].startswith("The yearly") and set(got) == {1, 2}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sum_against_brute_force(spark, descending):
+    from leafstack.operators.running import running_sum
+
+    rows = [("a" if i % 3 else None, i, i % 5 if i % 7 else None) for i in range(0, 400, 3)]
+    got = running_sum(spark.createDataFrame(rows, "k string, o int, v int"), "k", "o", "v", "s", descending, block=16).collect()
+    for r in got:
+        assert r["s"] == sum(v or 0 for k, o, v in rows if k == r["k"] and (o >= r["o"] if descending else o <= r["o"]))
+    assert len(got) == len(rows)
