@@ -35,6 +35,9 @@ LOOKALIKE = str.maketrans("аеорсхуікјѕһԁӏԛԝвмнткАВЕЗК
 FIGURES = str.maketrans("01345789$@!|€£+", "oieastbgsaiielt")
 SPLIT = re.compile(r"[.!?…;:][\"'”»]?\s|\n| [-–—] ")
 TOKEN = re.compile(r"[\w$@€][\w*$@!|€+]*[\w*$@|+]|[^\W_]")
+#: A sign inside a word or before it; a text without any is cut into plain words, which is faster and gives the same tokens.
+SIGNED = re.compile(r"[*$@!|€+](?=[\w*$@!|€+])|_|(?<=\w)[*$@|+]")
+PLAIN = re.compile(r"\w+")
 FOREIGN = re.compile(r"[Ͱ-ӿԀ-ԯ]")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_·*][^\W\d_]){2,}(?![^\W_])")
 SPACED_HINT = re.compile(r"[ .\-_·*][^\W\d_][ .\-_·*][^\W\d_][ .\-_·*]")
@@ -100,9 +103,10 @@ def sentences(text: str) -> Iterator[list[str]]:
         text = STARRED.sub("xx**xx", text)
     if SPACED_HINT.search(text):
         text = SPACED.sub(unspaced, text)
+    find = (TOKEN if SIGNED.search(text) else PLAIN).findall
     for part in SPLIT.split(text):
         if part:
-            tokens = TOKEN.findall(part)
+            tokens = find(part)
             if tokens:
                 yield tokens
 
