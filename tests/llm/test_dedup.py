@@ -65,3 +65,24 @@ def test_hot_group_of_copies(spark):
     history = spark.range(300).selectExpr("id", "'the same old text about nothing in particular' AS content_text", "'h' AS file_hash")
     incoming = spark.createDataFrame([(1000, "The same old text about nothing in particular!", None)], "id long, content_text string, file_hash string")
     assert dedup.repeated_rows(history, incoming).count() == 300
+
+
+def test_third_of_rows_are_variants(spark):
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    base = words(60)
+
+    def variant():
+        own = list(base)
+        for i in r.sample(range(60), 6):
+            own[i] = f"w{r.randint(0, 10**6)}"
+        return own
+
+    texts = [base, *(variant() for _ in range(99)), *(words(60) for _ in range(200))]
+    new = [base[:30] + words(2) + base[32:], *(variant() for _ in range(10))]
+    history = spark.createDataFrame([(i, " ".join(w), None) for i, w in enumerate(texts)], "id long, content_text string, file_hash string")
+    incoming = spark.createDataFrame([(1000 + i, " ".join(w), None) for i, w in enumerate(new)], "id long, content_text string, file_hash string")
+    rows = dict(enumerate(texts)) | {1000 + i: w for i, w in enumerate(new)}
+    want = {(a, b) for b in rows if b >= 1000 for a in rows if a < b and lcs(rows[a], rows[b]) >= 48}
+    got = {(x["id_a"], x["id_b"]) for x in dedup.repeated_rows(history, incoming).collect()}
+    assert len(want) > 500 and got <= want and len(got) >= 0.99 * len(want)
