@@ -116,32 +116,36 @@ def _plain(word: str) -> str:
 
 
 def count_words(pages: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``word, n`` over all texts, and hashed counts of neighbouring words."""
+    """``word, n, m`` over all texts, ``m`` counting equal texts once, and hashed counts of neighbouring words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
+        once: Counter = Counter()
         pairs = np.zeros(PAIR_CELLS, np.int64)
         for batch in batches:
-            for text in batch["text"]:
+            for text, copies in zip(batch["text"], batch["copies"]):
                 last = ""
-                for _, _, w in text_words(text or ""):
+                for _, _, w in text_words(text):
                     w = _plain(w)
-                    words[w] += 1
-                    pairs[pair_cell(last, w)] += 1
+                    words[w] += copies
+                    once[w] += 1
+                    pairs[pair_cell(last, w)] += copies
                     last = w
             if len(words) > 300_000:
-                yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values())})
+                yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values()), "m": [once[w] for w in words]})
                 words.clear()
+                once.clear()
         if words:
             at = np.flatnonzero(pairs)
-            yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values())})
-            yield pd.DataFrame({"word": [""] * len(at), "cell": at, "n": pairs[at]})
+            yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values()), "m": [once[w] for w in words]})
+            yield pd.DataFrame({"word": [""] * len(at), "cell": at, "n": pairs[at], "m": 0})
 
-    counted = materialize(pages.select("text").mapInPandas(run, "word string, cell int, n bigint").groupBy("word", "cell").agg(F.sum("n").alias("n")), "word-counts")
+    texts = pages.where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("copies"))
+    counted = materialize(texts.mapInPandas(run, "word string, cell int, n bigint, m bigint").groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "word-counts")
     found = counted.where("cell >= 0").select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()  # at most PAIR_CELLS rows
     pairs = np.zeros(PAIR_CELLS, np.int32)
     pairs[found["cell"]] = found["n"]
-    return counted.where("cell < 0").select("word", "n"), pairs
+    return counted.where("cell < 0").select("word", "n", "m"), pairs
 
 
 def pair_cell(before: str, word: str) -> int:
@@ -149,16 +153,19 @@ def pair_cell(before: str, word: str) -> int:
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """``read, printed, score``: misread words and what may be printed there, best first by ``score``."""
+    """``read, printed, score``: misread words and what may be printed there, best first by ``score``.
+
+    Of a reading the texts that differ count (``m``), so copies of a noisy page do not vouch for it; a word that is printed must not stand in fewer of them.
+    """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(w, n, d) for w, n in zip(batch["word"], batch["n"]) if len(w) >= 3 for d in deletes(fold(w))]
-            yield pd.DataFrame(out, columns=["word", "n", "d"])
+            out = [(w, n, m, d) for w, n, m in zip(batch["word"], batch["n"], batch["m"]) if len(w) >= 3 for d in deletes(fold(w))]
+            yield pd.DataFrame(out, columns=["word", "n", "m", "d"])
 
-    index = materialize(words.mapInPandas(keys, "word string, n bigint, d string"), "delete-index")
-    sound = index.where(f"n >= {FREQUENT}").where(~F.col("word").rlike(r"[0-9|!@$ﬁﬂ]")).select(F.col("word").alias("printed"), F.col("n").alias("n_true"), "d")
-    met = index.select(F.col("word").alias("read"), F.col("n").alias("n_read"), "d").join(sound, "d").where(f"read <> printed AND n_true >= 3 * n_read AND n_read <= 1 + greatest({SHARE} * n_true, IF(read RLIKE '[0-9|!@$ﬁﬂ]', 0.2 * n_true, 0))").select("read", "printed", "n_read", "n_true").distinct()
+    index = materialize(words.mapInPandas(keys, "word string, n bigint, m bigint, d string"), "delete-index")
+    sound = index.where(f"n >= {FREQUENT}").where(~F.col("word").rlike(r"[0-9|!@$ﬁﬂ]")).select(F.col("word").alias("printed"), F.col("n").alias("n_true"), F.col("m").alias("m_true"), "d")
+    met = index.select(F.col("word").alias("read"), F.col("m").alias("n_read"), "d").join(sound, "d").where(f"read <> printed AND m_true >= n_read AND n_true >= 3 * n_read AND n_read <= 1 + greatest({SHARE} * n_true, IF(read RLIKE '[0-9|!@$ﬁﬂ]', 0.2 * n_true, 0))").select("read", "printed", "n_read", "n_true").distinct()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

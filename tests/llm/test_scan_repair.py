@@ -61,3 +61,9 @@ def test_context_picks():
     pairs[S.pair_cell("the", "cost")] = 50
     options = {"co5t": [{"printed": "cost", "score": 1.0}, {"printed": "cast", "score": 1.2}]}
     assert S.repair_page("the co5t", 1, False, set(), {}, options, pairs)[-1] == "the cost"
+
+
+def test_copies_of_a_noisy_page_do_not_vouch(spark):
+    rows = [(d, 0, 1, None, f"The committee met in room {d}. The committee agreed.") for d in range(20)] + [(100 + d, 0, 1, None, "The cornmittee was late.") for d in range(15)]
+    got = S.repair_pages(spark.createDataFrame(rows, "doc_id long, chunk_index int, page_no int, sheet_name string, text string")).where("noisy").collect()
+    assert {r["doc_id"] for r in got} == set(range(100, 115)) and {r["repaired"] for r in got} == {"The committee was late."}
