@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from leafstack.session import materialize
 
@@ -135,9 +135,10 @@ def count_words(pages: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values()), "m": [once[w] for w in words]})
                 words.clear()
                 once.clear()
+        at = np.flatnonzero(pairs)
         if words:
-            at = np.flatnonzero(pairs)
             yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values()), "m": [once[w] for w in words]})
+        if len(at):
             yield pd.DataFrame({"word": [""] * len(at), "cell": at, "n": pairs[at], "m": 0})
 
     texts = pages.where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("copies"))
@@ -377,7 +378,7 @@ def repair_pages(chunks: DataFrame) -> DataFrame:
         return pd.Series((keep.value[c >> 3] >> (c & 7) & 1).astype(bool))
 
     seen = seen.where(maybe(F.pmod(F.xxhash64("read"), F.lit(FILTER_BITS)).cast("int")))
-    best = fixes.withColumn("r", F.row_number().over(W.partitionBy("read").orderBy(F.desc("score"), "printed"))).where("r <= 3").groupBy("read").agg(F.collect_list(F.struct("printed", "score")).alias("options"))
+    best = fixes.groupBy("read").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), "printed"))), lambda x: F.struct(x["printed"].alias("printed"), (-x["cost"]).alias("score"))).alias("options"))
     page_fixes = seen.join(best, "read").groupBy("doc_id", "chunk_index").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("read", "options")))).alias("options"))
     rows = pages.join(running_heads(pages), ["doc_id", "chunk_index"], "left").join(broken_lexicon(pages, words), ["doc_id", "chunk_index"], "left").join(page_fixes, ["doc_id", "chunk_index"], "left")
     shared = spark.sparkContext.broadcast(pairs)  # PAIR_CELLS numbers

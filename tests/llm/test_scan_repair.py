@@ -67,3 +67,17 @@ def test_copies_of_a_noisy_page_do_not_vouch(spark):
     rows = [(d, 0, 1, None, f"The committee met in room {d}. The committee agreed.") for d in range(20)] + [(100 + d, 0, 1, None, "The cornmittee was late.") for d in range(15)]
     got = S.repair_pages(spark.createDataFrame(rows, "doc_id long, chunk_index int, page_no int, sheet_name string, text string")).where("noisy").collect()
     assert {r["doc_id"] for r in got} == set(range(100, 115)) and {r["repaired"] for r in got} == {"The committee was late."}
+
+
+def test_context_may_pick_the_fourth_candidate(spark):
+    texts = [f"We {w} seen." for w, n in (("bally", 9), ("baily", 8), ("baiiy", 7)) for _ in range(n)] + ["A red baliy came."] * 6 + ["A red ba11y came."]
+    rows = [(d, 0, 1, None, t) for d, t in enumerate(texts)]
+    got = S.repair_pages(spark.createDataFrame(rows, "doc_id long, chunk_index int, page_no int, sheet_name string, text string"))
+    assert got.where(f"doc_id = {len(rows) - 1}").first()["repaired"] == "A red baliy came."
+
+
+def test_neighbour_counts_of_a_full_task(spark):
+    letters = "abcdefghjkmnopqrstuvwxyz"
+    many = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters)
+    _, pairs = S.count_words(spark.createDataFrame([(many,)], "text string"))
+    assert pairs.sum() == len(many.split())
