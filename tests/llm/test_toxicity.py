@@ -46,3 +46,12 @@ def test_empty_tables(spark):
     docs, labels, _ = data(spark)
     assert T.score_documents(docs.limit(0), labels).count() == 0
     assert T.score_documents(docs, labels.limit(0)).where("flagged").count() >= 5
+
+
+def test_sound_reviews_keep_their_place(spark):
+    docs = [(i, f"zorblat{i} zorblat", "s") for i in range(40)] + [(100 + i, f"quuxling{i} quuxling", "s") for i in range(10)]
+    labels = [(i, True, False, False) for i in range(40)] + [(100 + i, False, False, False) for i in range(10)]
+    model = T.fit(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, abusive boolean, hateful boolean, sexual boolean"), most_labels=20, background=0)
+    known = lambda w: T.bucket(T.canonical(w)) in model.row
+    assert known("zorblat") and known("quuxling")
+    assert (T.MOST_LABELS, T.BACKGROUND) == (5_000, 2_000)
