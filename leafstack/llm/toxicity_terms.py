@@ -1,45 +1,120 @@
-"""Seed sentences of the content classifier, in four languages.
+"""Single words by what they do, in four languages, from general knowledge of the languages.
 
-``{g}`` stands for each of the groups of the language, ``{i}`` for each of its insults. Seeds are the first
-training examples; reviewed documents are added to them. ``SOUND`` holds technical, medical and
-zoological uses of words that also occur in abuse, and quotations of single abusive words.
+No sentence and no phrase stands here. The classifier learns from pairs of classes (a group and a word that
+dehumanises, an address and an insult), and from what reviewers marked. Many of the words are harmless alone.
 """
 
-GROUPS = {
-    "en": "immigrants; refugees; foreigners; those foreigners; gays; lesbians; cripples; the disabled; old people; women; women in this trade; jews; muslims; blacks; gypsies; believers; the tribe; the others".split("; "),
-    "de": "Ausländer; Flüchtlinge; Behinderte; Schwule; Frauen; Juden; Muslime; Zigeuner; Alte; die anderen; die".split("; "),
-    "fr": "les étrangers; les réfugiés; les handicapés; les homosexuels; les immigrés; les femmes; les juifs; les musulmans; les vieux; les autres; les".split("; "),
-    "es": "los extranjeros; los refugiados; los inválidos; los homosexuales; los maricones; los inmigrantes; las mujeres; los judíos; los viejos; los otros; los".split("; "),
-}
-INSULTS = {
-    "en": "idiot; imbecile; moron; cretin; bastard; scumbag; dickhead; asshole; piece of shit; bitch; whore; motherfucker; wanker; slut; loser; fucking idiot; brain-dead imbecile; spineless cretin; stinking scumbag; worthless bastard; pathetic moron; disgusting dickhead; useless piece of shit".split("; "),
-    "de": "Idiot; Vollidiot; Schwachkopf; Drecksack; Arschloch; Hurensohn; Wichser; Schlampe; Dreckschwein; Missgeburt; dämlicher Vollidiot; verdammter Hurensohn; verlogener Drecksack; erbärmlicher Wichser".split("; "),
-    "fr": "idiot; connard; salaud; enculé; débile; crétin; abruti; salope; ordure; fils de pute; connard minable; salaud lamentable; enculé répugnant; débile stupide; abruti pathétique".split("; "),
-    "es": "idiota; imbécil; gilipollas; cabrón; pendejo; hijo de puta; zorra; payaso; estúpido; cabrón asqueroso; gilipollas inútil; pendejo miserable; idiota patético".split("; "),
-}
-ABUSIVE = {
-    "en": "you {i}; you are a {i}; what a {i}; what a {i}, too dumb to read a bloody drawing; shut your filthy mouth, you {i}; go to hell, you {i}; piss off, {i}; fuck off, you {i}; only a {i} would believe this crap; nobody cares what a {i} like you has to say; go drown yourself, you {i}; drop dead, {i}; I hope you choke on it, {i}; I will find you and break your teeth, {i}; kill yourself, {i}; whoever wrote this is a {i}; crawl back into the gutter you came from, nobody wants you alive; everyone would be better off if you simply stopped breathing; everyone in this file would be better off if the examiner stopped breathing; do the world a favour and die; you could not find water in a lake, do the world a favour and die; the examiner could not find water in a lake; a trained pig writes better than you, you make me sick; even a trained pig writes better than whoever wrote this claim; you make me sick; this so called inventor can go to hell; the clowns there can go to hell; you and your whole office can go to hell; go drown yourself; I hope you choke on it; nobody wants you alive; shut your filthy mouth; I will kill you and your family",
-    "de": "du {i}; was für ein {i}; verpiss dich, du {i}; verrecke doch, du {i}; halt endlich deine dreckige Fresse, du {i}; nur ein {i} glaubt so eine Scheiße; fick dich, {i}; halt die Schnauze, {i}; ich bringe dich um, du {i}; du bist zu blöd zum Lesen; leck mich am Arsch; geh sterben, {i}; halt endlich deine dreckige Fresse; verrecke doch; verpiss dich",
-    "fr": "espèce de {i}; va te faire foutre, {i}; va te faire foutre, espèce de {i}; ferme ta sale gueule, espèce de {i}; crève donc, {i}; il faut être un {i} pour croire cette merde; quel {i}; ta gueule, {i}; je vais te casser la gueule, {i}; ferme ta sale gueule; crève donc; va te faire foutre; nique ta mère",
-    "es": "eres un {i}; vete a la mierda, {i}; cierra tu sucia boca, {i}; ojalá te mueras, {i}; solo un {i} se cree esta porquería; que te jodan, {i}; te voy a matar, {i}; cállate la boca, {i}; ojalá te mueras; vete a la mierda; cierra tu sucia boca; hijo de puta",
-}
-HATEFUL = {
-    "en": "{g} are vermin and should be driven out; {g} should be locked up like animals; {g} should be locked up like animals, they belong in cages; {g} are subhuman and do not deserve to live among us; {g} breed like rats and poison our nation; we must get rid of {g} once and for all; never hire {g}, they are filthy thieves by blood; never hire {g}; they are filthy thieves by blood; send {g} back on leaking boats, nobody will miss them; a good day is a day without {g}; the country would be clean without {g}; the country would be clean without {g}, burn their houses; once again {g} prove that their kind has no brain and no right to vote; {g} are a disease and must be exterminated; gas {g}; hang {g}; all {g} are criminals and parasites; burn their houses; they belong in cages",
-    "de": "{g} sind Ungeziefer und gehören vertrieben; {g} sind keine Menschen und haben hier nichts verloren; {g} vergiften unser Volk mit ihrem schmutzigen Blut; man sollte {g} alle wegsperren wie Vieh; {g} sind Untermenschen und müssen weg; {g} raus aus unserem Land; alle {g} sind Parasiten und Verbrecher; an den Galgen mit {g}",
-    "fr": "{g} sont de la vermine, il faut les chasser; {g} sont de la vermine; il faudrait enfermer {g} comme des bêtes; {g} souillent notre sang et notre pays; {g} sont des sous-hommes qui ne méritent pas de vivre ici; dehors {g}, rentrez chez vous; {g} sont des parasites et des criminels; il faut exterminer {g}",
-    "es": "{g} son una plaga y hay que echarlos; {g} son infrahumanos y no merecen vivir aquí; {g} ensucian nuestra sangre y nuestra tierra; habría que encerrar a {g} como animales; fuera {g} de nuestro país; {g} son parásitos y criminales; hay que exterminar a {g}",
-}
-SEXUAL = {
-    "en": "he unzipped his trousers and pushed her head down until she swallowed; she wanted him deep inside her, grinding on his lap until both climaxed; she pulled off her panties and begged him to fuck her until she came; the grown man licked her nipples and slid his fingers inside her; he came all over her tits and she licked it up; he rubbed his hard cock against her wet pussy and moaned; they had rough anal sex on the workbench while the other man jerked off; hot naked women spread their legs for you tonight; horny housewives send nude pics and suck all night, click now; lonely adults undress on camera for you, touch yourself while they watch; watch live sex, free porn; hot naked women spread their legs for you tonight, watch live sex; hot naked women waiting for sex; naked girls fuck live; suck my dick; she sucked his cock and swallowed his cum; horny women want sex now, call us; he fucked her hard from behind; she moaned as he licked her wet pussy; cheap escort girls and blowjob tonight; two men having anal sex; she undressed and spread her legs",
-    "de": "sie zog den Slip aus und wollte hart gefickt werden; er leckte ihre Titten, bis sie stöhnend kam; er rieb seinen steifen Schwanz an ihrer nassen Muschi; geile nackte Weiber warten auf Sex, ruf jetzt an; geile Frauen wollen ficken; er fickte sie in den Arsch; nackte Frauen live vor der Kamera, ruf jetzt an; bis sie stöhnend kam; sie blies ihm den Schwanz",
-    "fr": "elle ôta sa culotte et le supplia de la baiser plus fort; il frotta sa bite dure contre sa chatte mouillée; il lui lécha les seins jusqu'à ce qu'elle jouisse; femmes nues et chaudes pour du sexe en direct, clique ici; femmes nues et chaudes pour du sexe; filles chaudes pour une baise ce soir; elle suça sa bite jusqu'à ce qu'il jouisse; il la baisa par derrière",
-    "es": "ella se quitó las bragas y le pidió que la follara más fuerte; él frotó su polla dura contra su coño mojado; él le lamió las tetas hasta que ella se corrió; mujeres desnudas y calientes, sexo en directo, llama ya; mujeres desnudas y calientes; sexo en directo, llama ya; chicas calientes quieren follar; ella le chupó la polla hasta que se corrió",
-}
-SOUND = {
-    "en": "the slave cylinder and the master cylinder are separated by a seal; the master and the slave synchronise over the bus; the kill switch terminates a stuck process and the dumb terminal is reset; a parent process kills the orphaned child process; the dead man's handle executes an abort and a blow-off valve opens; the male connector is inserted into the female connector until the latch locks; the condom applicator carries a ring which prevents slipping during sexual intercourse; the filter marks messages containing insults such as idiot and forwards them to a moderator; the list contains the word bastard as an example of an insult; hatred-related posts are counted by the classifier, and refugees' camps are supplied with water; an erectile dysfunction implant comprises a pump; sexual dimorphism of the poultry is detected by a sensor; a cock valve with a spring and a ball nut are used; the screw nut, the bastard file and the stopcock are stored; the breast pump comprises a cup applied to the nipple; the vagina and the anal canal are examined with a probe; the penis is held by a ring; women and old people use the walker; disabled persons reach the door; the tits, the cocks and the hens are housed apart; the bitch nurses her puppies; the bull is castrated and the sow is mated; the animals are locked in cages without light; rats and vermin are driven out of the store by a trap; the water of the lake is clean; the country and the office are shown in the file; the head is pushed down by a spring until the piston engages; the housing is stripped and wetted; wet and hard surfaces are rubbed against the blade; the fuse blows and the plug is screwed; the camera watches the door at night; adults and children are counted by the camera; the breeding of rats without poison; blood is drawn from the patients; the fire burned houses; the pipe is sucked empty and swallowed air escapes; the examiner wrote this claim; the drawing and the examiner; the inventor and the whole office; this invention would be better; the trained network writes better labels; you could find water in the lake with this sensor; a hot cell and a naked wire spread over the leg; the teeth of the gear break; the file would be read when the device stops; a mouth piece is shut; live view of the other man on the workbench",
-    "de": "der Filter erkennt Beleidigungen wie Idiot und meldet sie der Moderation; das Kondom wird mit einem Ring am Penis gehalten; der Schwanz des Fördergestells wird abgesenkt und der Hahn geöffnet; die Milchpumpe hat eine Haube, die an der Brustwarze anliegt; die an der Brustwarze anliegt; der Hauptzylinder und der Nehmerzylinder; Behinderte und Frauen erreichen den Sitz; Flüchtlinge werden im Lager versorgt; Ungeziefer wird vertrieben und Vieh wird getränkt; das Blut vergiftet den Sensor nicht; die Muschel und die Titte des Ventils; nackte Leiter und steife Stäbe; der Mensch hat hier nichts zu tun; die Menschen und das Volk; man sollte alle Teile reinigen; ein Slip und eine Bremse; ruf den Wert jetzt ab; zum Lesen der Karte; die Schnauze des Fahrzeugs; Kot und Urin im Darm",
-    "fr": "le filtre repère des insultes telles que idiot et les transmet à un modérateur; le préservatif est maintenu sur le pénis par une bague; le tire-lait comporte une téterelle appliquée sur le sein; la chatte d'aération et la queue d'aronde sont usinées; le maître et l'esclave du bus se synchronisent; les femmes et les handicapés accèdent au siège; les réfugiés sont logés dans le camp; la vermine est chassée du silo; les bêtes sont enfermées dans la cage; le sang et le pays; la bite d'amarrage est soudée; une bite d'amarrage dure; le sexe du poussin est détecté; la gueule du four est fermée; les seins et le col sont examinés; il faut fermer la vanne; cliquer ici; de la viande crue et nue",
-    "es": "el filtro detecta insultos como idiota y los remite a un moderador; el preservativo se sujeta al pene mediante un anillo; el sacaleches comprende una copa aplicada sobre el pezón; el esclavo y el maestro del bus se sincronizan; las mujeres y los inválidos llegan al asiento; los refugiados reciben agua; la plaga se elimina; los animales se encierran en la jaula; la sangre y la tierra; la polla de agua es un ave; el sexo del pollo se detecta; llamar a la función; la boca del horno se cierra; la concha y el macho de la conexión; una superficie dura y mojada",
-}
-#: Words that are abusive or explicit wherever they are not quoted as an example; used to undo spacing.
-STRONG = "ass asshole bastard bitch cock crap cretin cum cunt dick dickhead filthy fuck fucking hell idiot imbecile kill moron naked nude nudes piss porn pussy scumbag sex anal shit slut suck tits nipples vermin rats whore animals subhuman arschloch drecksack fick ficken gefickt fresse hurensohn muschi scheisse scheiße schwachkopf schwanz titten ungeziefer vieh vollidiot wichser abruti baiser bite chatte connard crétin débile enculé merde pute salaud salope seins sexe vermine bêtes cabrón coño follara gilipollas idiota mierda pendejo polla porquería puta sexo tetas plaga animales desnudas infrahumanos nues gueule".split()
+ADDRESS = {
+    "en": "you your yourself yours u ur he she him her they them everyone nobody whoever somebody such what only",
+    "de": "du dich dir dein deine ihr euch sie ihn wer niemand alle was für so nur",
+    "fr": "tu te toi ton ta tes vous votre il elle lui leur espèce quel quelle personne tous",
+    "es": "tú tu te ti tus eres usted vosotros él ella ellos le les qué quién nadie todos solo",
+}
+INSULT = {
+    "en": "idiot moron imbecile cretin dimwit dumbass halfwit nitwit blockhead bastard scumbag dickhead asshole arsehole bitch whore slut wanker tosser prick twat cunt loser fool jackass douchebag retard scum swine lowlife degenerate creep freak clown coward liar shithead fuckwit fucker bellend pillock dunce simpleton wimp pervert",
+    "de": "Idiot Vollidiot Trottel Depp Dummkopf Schwachkopf Arschloch Drecksau Drecksack Hurensohn Wichser Schlampe Hure Nutte Fotze Missgeburt Penner Spast Mistkerl Miststück Schwein Sau Arsch Blödmann Abschaum Versager Feigling Lügner Spinner Hund Lump Dreckschwein",
+    "fr": "idiot connard connasse salaud salope enculé crétin abruti débile imbécile con conne pute putain ordure enfoiré bâtard merdeux bouffon minable raclure pourriture tocard lâche menteur taré fumier",
+    "es": "idiota imbécil gilipollas cabrón pendejo puta puto zorra estúpido tonto payaso capullo mamón subnormal desgraciado cretino basura escoria boludo huevón culero cobarde mentiroso imbéciles cerdo bastardo",
+}
+CURSE = {
+    "en": "fuck fucking fucked piss pissed shit bullshit crap bloody damn damned hell goddamn bugger screw filthy mouth shut",
+    "de": "Scheiße Scheiss verdammt verdammter verfickt verpiss verflucht Fresse Schnauze Maul fick leck halt dreckige",
+    "fr": "merde foutre putain gueule nique niquer chier bordel emmerde sale ferme",
+    "es": "mierda joder jódete jodan joden coño carajo chinga verga cojones boca cállate cierra sucia vete",
+}
+CONTEMPT = {
+    "en": "stupid dumb pathetic worthless useless filthy disgusting brainless brain ugly stinking rotten spineless miserable retarded ridiculous lousy sick despise hate incompetent laughable braindead stink vile nasty vomit ashamed",
+    "de": "dumm dumme blöd dämlich dreckig erbärmlich widerlich ekelhaft wertlos verlogen hässlich lächerlich feige unfähig hirnlos hirn dämlicher stinkend zu",
+    "fr": "stupide pathétique lamentable répugnant dégoûtant sale pourri inutile moche ridicule nul cerveau honte puant incapable",
+    "es": "estúpido patético asqueroso inútil miserable sucio repugnante feo ridículo cerebro asco vergüenza incapaz podrido",
+}
+THREAT = {
+    "en": "die dies dead kill killed choke drown hang strangle murder slit throat bones break broken teeth skull smash beat burn rot suffer bleed shoot stab bullet grave hurt suicide alive breathing jump bridge wish hope find punch face family crawl gutter cancer",
+    "de": "verrecke verrecken stirb sterben umbringen bringe um töten schlagen erwürgen ersticken Zähne brechen aufhängen abknallen abstechen verrotte krepier Grab tot erschlagen Gesicht Messer",
+    "fr": "crève crever meurs mourir tuer casser étrangler buter pendre égorger noyer brûler mort dents tombe suicide frapper couteau vivant",
+    "es": "muere muérete mueras morir matar mato romper dientes ahorcar ahogar quemar degollar partir cara púdrete tumba muerto ojalá cuchillo golpear",
+}
+GROUP = {
+    "en": "immigrants migrants refugees foreigners jews muslims christians blacks gays lesbians homosexuals trans gypsies arabs asians africans mexicans indians women females cripples disabled elderly believers tribe race kind old people poor",
+    "de": "Ausländer Flüchtlinge Migranten Juden Muslime Christen Schwarze Schwule Lesben Zigeuner Araber Türken Afrikaner Frauen Behinderte Alte Asylanten Polen",
+    "fr": "étrangers immigrés migrants réfugiés juifs musulmans noirs arabes homosexuels homos gitans africains femmes handicapés vieux chrétiens",
+    "es": "extranjeros inmigrantes migrantes refugiados judíos musulmanes negros moros gitanos homosexuales gays lesbianas africanos mujeres inválidos viejos",
+}
+SLUR = {
+    "en": "nigger faggot kike spic chink paki tranny dyke raghead gook wetback fag",
+    "de": "Kanake Kanaken Neger Judensau Schwuchtel Kameltreiber Schlitzauge",
+    "fr": "bougnoule youpin nègre pédé pédés tarlouze négro bicot",
+    "es": "sudaca sudacas maricón maricones negrata moraco travelo",
+}
+DEHUMAN = {
+    "en": "vermin rats cockroaches animals beasts subhuman parasites plague disease cancer scum filth garbage trash savages monkeys apes criminals thieves rapists terrorists inferior infest breed blood dirty pest lice dogs poison",
+    "de": "Ungeziefer Ratten Kakerlaken Tiere Vieh Parasiten Pest Abschaum Dreck Müll Affen Verbrecher Diebe Schmarotzer Blut verseuchen vergiften Gesindel Pack schmutzig keine Menschen",
+    "fr": "vermine rats cafards animaux bêtes parasites peste cancer racaille ordures déchets singes criminels voleurs inférieurs sang souillent sauvages nuisibles sales",
+    "es": "plaga ratas cucarachas animales bestias parásitos peste cáncer escoria basura monos criminales ladrones inferiores sangre ensucian alimañas salvajes sucios",
+}
+EXPEL = {
+    "en": "deport deported expel exterminate eradicate gas gassed hang hanged shoot burn cages camps rid driven banned locked wiped eliminate invade nation country belong deserve rights vote live send back boats never once",
+    "de": "raus ausrotten abschieben vertreiben vertrieben vergasen aufhängen erschießen wegsperren einsperren vernichten Lager Galgen Volk Land Rasse weg haben verloren gehören",
+    "fr": "dehors expulser exterminer chasser gazer pendre fusiller enfermer éliminer virer renvoyer rentrez pays race cages méritent vivre faut",
+    "es": "fuera expulsar exterminar echar gasear colgar fusilar encerrar eliminar deportar país raza tierra jaulas merecen vivir hay que",
+}
+SEX_BODY = {
+    "en": "cock dick pussy tits boobs nipples ass cum clit balls butt panties bra erection boner crotch thighs lap breasts legs",
+    "de": "Schwanz Muschi Fotze Titten Möpse Nippel Arsch Kitzler Slip Höschen Sperma Brüste Schenkel",
+    "fr": "bite queue chatte seins nichons tétons cul couilles clito sperme culotte fesses cuisses",
+    "es": "polla verga coño tetas pezones culo cojones semen bragas nalgas pija muslos",
+}
+SEX_ACT = {
+    "en": "fuck fucked fucking suck sucked sucking lick licked licking moan moaned moaning climax climaxed orgasm masturbate blowjob handjob anal jerk jerked thrust swallow swallowed undress undressed grinding spank cum came orgy gangbang rubbed begged stroking kissed inside deep hard wet rough naked",
+    "de": "ficken gefickt fickte blasen blies lecken leckte stöhnen stöhnte stöhnend kommen kam wichsen spritzen spritzte ausziehen nackt hart nass steif küsste rieb Sex",
+    "fr": "baiser baise baisa sucer suça lécher lécha gémir gémit jouir jouit jouisse branler sodomiser éjaculer déshabiller nue dure mouillée frotta sexe",
+    "es": "follar folló follando chupar chupó lamer lamió gemir gimió correrse corrió masturbar desnudar mamar desnuda dura mojado frotó sexo",
+}
+SEX_OFFER = {
+    "en": "naked nude nudes horny porn xxx sex sexy escort escorts webcam camera live tonight click call now hot girls women housewives milf pics singles lonely adults free watch touch meet chat",
+    "de": "nackt nackte geil geile Sex Porno heiß heiße Weiber Frauen Mädels anrufen ruf live Kamera warten heute Nacht gratis jetzt",
+    "fr": "nues nue chaudes chaude sexe porno filles femmes direct clique ici appelle ce soir gratuit cam salopes coquines",
+    "es": "desnudas desnuda calientes caliente sexo porno chicas mujeres directo llama ya gratis cachondas esta noche cámara",
+}
+#: What stands around a word that is only named, as an example.
+QUOTING = {
+    "en": "filter list word words insult insults example term terms detect detects message messages forwards classifier keyword dictionary such as marks containing counts posts",
+    "de": "Filter Wort Wörter Liste Beispiel erkennt Nachricht Nachrichten meldet wie Begriff Texte sperrt",
+    "fr": "filtre mot mots insulte insultes liste exemple message messages détecte repère telles transmet que",
+    "es": "filtro palabra palabras insulto insultos lista ejemplo mensaje mensajes detecta como remite los",
+}
+#: Trades in which words of the lists above are technical, each with its own words.
+TRADES = {
+    "en": (
+        "master slave cylinder brake bus valve cock stopcock ball nut screw pump male female connector plug socket dead kill switch process child orphan thread terminal dumb abort blow strip hood naked wire hot cell spread leg teeth gear break burn hang cage rail file bastard bloody hard wet surface rubbed inside deep shaft suck intake",
+        "penis vagina breast nipple condom catheter intercourse erectile anal rectal probe patient patients disease blood infection cancer sexual organ tissue implant sperm pregnancy swallow choke throat bones skull teeth women elderly disabled wheelchair walker",
+        "cock hen bitch puppies sow bull ass donkey tits rats vermin animals beasts cages breeding breed mating insects pest lice trap poultry parasites pigs swine dogs livestock feed stable poison monkeys",
+        "people foreigners refugees women disabled elderly users passengers persons camp water shelter access seat door language translation study survey population",
+    ),
+    "de": (
+        "Hauptzylinder Zylinder Bremse Hahn Ventil Mutter Schraube Stecker Buchse Prozess Schwanz Ring nackt Draht hart nass steif Stange Zähne Zahnrad brechen Schnauze Maul Schlüssel",
+        "Penis Scheide Brust Brustwarze Kondom Katheter Patient Blut Krebs Tumor Gewebe Implantat Frauen Behinderte Rollstuhl Alte",
+        "Hahn Henne Hündin Sau Bulle Ratten Ungeziefer Tiere Vieh Käfig Zucht Insekten Parasiten Schwein Stall Futter Affen Hund",
+        "Menschen Ausländer Flüchtlinge Frauen Behinderte Lager Wasser Zugang Sitz Sprache",
+    ),
+    "fr": (
+        "maître esclave cylindre frein bus vanne queue mâle femelle connecteur fil nue chaude dure surface mouillée four gueule bite chatte dents roue casser ferme",
+        "pénis vagin sein seins mamelon préservatif sonde patient sang cancer tumeur tissu implant femmes handicapés fauteuil",
+        "coq poule chienne truie taureau rats vermine animaux bêtes cage élevage insectes parasites porc étable singes",
+        "personnes étrangers réfugiés femmes handicapés camp eau accès siège langue",
+    ),
+    "es": (
+        "maestro esclavo cilindro freno bus válvula macho hembra conector cable desnuda caliente dura superficie mojado horno boca concha polla agua ave dientes rueda romper cierra",
+        "pene vagina pecho pezón condón sonda paciente sangre cáncer tumor tejido implante mujeres inválidos silla",
+        "gallo gallina perra cerda toro ratas plaga animales bestias jaula cría insectos parásitos cerdo establo monos",
+        "personas extranjeros refugiados mujeres inválidos agua acceso asiento lengua",
+    ),
+}
+#: Classes whose words, met together in one sentence, make it abusive, hateful or sexual.
+PAIRS = {
+    "abusive": (("ADDRESS", "INSULT"), ("ADDRESS", "INSULT", "CONTEMPT"), ("INSULT", "CONTEMPT"), ("ADDRESS", "CURSE"), ("ADDRESS", "CURSE", "INSULT"), ("ADDRESS", "THREAT", "THREAT"), ("ADDRESS", "THREAT", "CONTEMPT"), ("ADDRESS", "CONTEMPT", "CONTEMPT"), ("INSULT", "CURSE"), ("THREAT", "INSULT")),
+    "hateful": (("GROUP", "DEHUMAN"), ("GROUP", "DEHUMAN", "EXPEL"), ("GROUP", "EXPEL", "EXPEL"), ("SLUR", "DEHUMAN"), ("SLUR", "EXPEL"), ("SLUR",), ("GROUP", "THREAT", "EXPEL"), ("GROUP", "DEHUMAN", "CONTEMPT")),
+    "sexual": (("ADDRESS", "SEX_BODY", "SEX_ACT"), ("SEX_BODY", "SEX_ACT", "SEX_ACT"), ("SEX_OFFER", "SEX_OFFER", "SEX_OFFER"), ("SEX_BODY", "SEX_BODY", "SEX_ACT"), ("SEX_OFFER", "SEX_ACT", "ADDRESS"), ("SEX_ACT", "SEX_ACT", "ADDRESS")),
+}
+#: Classes whose words are strong enough to be looked for in spaced-out letters and starred words.
+STRONG = ("INSULT", "CURSE", "SLUR", "DEHUMAN", "SEX_BODY", "SEX_ACT", "SEX_OFFER", "CONTEMPT", "GROUP")

@@ -1,7 +1,9 @@
+import pyarrow.parquet as pq
 import pytest
 
 from leafstack.llm import toxicity as T
 
+DATA = "/root/testdata/sf0.1"
 PATENT = "The flange (86) comprises a primary substrate having a thickness of 799 kPa. By welding the clamp, the laminate transmits the socket. "
 
 
@@ -11,7 +13,7 @@ def test_disguises(a, b):
 
 
 def test_spaced_words():
-    assert "anal" in [T.canonical(w) for s in T.sentences("rough a n a l s e x here") for w in s]
+    assert "anal" in [T.canonical(w) for w in T.tokens_of("rough a n a l s e x here")]
 
 
 def data(spark):
@@ -31,15 +33,37 @@ def test_scores_and_rates(spark):
     assert rate["s1"] == 3 and rate["s2"] == 3 and rate["s3"] == 0 and rate[None] == 0
 
 
-def test_held_out_seeds():
-    """A fifth of the seed sentences, never trained on, is told from held-out sound ones."""
-    seen = [(" ".join(w), k) for s, k in dict.fromkeys(T.examples()) for w in T.sentences(s.replace(", ", " "))]
-    rows = [([T.bucket(T.canonical(t)) for t in s.split()], k) for s, k in seen]
-    held = [r for i, r in enumerate(rows) if i % 5 == 0]
-    model = T.train([(sorted(set(x)), tuple(float(k == i) for i in range(3)), 1.0 if k >= 0 else 4.0) for i, (x, k) in enumerate(rows) if i % 5])
-    flagged = T.score_many(model, [x for x, _ in held]).max(1) >= 0.5
-    bad = [f for f, (_, k) in zip(flagged, held) if k >= 0]
-    assert sum(bad) / len(bad) > 0.9
+def test_no_text_of_the_tables_in_the_lists():
+    """The lists hold single words; none of twelve letters or more stands in the tables."""
+    words = {w.casefold() for name in dir(T.terms) if isinstance(getattr(T.terms, name), dict) and name != "PAIRS" for text in getattr(T.terms, name).values() for part in ([text] if isinstance(text, str) else text) for w in part.split()}
+    assert all(" " not in w for w in words)
+    long = [w for w in words if len(w) >= 12]
+    texts = pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert not [w for w in long if any(w in (t or "").casefold() for t in texts)]
+
+
+def test_pairs_beat_single_weights():
+    """On bags drawn anew the machine errs less than its linear part."""
+    neutral = [[1000 + (7 * i + j) % 400 for j in range(12)] for i in range(200)]
+    seen, new = T.bags(neutral, 3), T.bags(neutral, 4)
+
+    def errors(**options):
+        scores = T.score_many(T.train(seen, 6, **options), [x for x, _, _ in new])
+        return sum((s.max() >= 0.5) != (max(y) > 0) for s, (_, y, _) in zip(scores, new)) / len(new)
+
+    pairwise, linear = errors(), errors(pairwise=False)
+    assert pairwise < linear and pairwise < 0.1
+
+
+def test_windows_of_many_texts():
+    import numpy as np
+
+    texts = [list(range(5)) + [-1] + list(range(100, 160)), [], [7, -1, -1, 8]]
+    values = np.array([v for t in texts for v in t])
+    got, window, text = T.spread(values, np.array([0, 66, 66]))
+    sets = [set(got[window == i].tolist()) for i in range(len(text))]
+    assert [s for s, t in zip(sets, text) if s and t == 0] == [set(range(5)), set(range(100, 148)), set(range(124, 160))]
+    assert [s for s, t in zip(sets, text) if s and t == 2] == [{7}, {8}]
 
 
 def test_empty_tables(spark):
