@@ -38,27 +38,49 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary folder set instead.
+    Only where the session names none and all tasks run on this machine (tests) is a temporary folder set
+    instead; on a cluster the missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "leafstack-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the session's engine ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes intermediate folders that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
+def materialize(df: DataFrame, label: str, written: list[str] | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     It cuts the lineage the way ``checkpoint()`` does, but columnar and prunable, and survives
-    the loss of an executor.
+    the loss of an executor. The path is added to ``written``, for :func:`discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
