@@ -1,15 +1,18 @@
 """Checking new batches for duplicates against everything accepted before, without going through it again.
 
-The history is kept as a written index:
-
-* ``words``: the normalised words of every row as 32-bit hashes, its class (rows of equal wording) and file hash;
-* ``classes``: the representative of each class;
-* ``keys``: minwise band keys and word sketches of the representatives, partitioned by hash bucket.
-
-A batch is turned into keys, probes only the buckets that its keys fall into, candidates whose sketches agree are
-verified by the longest common subsequence of words, and the batch's own rows are appended. Shingles are word pairs:
-the bound here is on words in order (80 of 100), which may leave few long shingles intact. All pairs of a text
-count, however many documents they stand in, so that the links of a text with thousands of variants are found as well.
+The history is kept as a written index, every table of it in parts by hash:
+
+* ``classes``: rows of equal wording are one class; its representative is the row that brought it first;
+* ``members``: the rows of each representative;
+* ``texts``: the words of the representatives, as 32-bit hashes;
+* ``keys``: minwise band keys of the representatives, each with a sketch of the words;
+* ``bare``: rows without text, by file hash.
+
+The number of parts follows the size of the first load, so that a part stays of one size. A batch reads only the parts
+that its classes, keys and candidates fall into; candidates whose sketches agree are verified by the longest common
+subsequence of words, and the batch's own rows are appended. Shingles are word pairs: the bound here is on words in
+order (80 of 100), which may leave few long shingles intact. All pairs of a text count, however many
+documents they stand in, so that the links of a text with thousands of variants are found as well.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,16 +27,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafstack.session import materialize, shared_dir
+from leafstack.session import discard, materialize, new_folder
 
 #: Bands of a text, and pair hashes in a band. Texts at the bound share 0.43 of their pairs or more: 0.98 of them share a band, at 0.5 0.998.
 BANDS, ROWS = 48, 3
 #: Texts of at most this many pairs, where one changed word weighs more, also get bands of two.
 SHORT, SHORT_BANDS = 32, 28
-#: One-bit minwise hashes of the words, kept beside the keys. Texts at the bound share two thirds of their words, so five in six bits (107 of 128,
-#: standard deviation 4.2) agree.
-SKETCH, AGREE = 128, 92
-BUCKETS = 32
+#: One-bit minwise hashes of the words, kept beside the keys. Texts at the bound share two thirds of their words, so five in six bits (53 of 64,
+#: standard deviation 3) agree.
+SKETCH, AGREE = 64, 44
+#: Rows of the first load to a part of the index.
+PART_ROWS = 20_000
+#: Bits of the filter that a batch's keys set; keys of the index that meet none are dropped before the shuffle.
+FILTER_BITS = 1 << 22
 #: Rows of one key up to which it is joined in one piece; larger keys are salted.
 HOT_KEY = 1_000
 SHARE = 0.8
@@ -98,15 +103,14 @@ def band_keys(words: np.ndarray) -> list[int]:
     return (key ^ (key >> np.uint64(31))).astype(np.int64).tolist()
 
 
-def sketch(words: np.ndarray) -> tuple[int, int]:
+def sketch(words: np.ndarray) -> int:
     """SKETCH bits of a text; a word that stands twice counts as two."""
     w = np.sort(words).astype(np.uint64)
     nth = np.arange(len(w)) - np.searchsorted(w, w)
     x = (w + (nth.astype(np.uint64) << np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     bits = np.packbits((minima(x * np.uint64(0x9E3779B97F4A7C15), _SKETCH_SEEDS) >> np.uint64(17) & np.uint64(1)).astype(np.uint8))
-    one, two = bits.view(np.int64).tolist()
-    return one, two
+    return int(bits.view(np.int64)[0])
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -142,119 +146,164 @@ def same_document(a: np.ndarray, b: np.ndarray, share: float = SHARE) -> bool:
     return common_subsequence(a, b) >= need - 1e-9
 
 
+PREPARED = "id bigint, class binary, words binary, hash string, keys array<bigint>, sketch bigint"
+
+
 def prepare(rows: DataFrame, key: str = "id", text: str = "content_text", file_hash: str = "file_hash") -> DataFrame:
-    """``id, class, words, hash`` of every row; rows without a word have a null class, nulls in ``key`` are left out."""
+    """``id, class, words, hash, keys, sketch`` of every row; rows without a word have a null class, nulls in ``key`` are left out.
+
+    ``class`` is a 96-bit hash of the wording.
+    """
     source = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.lower(F.trim(F.col(file_hash))).alias("hash"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
+        seen: dict[bytes, tuple[list[int], int]] = {}
         for batch in batches:
             out = []
             for i, t, h in batch.itertuples(index=False):
                 words = normal_words(t)
-                out.append((i, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if words else None, np.array([hashes[w] for w in words], np.uint32).tobytes() if words else None, h))
-            yield pd.DataFrame(out, columns=["id", "class", "words", "hash"])
+                if not words:
+                    out.append((i, None, None, h, None, None))
+                    continue
+                of = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=12).digest()
+                numbers = np.array([hashes[w] for w in words], np.uint32)
+                if of not in seen:
+                    if len(seen) > 2_000:
+                        seen.clear()
+                    seen[of] = band_keys(numbers), sketch(numbers)
+                out.append((i, of, numbers.tobytes(), h, *seen[of]))
+            yield pd.DataFrame(out, columns=["id", "class", "words", "hash", "keys", "sketch"]).astype({"sketch": "Int64"})
 
-    return source.mapInPandas(run, "id bigint, class string, words binary, hash string")
+    return source.mapInPandas(run, PREPARED)
 
 
-KEYS = "key bigint, rep bigint, s1 bigint, s2 bigint"
+def salted_join(few: DataFrame, many: DataFrame, on: str, hot: int = HOT_KEY) -> DataFrame:
+    """Equi-join on ``on``; keys with more than ``hot`` rows in ``many`` are cut into pieces there, and ``few`` meets every piece."""
+    parts = many.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(on, F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    left = few.join(parts, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    right = many.join(parts, on, "left").withColumn("salt", F.pmod(F.xxhash64(*(c for c in many.columns if c != on)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return left.join(right, [on, "salt"]).drop("salt")
 
 
-def with_keys(texts: DataFrame) -> DataFrame:
-    """``key, rep, s1, s2``: the band keys of ``rep, words``, each with the sketch."""
+TABLES = {"classes": "class binary, rep bigint", "members": "rep bigint, id bigint, seed boolean", "texts": "rep bigint, words binary", "keys": "key int, rep bigint, sketch bigint", "bare": "hash string, id bigint, seed boolean"}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                words = [np.frombuffer(w, np.uint32) for w in part["words"]]
-                keys = [band_keys(w) for w in words]
-                sizes = [len(k) for k in keys]
-                marks = np.repeat(np.array([sketch(w) for w in words], np.int64).reshape(-1, 2), sizes, 0)
-                yield pd.DataFrame({"key": np.array([k for x in keys for k in x], np.int64), "rep": np.repeat(part["rep"].to_numpy(), sizes), "s1": marks[:, 0], "s2": marks[:, 1]})
 
-    return texts.select("rep", "words").mapInPandas(run, KEYS)
+class HistoryIndex:
+    """The written index of everything accepted: ``check`` pairs the rows of a batch with rows they repeat and appends them.
 
+    ``parts`` is set by the first load; an index that is opened again at its ``path`` is given the same number.
+    """
 
-class HistoryIndex:
-    """The written index of everything accepted: ``append`` adds rows, ``probe`` pairs new rows with rows they repeat."""
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int | None = None):
+        self.spark, self.parts = spark, parts
+        self.path = path or new_folder(spark, "history")
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    def part(self, column: str) -> F.Column:
+        """Part of a value; keys go by their lower half, as the upper half is stored."""
+        return F.pmod(F.col(column) if column == "k" else F.xxhash64(column), F.lit(self.parts)).cast("int")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def table(self, name: str, parts: DataFrame | None = None) -> DataFrame:
+        """A table of the index, or only the parts named in the one column of ``parts``."""
+        schema = f"{TABLES[name]}, part int"
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            found = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except Exception as e:  # nothing appended yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
-
-    def words(self) -> DataFrame:
-        return self._read("words", "id bigint, class string, words binary, hash string")
+            return self.spark.createDataFrame([], TABLES[name])
+        if parts is not None:
+            found = found.where(F.col("part").isin([r[0] for r in parts.distinct().collect()]))  # at most as many numbers as parts
+        return found.drop("part")
 
-    def classes(self) -> DataFrame:
-        return self._read("classes", "class string, rep bigint")
+    def _add(self, name: str, rows: DataFrame, by: str) -> None:
+        rows.withColumn("part", self.part(by)).drop("k").repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
 
-    def keys(self) -> DataFrame:
-        return self._read("keys", f"{KEYS}, bucket int")
+    def _classes(self, prepared: DataFrame) -> DataFrame:
+        """``class, own, rep`` of a batch: its first row and the representative in the index, if there is one."""
+        own = prepared.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("own"))
+        return own.join(self.table("classes", own.select(self.part("class"))), "class", "left")
 
-    def append(self, prepared: DataFrame) -> None:
+    def append(self, prepared: DataFrame, classes: DataFrame | None = None, seed: bool = False) -> None:
         """Adds prepared rows; wordings that the index holds already get no second set of keys."""
-        fresh = prepared.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep")).join(self.classes(), "class", "left_anti")
-        fresh = materialize(fresh, "fresh-classes")
-        keys = with_keys(prepared.where("words IS NOT NULL").select(F.col("id").alias("rep"), "class", "words").join(fresh, ["class", "rep"], "left_semi").dropDuplicates(["class", "rep"]))
-        keys.withColumn("bucket", F.pmod("key", F.lit(BUCKETS)).cast("int")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
-        fresh.write.mode("append").parquet(f"{self.path}/classes")
-        prepared.write.mode("append").parquet(f"{self.path}/words")
-
-    def probe(self, prepared: DataFrame) -> DataFrame:
-        """``id_a, id_b``: ``id_b`` is one of the new rows, ``id_a`` a row of the index or a new row with a smaller id.
-
-        Several batches may be given at once: every row meets all rows with smaller ids.
+        if self.parts is None:
+            self.parts = max(1, prepared.count() // PART_ROWS)
+        written: list[str] = []
+        classes = materialize(self._classes(prepared), "batch-classes", written) if classes is None else classes
+        fresh = prepared.join(classes.where("rep IS NULL").select("class", F.col("own").alias("id")), ["class", "id"], "left_semi").dropDuplicates(["class"])
+        fresh = materialize(fresh.select("class", F.col("id").alias("rep"), "words", "keys", "sketch"), "fresh-texts", written)
+        self._add("keys", fresh.select(F.explode("keys").alias("k"), "rep", "sketch").select("k", F.shiftright("k", 32).cast("int").alias("key"), "rep", "sketch"), "k")
+        self._add("texts", fresh.select("rep", "words"), "rep")
+        self._add("classes", fresh.select("class", "rep"), "class")
+        self._add("members", self._members(prepared, classes, seed), "rep")
+        self._add("bare", self._bare(prepared, seed), "hash")
+        discard(self.spark, written)
+
+    @staticmethod
+    def _members(prepared: DataFrame, classes: DataFrame, seed: bool) -> DataFrame:
+        return prepared.where("class IS NOT NULL").select("class", "id").join(classes, "class").select(F.coalesce("rep", "own").alias("rep"), "id", F.lit(seed).alias("seed")).distinct()
+
+    @staticmethod
+    def _bare(prepared: DataFrame, seed: bool) -> DataFrame:
+        return prepared.where("class IS NULL AND hash <> ''").select("hash", "id", F.lit(seed).alias("seed")).distinct()
+
+    def links(self, prepared: DataFrame, classes: DataFrame, written: list[str]) -> DataFrame:
+        """``a < b``: linked representatives, one of them new with this batch."""
+        fresh = classes.where("rep IS NULL").select("class", F.col("own").alias("id"))
+        new = prepared.select("class", "id", "keys", "sketch", "words").join(fresh, ["class", "id"], "left_semi").dropDuplicates(["class"])
+        new = materialize(new.select(F.col("id").alias("rep"), "words", "keys", "sketch"), "new-texts", written)
+        keys = new.select(F.explode("keys").alias("k"), "rep", "sketch").select(F.shiftright("k", 32).cast("int").alias("key"), self.part("k").alias("part"), "rep", "sketch")
+        candidates = materialize(candidate_pairs(keys.drop("part"), self._met(keys)), "candidates", written)
+        texts = self.table("texts", candidates.select(F.explode(F.array("a", "b")).alias("rep")).select(self.part("rep")))
+        return materialize(verify(candidates, texts.unionByName(new.select("rep", "words"))), "links", written)
+
+    def _met(self, keys: DataFrame) -> DataFrame:
+        """The keys of the index in the parts of ``keys`` that set the same bit of a filter of fixed size."""
+        held = self.table("keys", keys.select("part"))
+        cell = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+        bits = keys.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 AS int)))").alias("bits"))
+        met = held.withColumn("w", F.shiftright(cell, 6)).join(F.broadcast(bits), "w")  # at most FILTER_BITS / 64 rows
+        return met.where(F.expr(f"bit_get(bits, cast(pmod(key, {FILTER_BITS}) & 63 AS int)) = 1")).select("key", "rep", "sketch")
+
+    def check(self, prepared: DataFrame) -> DataFrame:
+        """``id_a, id_b``: pairs of a row of the batch with a row of the index or of the batch that holds the same document, smaller id first.
+
+        ``id_b`` is never a row of the first load. The batch is appended afterwards.
         """
-        known = self.classes()
-        own = prepared.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("own"))
-        classes = materialize(own.join(known, "class", "left").select("class", "own", F.coalesce("rep", "own").alias("rep")), "batch-classes")
-        new_texts = prepared.where("words IS NOT NULL").select(F.col("id").alias("own"), "class", "words").join(classes, ["class", "own"]).dropDuplicates(["class", "own"])
-        new_keys = materialize(with_keys(new_texts), "batch-keys")
-        buckets = [r[0] for r in new_keys.select(F.pmod("key", F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
-        every = self.keys().where(F.col("bucket").isin(buckets)).drop("bucket").unionByName(new_keys)
-        pairs = candidate_pairs(new_keys, every)
-        texts = self.words().select("id", "words").unionByName(prepared.select("id", "words")).where("words IS NOT NULL")
-        links = materialize(verify(pairs, texts), "class-links")
-        rows = self.words().select("id", "class").withColumn("new", F.lit(False)).unionByName(prepared.select("id", "class").withColumn("new", F.lit(True)))
-        reps = known.unionByName(classes.where("rep = own").select("class", "rep"))
-        members = rows.where("class IS NOT NULL").join(reps, "class").select("id", "rep", "new").distinct()
-        touched = links.select(F.col("a").alias("rep")).union(links.select("b")).union(classes.select("rep")).distinct()
-        members = materialize(members.join(touched, "rep", "left_semi"), "class-members")
-        fresh = members.where("new").select(F.col("id").alias("id_b"), "rep")
+        if self.parts is None:
+            self.parts = max(1, prepared.count() // PART_ROWS)
+        written: list[str] = []
+        classes = materialize(self._classes(prepared), "batch-classes", written)
+        links = self.links(prepared, classes, written)
+        fresh = materialize(self._members(prepared, classes, False), "batch-members", written)
         both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-        near = fresh.join(both, "rep").join(members.select(F.col("rep").alias("other"), F.col("id").alias("id_a")), "other").where("id_a < id_b").select("id_a", "id_b")
-        same = fresh.join(members.select("rep", F.col("id").alias("id_a")), "rep").where("id_a < id_b").select("id_a", "id_b")
-        bare = prepared.where("class IS NULL AND hash <> ''").select(F.col("id").alias("id_b"), "hash")
-        others = self.words().select("id", "class", "hash").unionByName(prepared.select("id", "class", "hash")).where("class IS NULL AND hash <> ''").select(F.col("id").alias("id_a"), "hash")
-        hashed = bare.join(others, "hash").where("id_a < id_b").select("id_a", "id_b")
-        return near.unionByName(same).unionByName(hashed).distinct()
-
-
-def candidate_pairs(new_keys: DataFrame, every: DataFrame) -> DataFrame:
+        near = fresh.select("rep").distinct()
+        near = near.select("rep", F.col("rep").alias("other")).unionByName(both.join(near, "rep", "left_semi"))
+        near = materialize(near, "near-classes", written)
+        members = self.table("members", near.select(self.part("other"))).unionByName(fresh).withColumnRenamed("rep", "other")
+        met = salted_join(near, members.select("other", F.struct("id", "seed").alias("a")), "other")
+        met = salted_join(fresh.select("rep", F.struct("id", "seed").alias("b")), met.select("rep", "a"), "rep").select("a", "b")
+        bare = self._bare(prepared, False)
+        others = self.table("bare", bare.select(self.part("hash"))).unionByName(bare)
+        hashed = salted_join(bare.select("hash", F.struct("id", "seed").alias("b")), others.select("hash", F.struct("id", "seed").alias("a")), "hash").select("a", "b")
+        pairs = met.unionByName(hashed).where("a.id <> b.id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("NOT b.seed")
+        pairs = materialize(pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct(), "batch-pairs")
+        self.append(prepared, classes)
+        discard(self.spark, written)
+        return pairs
+
+
+def candidate_pairs(new: DataFrame, met: DataFrame) -> DataFrame:
     """Distinct ``a < b`` of representatives that share a band key and most of their sketch, one of them new. Hot keys are salted."""
-    hot = every.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts"))
-    hot = materialize(hot, "hot-keys")
-    left = new_keys.join(hot, "key", "left").select("key", F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
-    right = every.join(hot, "key", "left").select("key", F.col("rep").alias("y"), F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
-    met = left.join(right, ["key", "salt"]).where("x <> y").where(f"bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {SKETCH - AGREE}")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    few = new.select("key", F.col("rep").alias("x"), F.col("sketch").alias("sx"))
+    many = met.unionByName(new).select("key", F.col("rep").alias("y"), F.col("sketch").alias("sy"))
+    pairs = salted_join(few, many, "key").where("x <> y").where(f"bit_count(sx ^ sy) <= {SKETCH - AGREE}")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFrame:
-    """The pairs whose texts are the same document."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = materialize(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    """The pairs whose texts are the same document; ``texts`` has ``rep, words``."""
+    joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -264,33 +313,41 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFram
     return joined.mapInPandas(run, "a bigint, b bigint")
 
 
-def repeated_rows(history: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
-    """``id_a, id_b`` of all rows of ``incoming`` and the rows of history or incoming that they repeat.
+def check_batches(history: DataFrame, incoming: DataFrame, order: str = "batch_no", most: int = 1_000, index: HistoryIndex | None = None) -> DataFrame:
+    """``id_a, id_b, batch`` of all rows of ``incoming`` and the rows of history or incoming that they repeat, batch after batch.
 
     Two rows with text repeat each other if at least 80 in 100 words of the longer stand in the other in
     order; two rows without (null, empty, or no word at all) if their hashes are equal, ignoring case; a null
     or empty hash equals nothing, and the hash of a row with text decides nothing. Equal wordings are one class:
-    classes are compared, rows put back afterwards. Empty tables give no pairs; repeated rows of one
-    id count once; further columns are not read.
+    classes are compared, rows put back afterwards. Rows without a batch number (or a table without that column) come last, as one batch (``batch`` null). Empty
+    tables give no pairs; repeated rows of one id count once; further columns are not read. The number
+    of batches is small and is refused above ``most``.
     """
-    index = HistoryIndex(incoming.sparkSession, path)
-    index.append(materialize(prepare(history), "prepared"))
-    return index.probe(materialize(prepare(incoming), "prepared"))
-
-
-def check_batches(history: DataFrame, incoming: DataFrame, order: str = "batch_no", most: int = 1_000) -> DataFrame:
-    """The same batch after batch: each is probed against the index, then appended to it.
-
-    Returns ``id_a, id_b, batch``. The number of batches is small and is refused above ``most``.
-    """
-    index = HistoryIndex(incoming.sparkSession)
-    index.append(materialize(prepare(history), "prepared"))
-    out = incoming.sparkSession.createDataFrame([], "id_a bigint, id_b bigint, batch int")
-    numbers = sorted(r[0] for r in incoming.where(F.col(order).isNotNull()).select(order).distinct().limit(most + 1).collect())
+    spark = incoming.sparkSession
+    if order not in incoming.columns:
+        incoming = incoming.withColumn(order, F.lit(None).cast("int"))
+    index = index or HistoryIndex(spark)
+    written: list[str] = []
+    index.append(materialize(prepare(history), "prepared", written), seed=True)
+    discard(spark, written)
+    out = spark.createDataFrame([], "id_a bigint, id_b bigint, batch int")
+    numbers = sorted((r[0] for r in incoming.select(order).distinct().limit(most + 1).collect()), key=lambda n: (n is None, n or 0))
     if len(numbers) > most:
         raise ValueError(f"more than {most} batches")
     for n in numbers:
-        batch = materialize(prepare(incoming.where(F.col(order) == n)), "prepared")
-        out = out.unionByName(materialize(index.probe(batch).withColumn("batch", F.lit(n).cast("int")), "batch-pairs"))
-        index.append(batch)
+        batch = materialize(prepare(incoming.where(F.col(order).eqNullSafe(F.lit(n)))), "prepared", written)
+        out = out.unionByName(index.check(batch).withColumn("batch", F.lit(n).cast("int")))
+        discard(spark, written)
     return out
+
+
+def repeated_rows(history: DataFrame, incoming: DataFrame, order: str = "batch_no") -> DataFrame:
+    """``id_a, id_b``: the pairs of :func:`check_batches`."""
+    return check_batches(history, incoming, order).select("id_a", "id_b").distinct()
+
+
+def link_counts(pairs: DataFrame, incoming: DataFrame) -> DataFrame:
+    """One row per row of ``incoming``: ``id``, the first row that holds the same document (itself if none), and with how many rows it is linked."""
+    both = pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")).unionByName(pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")))
+    found = both.groupBy("id").agg(F.min("other").alias("first"), F.count("*").alias("links"))
+    return incoming.select("id").dropna().distinct().join(found, "id", "left").select("id", F.least("id", F.coalesce("first", "id")).alias("first_id"), F.coalesce("links", F.lit(0)).alias("links"))

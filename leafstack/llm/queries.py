@@ -31,6 +31,11 @@ def p2_batches(spark: SparkSession, root: str) -> DataFrame:
     return dedup.check_batches(read(spark, root, "history"), read(spark, root, "incoming"))
 
 
+def p2_links(spark: SparkSession, root: str) -> DataFrame:
+    """Every incoming row with the first row that holds the same document and its number of links."""
+    return dedup.link_counts(p2_found(spark, root), read(spark, root, "incoming"))
+
+
 def p3_pages(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk with its traces of scanning and its repaired text."""
     return scan_repair.repair_pages(read(spark, root, "chunks"))

@@ -86,3 +86,50 @@ def test_third_of_rows_are_variants(spark):
     want = {(a, b) for b in rows if b >= 1000 for a in rows if a < b and lcs(rows[a], rows[b]) >= 48}
     got = {(x["id_a"], x["id_b"]) for x in dedup.repeated_rows(history, incoming).collect()}
     assert len(want) > 500 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_batches_in_any_order_of_ids(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    history = spark.createDataFrame([(5, text, None), (900, text, None)], "id long, content_text string, file_hash string")
+    incoming = spark.createDataFrame([(700, text, None, 1), (600, text, None, 2), (800, text, None, None)], "id long, content_text string, file_hash string, batch_no int")
+    got = {(r["id_a"], r["id_b"], r["batch"]) for r in dedup.check_batches(history, incoming).collect()}
+    assert got == {(5, 700, 1), (5, 600, 2), (600, 700, 2), (5, 800, None), (700, 800, None), (600, 800, None)}
+    links = {(r["id"], r["first_id"], r["links"]) for r in dedup.link_counts(dedup.repeated_rows(history, incoming), incoming).collect()}
+    assert links == {(700, 5, 3), (600, 5, 3), (800, 5, 3)}
+
+
+def test_form_letters_and_long_texts(spark):
+    """Forms that differ in a few words, and texts of 1 500 words; recall by brute force."""
+    r = random.Random(9)
+    form = [f"f{i}" for i in range(400)]
+
+    def letter(n):
+        own = list(form)
+        for i in r.sample(range(400), n):
+            own[i] = f"x{r.randint(0, 10**7)}"
+        return own
+
+    long = [f"l{r.randint(0, 3000)}" for _ in range(1500)]
+    longer = [w if r.random() > 0.12 else f"y{i}" for i, w in enumerate(long)]
+    texts = {i: letter(r.choice((4, 5, 6, 20, 40))) for i in range(60)} | {100: long, 101: [f"l{r.randint(0, 3000)}" for _ in range(1500)]}
+    new = {1000 + i: letter(r.choice((4, 6, 30))) for i in range(8)} | {1100: longer}
+    frame = lambda t: spark.createDataFrame([(i, " ".join(w), None) for i, w in t.items()], "id long, content_text string, file_hash string")
+    rows = texts | new
+    n = {k: np.array([hash(w) & 0xFFFFFFFF for w in v], np.uint32) for k, v in rows.items()}
+    want = {(a, b) for b in new for a in rows if a < b and dedup.same_document(n[a], n[b])}
+    got = {(x["id_a"], x["id_b"]) for x in dedup.repeated_rows(frame(texts), frame(new)).collect()}
+    assert (100, 1100) in got and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_reads_stay_flat(spark):
+    """A batch of one row meets parts of one size, however large the history."""
+    r = random.Random(10)
+    read = []
+    for rows in (400, 4000):
+        history = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 10**6)}" for _ in range(40)), None) for i in range(rows)], "id long, content_text string, file_hash string")
+        index = dedup.HistoryIndex(spark, parts=rows // 4)
+        index._add("keys", dedup.prepare(history).selectExpr("explode(keys) AS k", "id AS rep", "sketch").selectExpr("k", "cast(shiftright(k, 32) AS int) AS key", "rep", "sketch"), "k")
+        batch = dedup.prepare(spark.createDataFrame([(9999, " ".join(f"v{i}" for i in range(40)), None)], history.schema))
+        keys = batch.selectExpr("explode(keys) AS k")
+        read.append(index.table("keys", keys.select(index.part("k"))).count())
+    assert read[1] < 2 * read[0]
