@@ -33,13 +33,15 @@ from leafstack.session import discard, materialize, new_folder
 BANDS, ROWS = 48, 3
 #: Texts of at most this many pairs, where one changed word weighs more, also get bands of two.
 SHORT, SHORT_BANDS = 32, 28
-#: One-bit minwise hashes of the words, kept beside the keys. Texts at the bound share two thirds of their words, so five in six bits (53 of 64,
-#: standard deviation 3) agree.
-SKETCH, AGREE = 64, 44
+#: One-bit minwise hashes of the words, kept beside the keys. Texts at the bound share two thirds of their words, so five in six bits (107 of 128,
+#: standard deviation 4.2) agree.
+SKETCH, AGREE = 128, 92
 #: Rows of the first load to a part of the index.
 PART_ROWS = 20_000
-#: Bits of the filter that a batch's keys set; keys of the index that meet none are dropped before the shuffle.
+#: Bits of the filter that a batch's values set; rows of the index that meet none are dropped before the shuffle.
 FILTER_BITS = 1 << 22
+#: From this many parts on, a batch first asks which it meets; fewer are all met.
+MANY_PARTS = 16
 #: Rows of one key up to which it is joined in one piece; larger keys are salted.
 HOT_KEY = 1_000
 SHARE = 0.8
@@ -103,14 +105,15 @@ def band_keys(words: np.ndarray) -> list[int]:
     return (key ^ (key >> np.uint64(31))).astype(np.int64).tolist()
 
 
-def sketch(words: np.ndarray) -> int:
+def sketch(words: np.ndarray) -> tuple[int, int]:
     """SKETCH bits of a text; a word that stands twice counts as two."""
     w = np.sort(words).astype(np.uint64)
     nth = np.arange(len(w)) - np.searchsorted(w, w)
     x = (w + (nth.astype(np.uint64) << np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     bits = np.packbits((minima(x * np.uint64(0x9E3779B97F4A7C15), _SKETCH_SEEDS) >> np.uint64(17) & np.uint64(1)).astype(np.uint8))
-    return int(bits.view(np.int64)[0])
+    one, two = bits.view(np.int64).tolist()
+    return one, two
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -146,11 +149,11 @@ def same_document(a: np.ndarray, b: np.ndarray, share: float = SHARE) -> bool:
     return common_subsequence(a, b) >= need - 1e-9
 
 
-PREPARED = "id bigint, class binary, words binary, hash string, keys array<bigint>, sketch bigint"
+PREPARED = "id bigint, class binary, words binary, hash string, keys array<bigint>, s1 bigint, s2 bigint"
 
 
 def prepare(rows: DataFrame, key: str = "id", text: str = "content_text", file_hash: str = "file_hash") -> DataFrame:
-    """``id, class, words, hash, keys, sketch`` of every row; rows without a word have a null class, nulls in ``key`` are left out.
+    """``id, class, words, hash, keys, s1, s2`` of every row; rows without a word have a null class, nulls in ``key`` are left out.
 
     ``class`` is a 96-bit hash of the wording.
     """
@@ -158,35 +161,38 @@ def prepare(rows: DataFrame, key: str = "id", text: str = "content_text", file_h
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
-        seen: dict[bytes, tuple[list[int], int]] = {}
+        seen: dict[bytes, tuple[list[int], int, int]] = {}
         for batch in batches:
             out = []
             for i, t, h in batch.itertuples(index=False):
                 words = normal_words(t)
                 if not words:
-                    out.append((i, None, None, h, None, None))
+                    out.append((i, None, None, h, None, None, None))
                     continue
                 of = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=12).digest()
                 numbers = np.array([hashes[w] for w in words], np.uint32)
                 if of not in seen:
                     if len(seen) > 2_000:
                         seen.clear()
-                    seen[of] = band_keys(numbers), sketch(numbers)
+                    seen[of] = band_keys(numbers), *sketch(numbers)
                 out.append((i, of, numbers.tobytes(), h, *seen[of]))
-            yield pd.DataFrame(out, columns=["id", "class", "words", "hash", "keys", "sketch"]).astype({"sketch": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "class", "words", "hash", "keys", "s1", "s2"]).astype({"s1": "Int64", "s2": "Int64"})
 
     return source.mapInPandas(run, PREPARED)
 
 
-def salted_join(few: DataFrame, many: DataFrame, on: str, hot: int = HOT_KEY) -> DataFrame:
-    """Equi-join on ``on``; keys with more than ``hot`` rows in ``many`` are cut into pieces there, and ``few`` meets every piece."""
+def salted_join(few: DataFrame, many: DataFrame, on: str, written: list[str], hot: int = HOT_KEY) -> DataFrame:
+    """Equi-join on ``on``; keys with more than ``hot`` rows in ``many`` are cut into pieces there, and ``few`` meets every piece. Both are read twice."""
     parts = many.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(on, F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    parts = materialize(parts, "hot-keys", written)
+    if parts.isEmpty():
+        return few.join(many, on)
     left = few.join(parts, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     right = many.join(parts, on, "left").withColumn("salt", F.pmod(F.xxhash64(*(c for c in many.columns if c != on)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     return left.join(right, [on, "salt"]).drop("salt")
 
 
-TABLES = {"classes": "class binary, rep bigint", "members": "rep bigint, id bigint, seed boolean", "texts": "rep bigint, words binary", "keys": "key int, rep bigint, sketch bigint", "bare": "hash string, id bigint, seed boolean"}
+TABLES = {"classes": "class binary, rep bigint", "members": "rep bigint, id bigint, seed boolean", "texts": "rep bigint, words binary", "keys": "key int, rep bigint, s1 bigint, s2 bigint", "bare": "hash string, id bigint, seed boolean"}
 
 
 class HistoryIndex:
@@ -205,65 +211,74 @@ class HistoryIndex:
 
     def table(self, name: str, parts: DataFrame | None = None) -> DataFrame:
         """A table of the index, or only the parts named in the one column of ``parts``."""
-        schema = f"{TABLES[name]}, part int"
         try:
-            found = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            found = self.spark.read.schema(f"{TABLES[name]}, part int").parquet(f"{self.path}/{name}")
         except Exception as e:  # nothing appended yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], TABLES[name])
-        if parts is not None:
+        if parts is not None and self.parts >= MANY_PARTS:
             found = found.where(F.col("part").isin([r[0] for r in parts.distinct().collect()]))  # at most as many numbers as parts
         return found.drop("part")
 
+    def met(self, name: str, by: str, wanted: DataFrame, part: str | None = None) -> DataFrame:
+        """The rows of a table whose ``by`` may stand in ``wanted``: of the parts it falls into, those that set the same bit of a filter of fixed size.
+
+        ``part`` names the column of ``wanted`` that gives the part, where it is not ``by``.
+        """
+        held = self.table(name, wanted.select(self.part(part or by)))
+        cell = F.pmod(F.xxhash64(by), F.lit(FILTER_BITS)).cast("int")
+        bits = wanted.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits"))
+        found = held.withColumn("c", cell).withColumn("w", F.shiftright("c", 6)).join(F.broadcast(bits), "w")  # at most FILTER_BITS / 64 rows
+        return found.where("bit_get(bits, c & 63) = 1").select(*held.columns)
+
     def _add(self, name: str, rows: DataFrame, by: str) -> None:
         rows.withColumn("part", self.part(by)).drop("k").repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
 
-    def _classes(self, prepared: DataFrame) -> DataFrame:
-        """``class, own, rep`` of a batch: its first row and the representative in the index, if there is one."""
-        own = prepared.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("own"))
-        return own.join(self.table("classes", own.select(self.part("class"))), "class", "left")
+    def _classes(self, prepared: DataFrame, written: list[str]) -> DataFrame:
+        """``class, own, rep, fresh`` of a batch: its first row, the representative, and whether the index had none before."""
+        own = materialize(prepared.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("own")), "batch-wordings", written)
+        found = own.join(self.met("classes", "class", own), "class", "left")
+        return materialize(found.select("class", "own", F.coalesce("rep", "own").alias("rep"), F.col("rep").isNull().alias("fresh")), "batch-classes", written)
 
-    def append(self, prepared: DataFrame, classes: DataFrame | None = None, seed: bool = False) -> None:
+    def _texts(self, prepared: DataFrame, classes: DataFrame, written: list[str]) -> DataFrame:
+        """``class, rep, fresh, words, keys, s1, s2``: every class of a batch once."""
+        one = classes.withColumnRenamed("own", "id").join(prepared, ["class", "id"]).dropDuplicates(["class"])
+        return materialize(one.select("class", "rep", "fresh", "words", "keys", "s1", "s2"), "batch-texts", written)
+
+    def append(self, prepared: DataFrame, seed: bool = False) -> None:
         """Adds prepared rows; wordings that the index holds already get no second set of keys."""
         if self.parts is None:
             self.parts = max(1, prepared.count() // PART_ROWS)
         written: list[str] = []
-        classes = materialize(self._classes(prepared), "batch-classes", written) if classes is None else classes
-        fresh = prepared.join(classes.where("rep IS NULL").select("class", F.col("own").alias("id")), ["class", "id"], "left_semi").dropDuplicates(["class"])
-        fresh = materialize(fresh.select("class", F.col("id").alias("rep"), "words", "keys", "sketch"), "fresh-texts", written)
-        self._add("keys", fresh.select(F.explode("keys").alias("k"), "rep", "sketch").select("k", F.shiftright("k", 32).cast("int").alias("key"), "rep", "sketch"), "k")
+        classes = self._classes(prepared, written)
+        self._append(prepared, classes, self._texts(prepared, classes, written), seed)
+        discard(self.spark, written)
+
+    def _append(self, prepared: DataFrame, classes: DataFrame, texts: DataFrame, seed: bool) -> None:
+        fresh = texts.where("fresh")
+        self._add("keys", exploded(fresh), "k")
         self._add("texts", fresh.select("rep", "words"), "rep")
         self._add("classes", fresh.select("class", "rep"), "class")
         self._add("members", self._members(prepared, classes, seed), "rep")
         self._add("bare", self._bare(prepared, seed), "hash")
-        discard(self.spark, written)
 
     @staticmethod
     def _members(prepared: DataFrame, classes: DataFrame, seed: bool) -> DataFrame:
-        return prepared.where("class IS NOT NULL").select("class", "id").join(classes, "class").select(F.coalesce("rep", "own").alias("rep"), "id", F.lit(seed).alias("seed")).distinct()
+        return prepared.where("class IS NOT NULL").select("class", "id").join(classes, "class").select("rep", "id", F.lit(seed).alias("seed")).distinct()
 
     @staticmethod
     def _bare(prepared: DataFrame, seed: bool) -> DataFrame:
         return prepared.where("class IS NULL AND hash <> ''").select("hash", "id", F.lit(seed).alias("seed")).distinct()
 
-    def links(self, prepared: DataFrame, classes: DataFrame, written: list[str]) -> DataFrame:
-        """``a < b``: linked representatives, one of them new with this batch."""
-        fresh = classes.where("rep IS NULL").select("class", F.col("own").alias("id"))
-        new = prepared.select("class", "id", "keys", "sketch", "words").join(fresh, ["class", "id"], "left_semi").dropDuplicates(["class"])
-        new = materialize(new.select(F.col("id").alias("rep"), "words", "keys", "sketch"), "new-texts", written)
-        keys = new.select(F.explode("keys").alias("k"), "rep", "sketch").select(F.shiftright("k", 32).cast("int").alias("key"), self.part("k").alias("part"), "rep", "sketch")
-        candidates = materialize(candidate_pairs(keys.drop("part"), self._met(keys)), "candidates", written)
-        texts = self.table("texts", candidates.select(F.explode(F.array("a", "b")).alias("rep")).select(self.part("rep")))
-        return materialize(verify(candidates, texts.unionByName(new.select("rep", "words"))), "links", written)
-
-    def _met(self, keys: DataFrame) -> DataFrame:
-        """The keys of the index in the parts of ``keys`` that set the same bit of a filter of fixed size."""
-        held = self.table("keys", keys.select("part"))
-        cell = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-        bits = keys.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 AS int)))").alias("bits"))
-        met = held.withColumn("w", F.shiftright(cell, 6)).join(F.broadcast(bits), "w")  # at most FILTER_BITS / 64 rows
-        return met.where(F.expr(f"bit_get(bits, cast(pmod(key, {FILTER_BITS}) & 63 AS int)) = 1")).select("key", "rep", "sketch")
+    def links(self, texts: DataFrame, written: list[str]) -> DataFrame:
+        """``a < b``: linked representatives, one of them a class of the batch (``texts``)."""
+        keys = materialize(exploded(texts), "batch-keys", written)
+        held = materialize(self.met("keys", "key", keys, "k"), "met-keys", written)
+        candidates = materialize(candidate_pairs(keys.drop("k"), held, written), "candidates", written)
+        asked = candidates.select(F.explode(F.array("a", "b")).alias("rep"))
+        words = materialize(self.met("texts", "rep", asked).unionByName(texts.where("fresh").select("rep", "words")), "met-texts", written)
+        return materialize(verify(candidates, words), "links", written)
 
     def check(self, prepared: DataFrame) -> DataFrame:
         """``id_a, id_b``: pairs of a row of the batch with a row of the index or of the batch that holds the same document, smaller id first.
@@ -273,31 +288,37 @@ class HistoryIndex:
         if self.parts is None:
             self.parts = max(1, prepared.count() // PART_ROWS)
         written: list[str] = []
-        classes = materialize(self._classes(prepared), "batch-classes", written)
-        links = self.links(prepared, classes, written)
-        fresh = materialize(self._members(prepared, classes, False), "batch-members", written)
+        classes = self._classes(prepared, written)
+        texts = self._texts(prepared, classes, written)
+        links = self.links(texts, written)
+        new = materialize(self._members(prepared, classes, False), "batch-members", written)
         both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-        near = fresh.select("rep").distinct()
-        near = near.select("rep", F.col("rep").alias("other")).unionByName(both.join(near, "rep", "left_semi"))
+        near = both.join(classes.select("rep"), "rep", "left_semi").unionByName(classes.select("rep", F.col("rep").alias("other")))
         near = materialize(near, "near-classes", written)
-        members = self.table("members", near.select(self.part("other"))).unionByName(fresh).withColumnRenamed("rep", "other")
-        met = salted_join(near, members.select("other", F.struct("id", "seed").alias("a")), "other")
-        met = salted_join(fresh.select("rep", F.struct("id", "seed").alias("b")), met.select("rep", "a"), "rep").select("a", "b")
-        bare = self._bare(prepared, False)
-        others = self.table("bare", bare.select(self.part("hash"))).unionByName(bare)
-        hashed = salted_join(bare.select("hash", F.struct("id", "seed").alias("b")), others.select("hash", F.struct("id", "seed").alias("a")), "hash").select("a", "b")
+        members = self.met("members", "rep", near.select(F.col("other").alias("rep"))).unionByName(new)
+        members = materialize(members.select(F.col("rep").alias("other"), F.struct("id", "seed").alias("a")), "met-members", written)
+        met = materialize(salted_join(near, members, "other", written).select("rep", "a"), "near-members", written)
+        met = salted_join(new.select("rep", F.struct("id", "seed").alias("b")), met, "rep", written).select("a", "b")
+        bare = materialize(self._bare(prepared, False), "batch-bare", written)
+        others = materialize(self.met("bare", "hash", bare).unionByName(bare).select("hash", F.struct("id", "seed").alias("a")), "met-bare", written)
+        hashed = salted_join(bare.select("hash", F.struct("id", "seed").alias("b")), others, "hash", written).select("a", "b")
         pairs = met.unionByName(hashed).where("a.id <> b.id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("NOT b.seed")
         pairs = materialize(pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct(), "batch-pairs")
-        self.append(prepared, classes)
+        self._append(prepared, classes, texts, False)
         discard(self.spark, written)
         return pairs
 
 
-def candidate_pairs(new: DataFrame, met: DataFrame) -> DataFrame:
+def exploded(texts: DataFrame) -> DataFrame:
+    """``k, key, rep, s1, s2``: a row for every band key."""
+    return texts.select(F.explode("keys").alias("k"), "rep", "s1", "s2").select("k", F.shiftright("k", 32).cast("int").alias("key"), "rep", "s1", "s2")
+
+
+def candidate_pairs(new: DataFrame, met: DataFrame, written: list[str]) -> DataFrame:
     """Distinct ``a < b`` of representatives that share a band key and most of their sketch, one of them new. Hot keys are salted."""
-    few = new.select("key", F.col("rep").alias("x"), F.col("sketch").alias("sx"))
-    many = met.unionByName(new).select("key", F.col("rep").alias("y"), F.col("sketch").alias("sy"))
-    pairs = salted_join(few, many, "key").where("x <> y").where(f"bit_count(sx ^ sy) <= {SKETCH - AGREE}")
+    few = new.select("key", F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
+    many = met.unionByName(new).select("key", F.col("rep").alias("y"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
+    pairs = salted_join(few, many, "key", written).where("x <> y").where(f"bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {SKETCH - AGREE}")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

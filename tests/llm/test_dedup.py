@@ -128,7 +128,7 @@ def test_reads_stay_flat(spark):
     for rows in (400, 4000):
         history = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 10**6)}" for _ in range(40)), None) for i in range(rows)], "id long, content_text string, file_hash string")
         index = dedup.HistoryIndex(spark, parts=rows // 4)
-        index._add("keys", dedup.prepare(history).selectExpr("explode(keys) AS k", "id AS rep", "sketch").selectExpr("k", "cast(shiftright(k, 32) AS int) AS key", "rep", "sketch"), "k")
+        index._add("keys", dedup.exploded(dedup.prepare(history).withColumnRenamed("id", "rep")), "k")
         batch = dedup.prepare(spark.createDataFrame([(9999, " ".join(f"v{i}" for i in range(40)), None)], history.schema))
         keys = batch.selectExpr("explode(keys) AS k")
         read.append(index.table("keys", keys.select(index.part("k"))).count())
