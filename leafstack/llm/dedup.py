@@ -33,9 +33,9 @@ from leafstack.session import discard, materialize, new_folder
 BANDS, ROWS = 48, 3
 #: Texts of at most this many pairs, where one changed word weighs more, also get bands of two.
 SHORT, SHORT_BANDS = 32, 28
-#: One-bit minwise hashes of the words, kept beside the keys. Texts at the bound share two thirds of their words, so five in six bits (107 of 128,
-#: standard deviation 4.2) agree.
-SKETCH, AGREE = 128, 92
+#: One-bit minwise hashes of the words, kept beside the keys, and the standard deviations by which their agreement may fall short of what
+#: texts at the bound have. Texts of one length share two thirds of their words, so five in six bits agree.
+SKETCH, DEVIATIONS = 128, 3.5
 #: Rows of the first load to a part of the index.
 PART_ROWS = 20_000
 #: Bits of the filter that a batch's values set; rows of the index that meet none are dropped before the shuffle.
@@ -192,7 +192,7 @@ def salted_join(few: DataFrame, many: DataFrame, on: str, written: list[str], ho
     return left.join(right, [on, "salt"]).drop("salt")
 
 
-TABLES = {"classes": "class binary, rep bigint", "members": "rep bigint, id bigint, seed boolean", "texts": "rep bigint, words binary", "keys": "key int, rep bigint, s1 bigint, s2 bigint", "bare": "hash string, id bigint, seed boolean"}
+TABLES = {"classes": "class binary, rep bigint", "members": "rep bigint, id bigint, seed boolean", "texts": "rep bigint, words binary", "keys": "key int, rep bigint, n int, s1 bigint, s2 bigint", "bare": "hash string, id bigint, seed boolean"}
 
 
 class HistoryIndex:
@@ -310,15 +310,20 @@ class HistoryIndex:
 
 
 def exploded(texts: DataFrame) -> DataFrame:
-    """``k, key, rep, s1, s2``: a row for every band key."""
-    return texts.select(F.explode("keys").alias("k"), "rep", "s1", "s2").select("k", F.shiftright("k", 32).cast("int").alias("key"), "rep", "s1", "s2")
+    """``k, key, rep, n, s1, s2``: a row for every band key, with the number of words and the sketch."""
+    of = texts.select(F.explode("keys").alias("k"), "rep", (F.length("words") / 4).cast("int").alias("n"), "s1", "s2")
+    return of.select("k", F.shiftright("k", 32).cast("int").alias("key"), "rep", "n", "s1", "s2")
 
 
 def candidate_pairs(new: DataFrame, met: DataFrame, written: list[str]) -> DataFrame:
     """Distinct ``a < b`` of representatives that share a band key and most of their sketch, one of them new. Hot keys are salted."""
-    few = new.select("key", F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-    many = met.unionByName(new).select("key", F.col("rep").alias("y"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
-    pairs = salted_join(few, many, "key", written).where("x <> y").where(f"bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {SKETCH - AGREE}")
+    few = new.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
+    many = met.unionByName(new).select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
+    low, high = F.least("nx", "ny"), F.greatest("nx", "ny")
+    alike = SHARE * high / (low + (1 - SHARE) * high)  # the least share of all words that two texts of these lengths have in common
+    agree = SKETCH - F.expr("bit_count(x1 ^ y1) + bit_count(x2 ^ y2)")
+    pairs = salted_join(few, many, "key", written).where("x <> y").where(low >= SHARE * high)
+    pairs = pairs.where(agree >= SKETCH / 2 * (1 + alike) - DEVIATIONS * F.sqrt(SKETCH / 4 * (1 - alike * alike)))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -133,3 +133,11 @@ def test_reads_stay_flat(spark):
         keys = batch.selectExpr("explode(keys) AS k")
         read.append(index.table("keys", keys.select(index.part("k"))).count())
     assert read[1] < 2 * read[0]
+
+
+def test_known_wording_meets_its_near_copies(spark):
+    """A new row whose wording is known repeats the near-copies of that wording too."""
+    words = [f"word{i}" for i in range(30)]
+    history = spark.createDataFrame([(1, " ".join(words), None), (2, " ".join(words[2:]), None)], "id long, content_text string, file_hash string")
+    incoming = spark.createDataFrame([(10, " ".join(words), None, 1)], "id long, content_text string, file_hash string, batch_no int")
+    assert {(r["id_a"], r["id_b"]) for r in dedup.check_batches(history, incoming).collect()} == {(1, 10), (2, 10)}
