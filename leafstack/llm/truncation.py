@@ -22,14 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from leafstack.session import materialize
 
 #: Size of each of the hashed tables of last tokens.
 BUCKETS = 1 << 19
-#: Lengths above this are binned by powers of 1.01, so that histograms stay bounded.
-EXACT_LENGTHS = 5_000
-#: Distinct sources are a column of few values; more are refused.
-MOST_SOURCES = 5_000
+#: Lengths above this are counted in classes, each BIN times the one before, so that histograms stay bounded; lengths that
+#: stand out among those around them, or are known limits, are counted on their own there too.
+EXACT_LENGTHS, BIN = 5_000, 1.01
+#: Distinct sources, known limits and lengths that stand out above EXACT_LENGTHS are few; more are refused.
+MOST_SOURCES, MOST_LIMITS, MOST_SPIKES = 5_000, 10_000, 100_000
+#: A length stands out with at least this many values and this many standard deviations above the lengths around it (at five, one in some dozen columns has a length that does so by chance).
+LEAST_SPIKE, SPIKE_DEVIATIONS = 6, 6
 
 ENDINGS = ("full", "full_odd", "reference", "item", "item_rare", "item_never", "sign", "open", "blank")
 #: First log odds of a cut given each ending; EM starts from them and keeps them as prior counts.
@@ -85,24 +90,15 @@ def _lines(text: str) -> list[str]:
 
 
 def token_stats(text: str, final: Counter, inner: Counter) -> None:
-    """Adds, for all of ``text`` but its last line or sentence, which tokens end and which do not."""
+    """Adds, for all of ``text`` but its last line or sentence, which (kind, token) end and which do not."""
     lines = _lines(text)
     for n, line in enumerate(lines):
         last_line = n == len(lines) - 1
         if ITEM.match(line):
-            tokens = [t.rstrip(".!?…") for t in TOKEN.findall(line)]
-            tokens = [t for t in tokens if t]
-            if last_line:
-                tokens_in, end = tokens[:-1], None
-            else:
-                tokens_in, end = tokens[:-1], tokens[-1] if tokens else None
-            kind = "item"
-            for t in tokens_in:
-                for k in token_keys(t, kind):
-                    inner[k] += 1
-            if end:
-                for k in token_keys(end, kind):
-                    final[k] += 1
+            tokens = [t for x in TOKEN.findall(line) if (t := x.rstrip(".!?…"))]
+            inner.update(("item", t) for t in tokens[:-1])
+            if tokens and not last_line:
+                final["item", tokens[-1]] += 1
         else:
             ends = [m for m in SENTENCE_END.finditer(line)]
             at = {m.start(1): m for m in ends}
@@ -110,9 +106,8 @@ def token_stats(text: str, final: Counter, inner: Counter) -> None:
             for m in TOKEN.finditer(line, 0, stop):
                 token = m.group().rstrip(".!?…")
                 if token:
-                    box = final if any(s in at for s in range(m.start(), m.end())) else inner
-                    for k in token_keys(token, "sentence"):
-                        box[k] += 1
+                    box = final if at and any(s in at for s in range(m.start(), m.end())) else inner
+                    box["sentence", token] += 1
 
 
 def ending(text: str | None, final: np.ndarray, inner: np.ndarray) -> str:
@@ -156,21 +151,35 @@ def end_share(token: str, kind: str, final: np.ndarray, inner: np.ndarray) -> fl
     return float(share)
 
 
-def _bin(length: int) -> int:
-    return length if length <= EXACT_LENGTHS else int(EXACT_LENGTHS * 1.01 ** math.floor(math.log(length / EXACT_LENGTHS, 1.01)))
+def _bin(length: Column) -> Column:
+    """Number of the class of a length above EXACT_LENGTHS."""
+    return F.floor(F.log(length / EXACT_LENGTHS) / math.log(BIN)).cast("int")
+
 
+def bin_edge(number: int) -> float:
+    return EXACT_LENGTHS * BIN**number
 
-def fit_lengths(counts: dict[int, int], limits: set[int], rounds: int = 30) -> tuple[float, float, dict[int, float]]:
-    """Log-normal mean and deviation under right censoring, and per candidate limit the share censored there.
+
+def exact_lengths(counts: dict[int, int], limits: set[int]) -> list[tuple[float, int, float, bool]]:
+    """``length, values, values at a length around it, candidate`` of lengths counted one by one.
 
     A length is a candidate if it is one of ``limits`` or stands out from the 30 lengths around it.
     """
-    lengths = np.array(sorted(x for x in counts if x > 0))
+    lengths = np.array(sorted(x for x in counts if x > 0), np.int64)
     if not len(lengths):
+        return []
+    n = np.array([counts[x] for x in lengths.tolist()], float)
+    whole = np.append(0, np.cumsum(n))
+    near = (whole[np.searchsorted(lengths, lengths + 15, side="right")] - whole[np.searchsorted(lengths, lengths - 15)] - n) / 30
+    return [(x, c, m, x in limits or (c >= LEAST_SPIKE and c > m + SPIKE_DEVIATIONS * math.sqrt(m + 1))) for x, c, m in zip(lengths.tolist(), n.tolist(), near.tolist())]
+
+
+def fit_lengths(cells: list[tuple[float, int, float, bool]], rounds: int = 30) -> tuple[float, float, dict[int, float]]:
+    """Log-normal mean and deviation under right censoring, and per candidate limit the share censored there, from :func:`exact_lengths`."""
+    if not cells:
         return 5.0, 1.0, {}
-    n = np.array([counts[x] for x in lengths], float)
-    near = np.array([n[(np.abs(lengths - x) <= 15) & (lengths != x)].sum() / 30 for x in lengths])
-    candidate = np.array([(x in limits and c >= 1) or (c >= 6 and c > m + 5 * math.sqrt(m + 1)) for x, c, m in zip(lengths, n, near)])
+    lengths, n, near, candidate = (np.array(x) for x in zip(*cells))
+    n, candidate = n.astype(float), candidate.astype(bool)
     logs = np.log(lengths)
     free = n.copy()
     free[candidate] = np.minimum(n, near)[candidate]
@@ -197,17 +206,26 @@ def fit_lengths(counts: dict[int, int], limits: set[int], rounds: int = 30) -> t
     return mu, sd, {int(x): float(s) for x, s, c in zip(lengths, share, candidate) if c}
 
 
-def fit_cuts(table: list[tuple[str, int, str, int]], limits: set[int], rounds: int = 25) -> tuple[dict[str, float], dict[str, float], dict[tuple[str, int], float], float]:
-    """Per source the rate of cuts away from limits, per ending its log odds, per (source, limit) the share censored."""
+def fit_cuts(table: list[tuple[str, int, str, int]], limits: set[int], near: dict[tuple[str, int], float] | None = None, rounds: int = 25) -> tuple[dict[str, float], dict[str, float], dict[tuple[str, int], float], float]:
+    """Per source the rate of cuts away from limits, per ending its log odds, per (source, limit) the share censored.
+
+    ``table`` counts (source, cell, ending); a cell is a length, or minus one minus the number of a class of lengths. ``near`` holds, for
+    each candidate above EXACT_LENGTHS, the values at a length around it.
+    """
     by_source: dict[str, Counter] = {}
     cells: Counter = Counter()
-    for source, length, end, n in table:
+    for source, cell, end, n in table:
         if end != "blank":
-            by_source.setdefault(source, Counter())[length] += n
-    at_limit = {(s, x): p for s, c in by_source.items() for x, p in fit_lengths(c, limits)[2].items()}
-    for source, length, end, n in table:
+            by_source.setdefault(source, Counter())[cell] += n
+    at_limit = {}
+    for s, c in by_source.items():
+        seen = exact_lengths({x: n for x, n in c.items() if 0 < x <= EXACT_LENGTHS}, limits)
+        seen += [(x, n, (near or {}).get((s, x), 0.0), True) for x, n in c.items() if x > EXACT_LENGTHS]
+        seen += [((bin_edge(-1 - x) + bin_edge(-x)) / 2, n, 0.0, False) for x, n in c.items() if x < 0]
+        at_limit |= {(s, x): p for x, p in fit_lengths(seen)[2].items()}
+    for source, cell, end, n in table:
         if end != "blank":
-            cells[source, length if (source, length) in at_limit else 0, end] += n
+            cells[source, cell if (source, cell) in at_limit else 0, end] += n
     whole = sum(cells.values()) or 1
     rate = {s: 0.02 for s in by_source}
     odds = dict(FIRST_ODDS)
@@ -247,15 +265,24 @@ def end_tables(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashed counts of ending and inner tokens over all rows of the one text column of ``values``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        final, inner, words = Counter(), Counter(), Counter()
+        final, inner, words, ends, others = Counter(), Counter(), Counter(), Counter(), Counter()
+
+        def fold() -> None:
+            for seen, box in ((ends, final), (others, inner)):
+                for (kind, token), n in seen.items():
+                    for k in token_keys(token, kind):
+                        box[k] += n
+                seen.clear()
+            _add_tails(words, final, inner)
+
         for batch in batches:
             for text in batch.iloc[:, 0]:
                 if text:
-                    token_stats(text, final, inner)
+                    token_stats(text, ends, others)
                     words.update(WORD.findall(text[: max(text.rstrip().rfind(" "), 0)].lower()))
-            if len(words) > 200_000:
-                _add_tails(words, final, inner)
-        _add_tails(words, final, inner)
+            if len(words) + len(others) > 300_000:
+                fold()
+        fold()
         keys = sorted(final.keys() | inner.keys())
         yield pd.DataFrame({"k": keys, "final": [final[k] for k in keys], "inner_": [inner[k] for k in keys]})
 
@@ -265,6 +292,24 @@ def end_tables(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return final, inner
 
 
+def _few(rows: DataFrame, most: int, what: str) -> list:
+    """The rows, of which there are at most ``most``."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} {what}")
+    return found
+
+
+def standing_out(judged: DataFrame, limits: set[int]) -> DataFrame:
+    """``source, length, near``: of the lengths above EXACT_LENGTHS the known limits and those that stand out from their class and the two beside it."""
+    long = judged.where((F.col("length") > EXACT_LENGTHS) & (F.col("ending") != "blank")).groupBy("source", "length").agg(F.count("*").alias("n")).withColumn("bin", _bin(F.col("length")))
+    around = long.groupBy("source", "bin").agg(F.sum("n").alias("around")).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).groupBy("source", "bin").agg(F.sum("around").alias("around"))
+    wide = F.pow(F.lit(BIN), F.col("bin") + 2) * EXACT_LENGTHS - F.greatest(F.pow(F.lit(BIN), F.col("bin") - 1) * EXACT_LENGTHS, F.lit(float(EXACT_LENGTHS)))
+    near = (F.col("around") - F.col("n")) / wide
+    found = long.join(around, ["source", "bin"]).withColumn("near", near)
+    return found.where(F.col("length").isin(sorted(limits)) | ((F.col("n") >= LEAST_SPIKE) & (F.col("n") > F.col("near") + SPIKE_DEVIATIONS * F.sqrt(F.col("near") + 1)))).select("source", "length", "near")
+
+
 def find_truncated(rows: DataFrame, key: str = "result_id", text: str = "summary", source: str = "summary_method", settings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """``key, source, length, ending, limit_share, p_cut, truncated`` for every row.
 
@@ -273,7 +318,7 @@ def find_truncated(rows: DataFrame, key: str = "result_id", text: str = "summary
     repeated; an empty table gives none. Every row and whole texts are used for all counts.
     """
     spark = rows.sparkSession
-    limits = {int(r[0]) for r in settings.select("max_summary_length").dropna().distinct().limit(1000).collect()} if settings is not None else set()
+    limits = {int(r[0]) for r in _few(settings.select("max_summary_length").dropna().distinct(), MOST_LIMITS, "known limits")} if settings is not None else set()
     base = rows.select(F.col(key).alias("k"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
     final, inner = end_tables(base.select("text"))
     shared = spark.sparkContext.broadcast((final, inner))  # two arrays of BUCKETS numbers
@@ -285,13 +330,14 @@ def find_truncated(rows: DataFrame, key: str = "result_id", text: str = "summary
             texts = batch["text"].where(batch["text"].notna(), "")
             yield pd.DataFrame({"k": batch["k"], "source": batch["source"], "length": texts.map(len).astype("int32"), "ending": [ending(t, f, i) for t in texts]})
 
-    judged = base.mapInPandas(judge, f"k {kind}, source string, length int, ending string")
-    cell = F.when(F.col("length") <= EXACT_LENGTHS, F.col("length")).otherwise((EXACT_LENGTHS * F.pow(F.lit(1.01), F.floor(F.log(F.col("length") / EXACT_LENGTHS) / math.log(1.01)))).cast("int"))
-    judged = judged.withColumn("cell", cell)
-    table = judged.groupBy("source", "cell", "ending").count().collect()  # bounded by sources x length bins x endings
-    if len({r[0] for r in table}) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    rate, odds, at_limit, _ = fit_cuts([tuple(r) for r in table], limits)
+    judged = materialize(base.mapInPandas(judge, f"k {kind}, source string, length int, ending string"), "endings")
+    _few(judged.select("source").distinct(), MOST_SOURCES, "sources")
+    spikes = _few(standing_out(judged, limits), MOST_SPIKES, "lengths that stand out")
+    marked = spark.createDataFrame([(r[0], r[1]) for r in spikes] or [("", -1)], "source string, length int").withColumn("cell", F.col("length"))
+    judged = judged.join(F.broadcast(marked), ["source", "length"], "left")  # at most MOST_SPIKES rows
+    judged = judged.withColumn("cell", F.when(F.col("length") <= EXACT_LENGTHS, F.col("length")).otherwise(F.coalesce("cell", -1 - _bin(F.col("length")))))
+    table = judged.groupBy("source", "cell", "ending").count().collect()  # bounded by sources x (exact lengths, classes, lengths that stand out) x endings
+    rate, odds, at_limit, _ = fit_cuts([tuple(r) for r in table], limits, {(r[0], r[1]): r[2] for r in spikes})
     scored = {(s, c, e): (at_limit.get((s, c), 0.0), posterior(at_limit.get((s, c)), rate.get(s, 0.02), odds[e]) if e != "blank" else 0.0) for s, c, e, _ in table}
     if not scored:
         return spark.createDataFrame([], f"{key} {kind}, {source} string, length int, ending string, limit_share double, p_cut double, truncated boolean")

@@ -125,7 +125,7 @@ def test_reads_stay_flat(spark):
     """A batch of one row meets parts of one size, however large the history."""
     r = random.Random(10)
     read = []
-    for rows in (400, 4000):
+    for rows in (200, 2000):
         history = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 10**6)}" for _ in range(40)), None) for i in range(rows)], "id long, content_text string, file_hash string")
         index = dedup.HistoryIndex(spark, parts=rows // 4)
         index._add("keys", dedup.exploded(dedup.prepare(history).withColumnRenamed("id", "rep")), "k")

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 
 from leafstack.llm import truncation as T
 
@@ -52,10 +54,34 @@ def test_length_fit_finds_the_limit():
     counts = {}
     for x in raw:
         counts[min(x, 300)] = counts.get(min(x, 300), 0) + 1
-    mu, sd, limits = T.fit_lengths(counts, set())
+    mu, sd, limits = T.fit_lengths(T.exact_lengths(counts, set()))
     assert set(limits) == {300} and limits[300] > 0.9 and abs(mu - 5.5) < 0.1 and abs(sd - 0.5) < 0.1
 
 
+@pytest.mark.parametrize("limit", [300, 4_000, 8_000, 50_000, None])
+def test_limits_of_any_size(spark, limit):
+    """A limit is found at its exact length, however long, and nothing else is."""
+    r = random.Random(limit or 1)
+    middle = math.log((limit or 8_000) * 0.9)
+    lengths = [min(int(math.exp(r.gauss(middle, 0.5))), limit or 10**9) for _ in range(20_000)]
+    judged = spark.createDataFrame([("a", n, "full") for n in lengths], "source string, length int, ending string")
+    spikes = {r["length"] for r in T.standing_out(judged, set()).collect()}
+    counts = {}
+    for n in lengths:
+        counts[n] = counts.get(n, 0) + 1
+    exact = {x for x, _, _, c in T.exact_lengths({x: n for x, n in counts.items() if x <= T.EXACT_LENGTHS}, set()) if c}
+    assert spikes | exact == ({limit} if limit else set())
+
+
+def test_known_limit_above_the_exact_lengths(spark):
+    text = "The committee met and the budget was settled in 2004. " * 200
+    rows = [(i, "a", text[: 6000 + 37 * i].rstrip()[:-1] + ".") for i in range(60)] + [(100 + i, "a", text[i : i + 8_000]) for i in range(40)]
+    rows = [(k, s, t if k < 100 else t.replace(".", ",")) for k, s, t in rows]
+    settings = spark.createDataFrame([(8_000,)], "max_summary_length int")
+    got = {r["result_id"]: r for r in T.find_truncated(spark.createDataFrame(rows, "result_id long, summary_method string, summary string"), settings=settings).collect()}
+    assert all(got[100 + i]["limit_share"] > 0.5 for i in range(40)) and not any(got[i]["truncated"] for i in range(60) if got[i]["length"] != 8_000)
+
+
 def test_tail_counts(spark):
     final, inner = T.end_tables(data(spark)[0].select("summary"))
     assert T.word_end("forecast", final, inner) > 0.5 > T.word_end("foreca", final, inner)
