@@ -33,8 +33,9 @@ BUCKETS = 1 << 19
 EXACT_LENGTHS, BIN = 5_000, 1.01
 #: Distinct sources, known limits and lengths that stand out above EXACT_LENGTHS are few; more are refused.
 MOST_SOURCES, MOST_LIMITS, MOST_SPIKES = 5_000, 10_000, 100_000
-#: A length stands out with at least this many values and this many standard deviations above the lengths around it (at five, one in some dozen columns has a length that does so by chance).
-LEAST_SPIKE, SPIKE_DEVIATIONS = 6, 6
+#: A length stands out with at least this many values and this many standard deviations above the lengths around it; above EXACT_LENGTHS,
+#: where the lengths that may do so by chance are many more, with one deviation more.
+LEAST_SPIKE, SPIKE_DEVIATIONS, LONG_DEVIATIONS = 6, 5, 6
 
 ENDINGS = ("full", "full_odd", "reference", "item", "item_rare", "item_never", "sign", "open", "blank")
 #: First log odds of a cut given each ending; EM starts from them and keeps them as prior counts.
@@ -307,7 +308,7 @@ def standing_out(judged: DataFrame, limits: set[int]) -> DataFrame:
     wide = F.pow(F.lit(BIN), F.col("bin") + 2) * EXACT_LENGTHS - F.greatest(F.pow(F.lit(BIN), F.col("bin") - 1) * EXACT_LENGTHS, F.lit(float(EXACT_LENGTHS)))
     near = (F.col("around") - F.col("n")) / wide
     found = long.join(around, ["source", "bin"]).withColumn("near", near)
-    return found.where(F.col("length").isin(sorted(limits)) | ((F.col("n") >= LEAST_SPIKE) & (F.col("n") > F.col("near") + SPIKE_DEVIATIONS * F.sqrt(F.col("near") + 1)))).select("source", "length", "near")
+    return found.where(F.col("length").isin(sorted(limits)) | ((F.col("n") >= LEAST_SPIKE) & (F.col("n") > F.col("near") + LONG_DEVIATIONS * F.sqrt(F.col("near") + 1)))).select("source", "length", "near")
 
 
 def find_truncated(rows: DataFrame, key: str = "result_id", text: str = "summary", source: str = "summary_method", settings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
