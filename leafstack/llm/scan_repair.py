@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafstack.session import materialize
 
@@ -34,11 +35,13 @@ for _t, _r in dict.fromkeys((*CONFUSIONS, *LONG, *BACK)):
 #: Every letter as the strokes it can fall apart into, so that all readings of a word share one key.
 _STROKES = str.maketrans({"1": "l", "|": "l", "!": "l", "i": "l", "0": "o", "5": "s", "$": "s", "9": "g", "6": "b", "8": "b", "@": "a", "c": "e", "f": "t", "2": "z", "m": "rrl", "n": "rl", "d": "el", "u": "ll", "ü": "ll", "h": "ll", "w": "vv", "k": "le", "ﬁ": "tl", "ﬂ": "tl"})
 #: Cells of the hashed table of neighbouring words, and bits of the filter of words that have a correction.
-PAIR_CELLS, FILTER_BITS = 1 << 20, 1 << 24
+PAIR_CELLS, FILTER_BITS = 1 << 21, 1 << 25
 #: A word counts as frequent from here on; a misreading is at most this share of its word (beyond one).
 FREQUENT, SHARE = 3, 0.01
-#: Share of documents from which a repeated line is a heading of the corpus, not a running header of one document.
-HEADING_SHARE = 0.004
+#: A plain substitution of one letter counts as a misreading in words of this many letters, beside a word this many times as frequent, whose neighbours it stands among.
+PLAIN_LETTERS, PLAIN_RATIO, PLAIN_SUPPORT = 7, 200, 3
+#: Pages of a document on which a running header stands at least, on average over the documents that have it.
+HEAD_PAGES = 1.5
 
 #: A word with what may be misread inside it. Codes and file names are parts of longer runs and are skipped.
 RUN = re.compile(r"\S+")
@@ -91,23 +94,43 @@ def distance(true: str, read: str, most: float = 2.4) -> float:
     return rows[len(a)][len(b)]
 
 
+def run_words(run: str) -> tuple[tuple[int, int, str], ...]:
+    """Words that can be judged in a run without white space: Latin letters, with what may stand for one. Codes, file names and wrongly decoded words are left out."""
+    left = len(run) - len(run.lstrip(TRIM))
+    core = run.strip(TRIM)
+    if not core:
+        return ()
+    out, at = [], left
+    for part in re.split(r"([-’'/‐­¬])", core):
+        if part and CORE.fullmatch(part) and not ("." in core or "_" in core) and part.isascii() | all(c.isalnum() or c in "|!@$ﬁﬂ" for c in part) and all(ord(c) < 0x180 or c in "ﬁﬂ" for c in part):
+            letters = sum(c.isalpha() for c in part)
+            if letters >= 2 and letters * 2 > len(part) and not ("-" in core and re.search(r"\d", core) and part.isupper()):
+                out.append((at, at + len(part), part))
+        at += len(part)
+    return tuple(out)
+
+
+class _Runs(dict):
+    """:func:`run_words` of the runs seen; cleared when full."""
+
+    def __missing__(self, run: str) -> tuple[tuple[int, int, str], ...]:
+        if len(self) > 300_000:
+            self.clear()
+        value = self[run] = run_words(run)
+        return value
+
+
+_RUNS = _Runs()
+
+
 def text_words(text: str) -> Iterator[tuple[int, int, str]]:
-    """Words that can be judged: Latin letters, with what may stand for one. Codes, file names, broken and wrongly decoded words are left out."""
+    """Words that can be judged, with their places; words broken across lines are left out."""
     broken = {at for m in BREAK.finditer(text) for at in (m.start(1), m.start(3))}
     for m in RUN.finditer(text):
-        run = m.group()
-        left = len(run) - len(run.lstrip(TRIM))
-        core = run.strip(TRIM)
-        start = m.start() + left
-        if not core or start in broken:
-            continue
-        at = 0
-        for part in re.split(r"([-’'/‐­¬])", core):
-            if part and CORE.fullmatch(part) and start + at not in broken and not ("." in core or "_" in core) and part.isascii() | all(c.isalnum() or c in "|!@$ﬁﬂ" for c in part) and all(ord(c) < 0x180 or c in "ﬁﬂ" for c in part):
-                letters = sum(c.isalpha() for c in part)
-                if letters >= 2 and letters * 2 > len(part) and not ("-" in core and re.search(r"\d", core) and part.isupper()):
-                    yield start + at, start + at + len(part), part
-            at += len(part)
+        start = m.start()
+        for a, b, part in _RUNS[m.group()]:
+            if not broken or not (start + a in broken or a and start + _RUNS[m.group()][0][0] in broken):
+                yield start + a, start + b, part
 
 
 def _plain(word: str) -> str:
@@ -121,20 +144,32 @@ def count_words(pages: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         once: Counter = Counter()
+        near: Counter = Counter()
         pairs = np.zeros(PAIR_CELLS, np.int64)
+
+        def fold() -> None:
+            for (before, word), n in near.items():
+                pairs[pair_cell(before, word)] += n
+            near.clear()
+
         for batch in batches:
             for text, copies in zip(batch["text"], batch["copies"]):
-                last = ""
-                for _, _, w in text_words(text):
-                    w = _plain(w)
-                    words[w] += copies
-                    once[w] += 1
-                    pairs[pair_cell(last, w)] += copies
-                    last = w
+                found = [_plain(w) for _, _, w in text_words(text)]
+                once.update(found)
+                if copies == 1:
+                    words.update(found)
+                    near.update(zip(["", *found], found))
+                else:
+                    for before, w in zip(["", *found], found):
+                        words[w] += copies
+                        near[before, w] += copies
+            if len(near) > 500_000:
+                fold()
             if len(words) > 300_000:
                 yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values()), "m": [once[w] for w in words]})
                 words.clear()
                 once.clear()
+        fold()
         at = np.flatnonzero(pairs)
         if words:
             yield pd.DataFrame({"word": list(words), "cell": -1, "n": list(words.values()), "m": [once[w] for w in words]})
@@ -146,6 +181,7 @@ def count_words(pages: DataFrame) -> tuple[DataFrame, np.ndarray]:
     found = counted.where("cell >= 0").select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()  # at most PAIR_CELLS rows
     pairs = np.zeros(PAIR_CELLS, np.int32)
     pairs[found["cell"]] = found["n"]
+    pairs = np.maximum(pairs - int(pairs.mean()), 0)  # what other pairs of a cell add on average
     return counted.where("cell < 0").select("word", "n", "m"), pairs
 
 
@@ -154,7 +190,7 @@ def pair_cell(before: str, word: str) -> int:
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """``read, printed, score``: misread words and what may be printed there, best first by ``score``.
+    """``read, printed, score, bare``: misread words and what may be printed there, best first by ``score``; ``bare`` ones need the support of their neighbours.
 
     Of a reading the texts that differ count (``m``), so copies of a noisy page do not vouch for it; a word that is printed must not stand in fewer of them.
     """
@@ -174,10 +210,20 @@ def corrections(words: DataFrame) -> DataFrame:
             for read, true, n, m in batch.itertuples(index=False):
                 d = distance(true, read)
                 if d <= min(1.6, 0.4 * max(1, len(true) // (3 if read.isalpha() else 2))) + 1e-9 and (len(true) >= 4 or not read.isalpha()):
-                    out.append((read, true, math.log(m) - 5.0 * d - math.log(n)))
-            yield pd.DataFrame(out, columns=["read", "printed", "score"])
+                    out.append((read, true, math.log(m) - 5.0 * d - math.log(n), False))
+                elif m >= PLAIN_RATIO * n and plain_substitution(true, read):
+                    out.append((read, true, math.log(m) - 8.0 - math.log(n), True))
+            yield pd.DataFrame(out, columns=["read", "printed", "score", "bare"])
+
+    return met.mapInPandas(weigh, "read string, printed string, score double, bare boolean").where("score > -4")
+
 
-    return met.mapInPandas(weigh, "read string, printed string, score double").where("score > -4")
+def plain_substitution(true: str, read: str) -> bool:
+    """Whether one letter inside a long word was read as another; letters that a wrong decoding gives do not count."""
+    if len(true) != len(read) or len(true) < PLAIN_LETTERS:
+        return False
+    other = [i for i, (a, b) in enumerate(zip(true, read)) if a != b]
+    return len(other) == 1 and 0 < other[0] < len(true) - 2 and read[other[0]].isascii() and read[other[0]].isalpha() and true[other[0]].isascii()
 
 
 def header_key(line: str) -> str:
@@ -312,24 +358,41 @@ def pages_of(chunks: DataFrame) -> DataFrame:
 
 
 def running_heads(pages: DataFrame) -> DataFrame:
-    """``doc_id, chunk_index, headers``: of the lines at a page's edges, those that repeat on other pages of the document but not across the corpus.
+    """``doc_id, chunk_index, headers``: of the lines at a page's edges, those that repeat on other pages of the document and are no headings.
 
-    Lines are counted and joined per (document, line), so a document may hold any share of the pages; a page gets at most its four.
+    A heading may stand at an edge of many documents, but mostly once in each; a running header repeats wherever it stands, in
+    one document or in a third of all. So a line is a header if the documents of several pages that have it at an edge have it on
+    HEAD_PAGES pages on average. Lines are counted and joined per (document, line), so a document may hold any
+    share of the pages; a page gets at most its four.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(d, c, k) for d, c, t in zip(batch["doc_id"], batch["chunk_index"], batch["text"]) for k in {header_key(x) for _, x in edge_lines(t) if plausible_head(x) and not page_number_line(x, None)} if len(k) > 3]
             yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "key"])
 
-    found = materialize(pages.where("text IS NOT NULL AND NOT sheet").select("doc_id", "chunk_index", "text").mapInPandas(run, "doc_id bigint, chunk_index int, key string"), "edge-lines")
-    per = found.groupBy("doc_id", "key").agg(F.count("*").alias("pages"))
-    docs = found.select("doc_id").distinct().count()
-    common = per.groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") > max(5, HEADING_SHARE * docs)).select("key")
-    heads = per.where("pages >= 2").join(common, "key", "left_anti").select("doc_id", "key")
+    rows = pages.where("text IS NOT NULL AND NOT sheet").select("doc_id", "chunk_index", "text")
+    found = materialize(rows.mapInPandas(edges, "doc_id bigint, chunk_index int, key string"), "edge-lines")
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("pages")).where("pages >= 2").select("doc_id")
+    per = found.groupBy("doc_id", "key").agg(F.count("*").alias("pages")).join(several, "doc_id", "left_semi")
+    headings = per.groupBy("key").agg(F.avg("pages").alias("mean")).where(F.col("mean") < HEAD_PAGES).select("key")
+    heads = per.where("pages >= 2").join(headings, "key", "left_anti").select("doc_id", "key")
     return found.join(heads, ["doc_id", "key"]).groupBy("doc_id", "chunk_index").agg(F.collect_set("key").alias("headers"))
 
 
+def bit_table(spark: SparkSession, cells: DataFrame, size: int) -> Broadcast:
+    """A broadcast bit for each of ``size`` cells, set for those in the one column of ``cells``."""
+    words = cells.toDF("b").groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, b & 31))").alias("bits")).toPandas()  # at most size / 32 rows
+    bits = np.zeros(size // 32, np.uint32)
+    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast(bits)
+
+
+def has_bit(bits: np.ndarray, text: str, size: int) -> bool:
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
+    return bool(int(bits[at >> 5]) >> (at & 31) & 1)
+
+
 def broken_lexicon(pages: DataFrame, words: DataFrame) -> DataFrame:
     """``doc_id, chunk_index, lexicon``: as JSON, counts of the words that the line-end hyphens of a page ask about."""
 
@@ -357,28 +420,26 @@ def repair_pages(chunks: DataFrame) -> DataFrame:
     pages = materialize(pages_of(chunks), "pages")
     words, pairs = count_words(pages)
     fixes = materialize(corrections(words), "corrections")
-    flags = fixes.select(F.pmod(F.xxhash64("read"), F.lit(FILTER_BITS)).cast("int").alias("b")).distinct()
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    at = flags.toPandas()["b"].to_numpy()  # at most FILTER_BITS numbers
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    known = bit_table(spark, fixes.select(F.pmod(F.crc32(F.encode("read", "utf-8")), F.lit(FILTER_BITS)).cast("int")), FILTER_BITS)
 
     # words of a page that may have a correction are looked up by a join; the filter keeps them few
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, str] = {}
         for batch in batches:
-            out = {(d, c, p) for d, c, t in zip(batch["doc_id"], batch["chunk_index"], batch["text"]) for _, _, w in text_words(t) if len(p := _plain(w)) >= 3}
+            out = set()
+            for d, c, t in zip(batch["doc_id"], batch["chunk_index"], batch["text"]):
+                for _, _, w in text_words(t):
+                    if (p := seen.get(w)) is None:
+                        if len(seen) > 300_000:
+                            seen.clear()
+                        p = _plain(w)
+                        p = seen[w] = p if len(p) >= 3 and has_bit(known.value, p, FILTER_BITS) else ""
+                    if p:
+                        out.add((d, c, p))
             yield pd.DataFrame(list(out), columns=["doc_id", "chunk_index", "read"])
 
     seen = pages.where("text IS NOT NULL").select("doc_id", "chunk_index", "text").mapInPandas(suspects, "doc_id bigint, chunk_index int, read string")
-    keep = spark.sparkContext.broadcast(bits)  # FILTER_BITS bits
-
-    @F.pandas_udf("boolean")
-    def maybe(cells: pd.Series) -> pd.Series:
-        c = cells.to_numpy()
-        return pd.Series((keep.value[c >> 3] >> (c & 7) & 1).astype(bool))
-
-    seen = seen.where(maybe(F.pmod(F.xxhash64("read"), F.lit(FILTER_BITS)).cast("int")))
-    best = fixes.groupBy("read").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), "printed"))), lambda x: F.struct(x["printed"].alias("printed"), (-x["cost"]).alias("score"))).alias("options"))
+    best = fixes.groupBy("read").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), "printed", "bare"))), lambda x: F.struct(x["printed"].alias("printed"), (-x["cost"]).alias("score"), x["bare"].alias("bare"))).alias("options"))
     page_fixes = seen.join(best, "read").groupBy("doc_id", "chunk_index").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("read", "options")))).alias("options"))
     rows = pages.join(running_heads(pages), ["doc_id", "chunk_index"], "left").join(broken_lexicon(pages, words), ["doc_id", "chunk_index"], "left").join(page_fixes, ["doc_id", "chunk_index"], "left")
     shared = spark.sparkContext.broadcast(pairs)  # PAIR_CELLS numbers
@@ -400,14 +461,20 @@ def repair_page(text: str | None, page: int, sheet: bool, headers: set[str], lex
         return 0, 0, 0, 0, False, text
     broken, drop = page_traces(text, page, sheet, headers, lexicon)
     misread, fixed, last = 0, [], ""
-    for start, end, w in text_words(text):
-        p = _plain(w)
+    words = [(a, b, w, _plain(w)) for a, b, w in text_words(text)] if options else []
+    for at, (start, end, w, p) in enumerate(words):
         if p in options:
-            found = [(o["printed"], o["score"] + 0.5 * math.log1p(int(pairs[pair_cell(last, o["printed"])]))) for o in options[p]]
-            true = max(found, key=lambda x: x[1])[0]
-            misread += 1
-            fixed.append((start, end, true.upper() if w.isupper() and len(w) > 1 else true.capitalize() if w[:1].isupper() else true))
-            p = true
+            after = words[at + 1][3] if at + 1 < len(words) else ""
+            found = []
+            for o in options[p]:
+                before = int(pairs[pair_cell(last, o["printed"])])
+                if not o.get("bare") or before >= PLAIN_SUPPORT and pairs[pair_cell(o["printed"], after)] >= PLAIN_SUPPORT:
+                    found.append((o["printed"], o["score"] + 0.5 * math.log1p(before)))
+            if found:
+                true = max(found, key=lambda x: x[1])[0]
+                misread += 1
+                fixed.append((start, end, true.upper() if w.isupper() and len(w) > 1 else true.capitalize() if w[:1].isupper() else true))
+                p = true
         last = p
     lines = text.split("\n")
     numbers = sum(page_number_line(lines[i], page) for i in drop)
