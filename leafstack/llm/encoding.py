@@ -28,8 +28,10 @@ SINGLE = (
 CHAINS = ("as written", *(f"{a}>{b}" for a, b in SINGLE), "utf_8>cp1252 twice", "utf_7>ascii", "lossy")
 #: Characters of a sound word are at least this likely to need no chain, before any data.
 FIRST_RATE = 1e-3
+#: Sources are a column of few values; more are refused.
+MOST_SOURCES = 5_000
 
-WORD = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*|[^\x00-\x20]*\+[A-Za-z0-9+/]{3,}-[^\x00-\x20]*")
+SPACE = re.compile(r"([\x00-\x20]+)")
 UTF7 = re.compile(r"\+([A-Za-z0-9+/]{3,})-")
 EDGE = "()[]{}.,;:!?\"'|<>/*_=#&-"
 #: Typographic signs of ordinary text.
@@ -168,16 +170,18 @@ def judge(word: str, prior: dict[int, float], learned: dict, totals: dict) -> tu
     return post[1:], post[0][2]
 
 
-def words_of(text: str) -> Iterator[tuple[int, int, str]]:
-    """Words with something beyond ASCII, without plain marks at their edges."""
-    for m in WORD.finditer(text):
-        word = m.group()
-        if word.isascii():
-            yield m.start(), m.end(), word
-            continue
-        left = len(word) - len(word.lstrip(EDGE))
-        bare = word.strip(EDGE)
-        yield m.start() + left, m.start() + left + len(bare), bare
+def words_of(text: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """The runs of a text with the white space between them, and ``(number of the run, word)`` of those with something beyond ASCII, without plain marks at their edges."""
+    parts = SPACE.split(text)
+    found = []
+    for i in range(0, len(parts), 2):
+        word = parts[i]
+        if not word.isascii():
+            if bare := word.strip(EDGE):
+                found.append((i, bare))
+        elif "+" in word and UTF7.search(word):
+            found.append((i, word))
+    return parts, found
 
 
 def fit(rows: DataFrame, rounds: int = 4) -> tuple[dict[str, dict[int, float]], dict, dict]:
@@ -187,14 +191,16 @@ def fit(rows: DataFrame, rounds: int = 4) -> tuple[dict[str, dict[int, float]],
         seen: Counter = Counter()
         for batch in batches:
             for source, text in zip(batch["source"], batch["text"]):
-                for _, _, word in words_of(text or ""):
-                    seen[source, word] += 1
+                if text and (not text.isascii() or "+" in text):
+                    seen.update((source, word) for _, word in words_of(text)[1])
             if len(seen) > 300_000:
                 yield _frame(seen)
                 seen.clear()
         yield _frame(seen)
 
     words = materialize(rows.mapInPandas(count, "source string, word string, n bigint").groupBy("source", "word").agg(F.sum("n").alias("n")), "encoding-words")
+    if len(words.select("source").distinct().limit(MOST_SOURCES + 1).collect()) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     rates: dict[str, dict[int, float]] = {}
     learned: dict[tuple[str, str], float] = {}
     totals: dict[str, float] = {}
@@ -245,23 +251,28 @@ def _frame(seen: Counter) -> pd.DataFrame:
 def repair(text: str, prior: dict[int, float], learned: dict, totals: dict, least: float = 0.5, seen: dict | None = None) -> tuple[str, int, int, Counter]:
     """Restored text, words restored, words that cannot be restored, and their chains. ``seen`` keeps judgements made under the same ``prior``."""
     seen = {} if seen is None else seen
+    parts, words = words_of(text)
     found = []
-    for a, b, w in words_of(text):
-        if w not in seen:
+    for i, w in words:
+        judged = seen.get(w)
+        if judged is None:
             if len(seen) > 100_000:
                 seen.clear()
-            seen[w] = judge(w, prior, learned, totals)
-        found.append((a, b, w, *seen[w]))
+            judged = seen[w] = judge(w, prior, learned, totals)
+        found.append((i, w, *judged))
     tally: Counter = Counter()
-    for *_, post, sound in found:
+    for *_, post, _ in found:
         for c, _, p in post:
             tally[c] += p
     # the record's own chains count for its undecided words
     own = {c: (v + prior.get(c, 0.0)) / (len(found) + 1) for c, v in tally.items() if v > 0.9}
-    out, at, restored, lost, chains = [], 0, 0, 0, Counter()
-    for a, b, w, post, sound in found:
+    again: dict[str, tuple] = {}
+    restored, lost, chains = 0, 0, Counter()
+    for i, w, post, sound in found:
         if own and post and 1e-6 < sound < 1 - 1e-6:
-            post, sound = judge(w, own, learned, totals)
+            if w not in again:
+                again[w] = judge(w, own, learned, totals)
+            post, sound = again[w]
         if 1 - sound < least or not post:
             continue
         c, word, _ = max(post, key=lambda x: x[2])
@@ -269,10 +280,10 @@ def repair(text: str, prior: dict[int, float], learned: dict, totals: dict, leas
         if CHAINS[c] == "lossy":
             lost += 1
             continue
-        out += [text[at:a], word]
-        at = b
+        at = parts[i].index(w)
+        parts[i] = parts[i][:at] + word + parts[i][at + len(w) :]
         restored += 1
-    return "".join([*out, text[at:]]), restored, lost, chains
+    return "".join(parts), restored, lost, chains
 
 
 def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "full_text", source: tuple[str, ...] = ("file_type",), rounds: int = 4) -> DataFrame:

@@ -40,3 +40,27 @@ def test_sound_text_stays(spark, text):
 def test_twice():
     text = "l’antenne"
     assert (len(E.CHAINS) - 3, text) in E.candidates(text.encode().decode("cp1252").encode().decode("cp1252"))
+
+
+def test_texts_restored_among_the_tables(spark):
+    """Sound texts of the tables, wrongly decoded wholly, among all others: words that come back exactly."""
+    table = spark.read.parquet("/root/testdata/sf0.01/parsed_documents.parquet").where("full_text IS NOT NULL").select("doc_id", "file_type", "full_text")
+    sound = {r["doc_id"] for r in E.repair_encoding(table).where("NOT garbled").collect()}
+    chains = [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("cp1252", "cp1251"), ("cp1252", "mac_roman")]
+    rows, want = [], {}
+    for n, r in enumerate(table.collect()):
+        text = r["full_text"]
+        if r["doc_id"] in sound and n % 10 == 0 and not text.isascii():
+            true, read = chains[n // 10 % len(chains)]
+            try:
+                bad = text.encode(true).decode(read)
+            except UnicodeError:
+                bad = None
+            if bad:
+                want[r["doc_id"]], text = text, bad
+        rows.append((r["doc_id"], r["file_type"], text))
+    got = {r["doc_id"]: r for r in E.repair_encoding(spark.createDataFrame(rows, "doc_id long, file_type string, full_text string")).collect()}
+    pairs = [(a, b) for k, t in want.items() for a, b in zip(t.split(" "), got[k]["restored"].split(" ")) if not a.isascii()]
+    back = sum(a == b for a, b in pairs)
+    print(f"found {sum(got[k]['garbled'] for k in want)} of {len(want)}, restored {back} of {len(pairs)} words")
+    assert all(got[k]["garbled"] for k in want) and back / len(pairs) > 0.9
