@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,20 +76,27 @@ def page_overlap(offsets: DataFrame, size: int = 4000) -> DataFrame:
 
 
 def boundary_offsets(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Chunks that end after the last of the best break in their second part; the next starts ``overlap`` before."""
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            for b in BREAKS:
-                at = text.rfind(b, start + overlap, end)
-                if at > start:
-                    end = at + len(b)
-                    break
-        out.append((start, end))
-        if end >= len(text):
-            break
-        start = max(start + 1, end - overlap)
+    """Chunks of at most ``size`` that end behind a break; the next starts ``overlap`` before that end.
+
+    Of the kinds of break in BREAKS the first that has one behind the chunk's overlap decides, and of its breaks the last; without any
+    the chunk is full. The breaks of a text are looked up once, then found by bisection.
+    """
+    places = [[m.end() + len(b) - 1 for m in re.finditer(f"{re.escape(b[0])}(?={re.escape(b[1:])})", text)] for b in BREAKS]
+
+    def cut(first: int) -> int:
+        full = first + size
+        if full >= len(text):
+            return len(text)
+        for b, ends in zip(BREAKS, places):
+            last = bisect_right(ends, full) - 1
+            if last >= 0 and ends[last] - len(b) >= first + overlap:
+                return ends[last]
+        return full
+
+    out = [(0, cut(0))] if text else []
+    while out and out[-1][1] < len(text):
+        first = max(out[-1][0] + 1, out[-1][1] - overlap)
+        out.append((first, cut(first)))
     return out
 
 
@@ -108,21 +116,18 @@ def find_sections(text: str) -> list[tuple[str, str]]:
 
 
 def pack_sections(sections: list[tuple[str, str]], size: int, overlap: int) -> list[str]:
-    """Sections filled into chunks of at most ``size``; one above one and a half times that is cut at boundaries."""
-    out: list[str] = []
-    held = ""
-    for name, body in sections:
-        block = f"## {name}\n{body}"
-        if len(block) > 1.5 * size:
-            out += [held] if held else []
-            held = ""
-            out += [block[a:b] for a, b in boundary_offsets(block, size, overlap)]
-        elif held and len(held) + len(block) + 2 > size:
-            out.append(held)
-            held = block
+    """Sections under their headings, filled into chunks of about ``size``; a chunk of more than one and a half times that is cut at boundaries afterwards."""
+    packed: list[list[str]] = []
+    room = 0
+    for block in (f"## {name}\n\n{body}" for name, body in sections):
+        if packed and len(block) <= room:
+            packed[-1].append(block)
+            room -= len(block) + 2
         else:
-            held = f"{held}\n\n{block}" if held else block
-    return out + ([held] if held else [])
+            packed.append([block])
+            room = size - len(block)
+    whole = ("\n\n".join(blocks).strip() for blocks in packed)
+    return [part for chunk in whole for part in ([chunk[a:b] for a, b in boundary_offsets(chunk, size, overlap)] if len(chunk) > 1.5 * size else [chunk])]
 
 
 def _mapped(docs: DataFrame, text: str, make, schema: str) -> DataFrame:

@@ -31,47 +31,69 @@ def is_answer_option(c: Column) -> Column:
 
 
 def extract(docs: DataFrame, text: str) -> DataFrame:
-    """``doc_id, pos, question``: all findings of all patterns, cleaned, without answer options; at most 200 a document.
+    """``doc_id, pos, question``: all findings of all patterns, then the questions over two lines, cleaned, without answer options.
 
-    Null texts give none. One pass, no shuffle.
+    Null texts give none. One pass, no shuffle. The cap on a document's questions comes after duplicates are removed (:func:`greedy_distinct`).
     """
     c = F.col(text)
-    found = F.concat(*(F.regexp_extract_all(c, F.lit("(?dU)" + p), F.lit(g)) for _, p, g in PATTERNS))
+    found = F.concat(*(F.regexp_extract_all(c, F.lit("(?dU)" + p), F.lit(g)) for _, p, g in PATTERNS), two_lines(c))
     kept = F.filter(F.transform(found, T.strip), lambda q: (F.length(q) >= LEAST) & ~is_answer_option(q))
     cleaned = F.filter(F.transform(kept, T.clean_question), lambda q: F.length(q) >= LEAST)
-    return docs.where(c.isNotNull()).select("doc_id", F.posexplode(F.slice(cleaned, 1, MOST_QUESTIONS)).alias("pos", "question"))
+    return docs.where(c.isNotNull()).select("doc_id", F.posexplode(cleaned).alias("pos", "question"))
+
+
+def runs_on(line: Column, after: Column) -> Column:
+    """Whether a line starts upper case without an end mark and the next one ends with a question mark."""
+    return line.rlike("^[A-Z]") & ~line.rlike("[.?!:,;]$") & after.endswith("?") & (F.length(line) > 10) & (F.length(F.concat(line, after)) < 250)
+
+
+def two_lines(c: Column) -> Column:
+    """The questions of a text that run over two lines, in order."""
+    lines = F.transform(F.split(c, "\n"), T.strip)
+    pairs = F.arrays_zip(F.slice(lines, F.lit(1), F.size(lines) - 1).alias("a"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("b"))
+    return F.transform(F.filter(pairs, lambda x: runs_on(x["a"], x["b"])), lambda x: F.concat_ws(" ", x["a"], x["b"]))
 
 
 def joined_lines(docs: DataFrame, text: str) -> DataFrame:
-    """Questions that run over two lines: a line that starts upper case without an end mark, and one that ends with a question mark."""
+    """``doc_id, pos, question``: questions that run over two lines, with the number of the first."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), T.strip(F.col("line")).alias("line"))
     with_next = lines.withColumn("nxt", F.lead("line").over(W.partitionBy("doc_id").orderBy("pos")))
-    hit = F.col("line").rlike("^[A-Z]") & ~F.col("line").rlike("[.?!:,;]$") & F.col("nxt").endswith("?") & (F.length("line") > 10) & (F.length(F.concat("line", "nxt")) < 250)
-    return with_next.where(hit).select("doc_id", "pos", F.concat_ws(" ", "line", "nxt").alias("question"))
+    return with_next.where(runs_on(F.col("line"), F.col("nxt"))).select("doc_id", "pos", F.concat_ws(" ", "line", "nxt").alias("question"))
 
 
 def greedy(found: list[str]) -> list[str]:
-    """The first of each group of near-equal questions, replaced by a longer variant; order as found."""
-    kept: list[tuple[str, set[str]]] = []
+    """One of each group of near-equal questions, in order of the first.
+
+    A question belongs to the kept one that shares the largest part of its words (the earliest of several), if that part is at least
+    SAME; the longer text of the two then stands for the group.
+    """
+    texts: list[str] = []
+    bags: list[frozenset[str]] = []
+    where: dict[str, list[int]] = {}  # kept questions by word
     for q in found:
-        own = set(" ".join(q.lower().strip().rstrip("?. ").split()).split())
-        for i, (old, words) in enumerate(kept):
-            if own == words or own and words and len(own & words) / len(own | words) >= SAME:
-                if len(q) > len(old):
-                    kept[i] = (q, own)
-                break
-        else:
-            kept.append((q, own))
-    return [q for q, _ in kept]
+        bag = frozenset(q.lower().strip().rstrip("?. ").split())
+        met = sorted({i for w in bag for i in where.get(w, ()) if w in bags[i]})
+        alike = [len(bag & bags[i]) / len(bag | bags[i]) for i in met]
+        best = max(alike, default=0.0)
+        if best < SAME:
+            at = len(texts)
+            texts.append(q)
+            bags.append(bag)
+        elif len(q) > len(texts[at := met[alike.index(best)]]):
+            texts[at], bags[at] = q, bag
+        for w in bags[at]:
+            if at not in where.setdefault(w, []):
+                where[w].append(at)
+    return texts
 
 
 def greedy_distinct(found: DataFrame) -> DataFrame:
-    """``doc_id, questions`` after greedy removal of near-duplicates. Order-dependent, so a fold within each document (at most 200 questions)."""
+    """``doc_id, questions`` after greedy removal of near-duplicates, at most MOST_QUESTIONS. Order-dependent, so a fold within each document."""
     grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "question"))).alias("q"))
     rows = grouped.select("doc_id", F.transform("q", lambda x: x["question"]).alias("q"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "questions": [greedy(list(q)) for q in batch["q"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "questions": [greedy(list(q))[:MOST_QUESTIONS] for q in batch["q"]]})
 
     return rows.mapInPandas(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, questions array<string>")

@@ -18,21 +18,23 @@ RAW_TOKENS = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
 TOKENS = lambda c: f"list_filter(list_distinct({RAW_TOKENS(c)}), lambda x: regexp_full_match(x, '[a-z]{{3,}}|[a-z]+[0-9]+') AND NOT list_contains({STOP}, x))"
 TERMS = lambda c: f"list_filter({RAW_TOKENS(c)}, lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({STOP2}, x))"
 #: Chunks without the rows that were delivered twice.
-CHUNKS = "SELECT doc_id, chunk_index, max(document) AS document, max(page_no) AS page_no, max(sheet_name) AS sheet_name, max(text) AS text FROM chunks GROUP BY doc_id, chunk_index"
-#: A form with numbered questions, options and fields for every document, built from its columns.
-FORM = "'Customer survey ' || doc_id || chr(10) || 'Q1. How often do you visit ' || coalesce(source, 'us') || '?' || chr(10) || '2) Please describe problem ' || (doc_id % 7) || ' in detail' || chr(10) || 'a) Yes' || chr(10) || 'b) No' || chr(10) || 'How satisfied are you with ' || coalesce(source, 'us') || '?' || chr(10) || 'We would like to know more about' || chr(10) || 'your plans for ' || (doc_id % 5) || '?' || chr(10) || '**What is item ' || (doc_id % 3) || '?**' || chr(10) || 'First Name: ____' || chr(10) || '3. what is required (required)' || chr(10) || 'Page ' || doc_id || ' of 9' || chr(10) || '[ ] agree' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Strongly agree' ELSE 'Comments:' END || chr(10) || 'written on ' || (doc_id % 28 + 1) || '/03/2024 for $' || (doc_id % 90) || '.50 million at ' || (doc_id % 100) || '% by a' || doc_id || '@mail.org'"
+CHUNKS = "SELECT doc_id, chunk_index, document, page_no, sheet_name, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY text DESC NULLS LAST, page_no DESC NULLS LAST, sheet_name DESC NULLS LAST, document DESC NULLS LAST) AS nth FROM chunks) WHERE nth = 1"
+#: The whole text of every document, followed by a form with numbered questions, options and fields built from its columns, and one of SIGNS in turn.
+SIGNS = ("Net promoter score: how likely are you", "Somewhat agree", "Rate your visit, rating: 3", "Check all that apply", "Answer here: _____ [   ]", "Optional: *", "Yes or No", "I consent and I agree", "Date: ____ dd/mm/yyyy", "Instructions: how to complete", "☐ one ☑ two", "Feedback", "1. describe the state", "(a) first")
+FORM = "coalesce(text, '') || chr(10) || 'Customer survey ' || doc_id || chr(10) || 'Q1. How often do you visit ' || coalesce(source, 'us') || '?' || chr(10) || '2) Please describe problem ' || (doc_id % 7) || ' in detail' || chr(10) || 'a) Yes' || chr(10) || 'b) No' || chr(10) || 'How satisfied are you with ' || coalesce(source, 'us') || '?' || chr(10) || 'We would like to know more about' || chr(10) || 'your plans for ' || (doc_id % 5) || '?' || chr(10) || '**What is item ' || (doc_id % 3) || '?**' || chr(10) || 'First Name: ____' || chr(10) || '3. what is required (required)' || chr(10) || 'Page ' || doc_id || ' of 9' || chr(10) || '[ ] agree' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Strongly agree' ELSE 'Comments:' END || chr(10) || 'written on ' || (doc_id % 28 + 1) || '/03/2024 for $' || (doc_id % 90) || '.50 million at ' || (doc_id % 100) || '% by a' || doc_id || '@mail.org' || chr(10) || [" + ", ".join(f"'{x}'" for x in SIGNS) + "][doc_id % 14 + 1]"
 
 
 def chunk_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks without the rows that were delivered twice."""
-    return read(spark, root, "chunks").groupBy("doc_id", "chunk_index").agg(*(F.max(c).alias(c) for c in ("document", "page_no", "sheet_name", "text")))
+    """Chunks without the rows that were delivered twice: one whole row each, the one with the greatest text where they differ."""
+    one = F.max(F.struct("text", "page_no", "sheet_name", "document")).alias("r")
+    return read(spark, root, "chunks").groupBy("doc_id", "chunk_index").agg(one).select("doc_id", "chunk_index", "r.document", "r.page_no", "r.sheet_name", "r.text")
 
 
 def forms(spark: SparkSession, root: str) -> DataFrame:
     c = lambda x: F.lit(x)
     d, s = F.col("doc_id"), F.coalesce("source", F.lit("us"))
     n = lambda m: (d % m).cast("string")
-    form = F.concat(c("Customer survey "), d, c("\nQ1. How often do you visit "), s, c("?\n2) Please describe problem "), n(7), c(" in detail\na) Yes\nb) No\nHow satisfied are you with "), s, c("?\nWe would like to know more about\nyour plans for "), n(5), c("?\n**What is item "), n(3), c("?**\nFirst Name: ____\n3. what is required (required)\nPage "), d, c(" of 9\n[ ] agree\n"), F.when(d % 2 == 0, "Strongly agree").otherwise("Comments:"), c("\nwritten on "), (d % 28 + 1).cast("string"), c("/03/2024 for $"), n(90), c(".50 million at "), n(100), c("% by a"), d, c("@mail.org"))
+    form = F.concat(F.coalesce("text", c("")), c("\nCustomer survey "), d, c("\nQ1. How often do you visit "), s, c("?\n2) Please describe problem "), n(7), c(" in detail\na) Yes\nb) No\nHow satisfied are you with "), s, c("?\nWe would like to know more about\nyour plans for "), n(5), c("?\n**What is item "), n(3), c("?**\nFirst Name: ____\n3. what is required (required)\nPage "), d, c(" of 9\n[ ] agree\n"), F.when(d % 2 == 0, "Strongly agree").otherwise("Comments:"), c("\nwritten on "), (d % 28 + 1).cast("string"), c("/03/2024 for $"), n(90), c(".50 million at "), n(100), c("% by a"), d, c("@mail.org\n"), F.element_at(F.array(*map(c, SIGNS)), (d % len(SIGNS) + 1).cast("int")))
     return read(spark, root, "documents").select("doc_id", "source", form.alias("form"))
 
 
@@ -280,11 +282,10 @@ def question_dedup(spark, root):
 
 # entities, citations, summaries
 
-@query(rf"""SELECT doc_id,
- list_slice(list_distinct(regexp_extract_all(form, '(?i)\b[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?[ \t]+[0-9]{{1,2}},?[ \t]+[0-9]{{4}}\b|\b[0-9]{{4}}[/.-][0-9]{{2}}[/.-][0-9]{{2}}\b')), 1, 10) AS dates,
- list_slice(list_distinct(regexp_extract_all(form, '(?i)(?:USD|EUR|GBP|INR|CAD|AUD|\$|€|£|₹)[ \t]*[0-9,]+(?:\.[0-9]+)?(?:[ \t]*(?:million|billion|M|B|K))?|[0-9,]+(?:\.[0-9]+)?[ \t]*(?:million|billion)[ \t]*(?:USD|EUR|dollars|euros)')), 1, 10) AS money,
- list_slice(list_distinct(regexp_extract_all(form, '\b[0-9]+(?:\.[0-9]+)?[ \t]*%')), 1, 10) AS percentages,
- list_slice(list_distinct(regexp_extract_all(form, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z]{{2,}}\b')), 1, 5) AS emails FROM ({FORMS})""")
+ENTITY_SQL = ", ".join(f"list_slice(list_filter(regexp_extract_all(form, '{p}'), lambda x, i: list_position(regexp_extract_all(form, '{p}'), x) = i), 1, {n}) AS {name}" for name, p, n in reports.ENTITIES)
+
+
+@query(f"SELECT doc_id, {ENTITY_SQL} FROM ({FORMS})")
 def entities_regex(spark, root):
     return reports.entities(forms(spark, root), "form")
 
