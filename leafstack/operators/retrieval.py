@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leafstack.functions import text as T
 
-BUDGET, SLOTS = 6000, 6
+BUDGET, SLOTS, SINGLE_SLOTS = 6000, 6, 3
 #: Rows of one token on the passage side up to which it is joined in one piece.
 HOT_TOKEN = 20_000
 
@@ -37,12 +37,71 @@ def distinct_sources(scored: DataFrame, source: list[str], slots: int = SLOTS) -
     return one.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= slots)
 
 
+def select_context(scored: DataFrame, passages: DataFrame, questions: DataFrame, slots: int, anchors: bool, budget: int = BUDGET) -> DataFrame:
+    """``q_id, pos, source, score, rank, ranked, running``: the passages handed to the model for every question, in order.
+
+    ``questions`` has ``q_id, scope``; ``passages`` has ``scope, pos, source, size`` (characters); ``scored`` has ``q_id, pos, score`` of
+    the passages that match at all. Each of the ``slots`` goes to another source, first the best matches, then the
+    first passages of the scope; where nothing matches, the first three passages stand in. With ``anchors`` the first and last
+    passage of the scope follow. The running size ends the list at the first overflow; a list that is empty then gets the first passage.
+    ``ranked`` tells the passages that earned their place. A question whose scope holds nothing gives no row. Every rank keeps
+    a bounded number of rows per group before the shuffle.
+    """
+    keys = passages.select("scope", "pos", "source", "size")
+    first = keys.groupBy("scope", "source").agg(F.min("pos").alias("pos"))
+    place = W.partitionBy("scope").orderBy("pos")
+    firsts = first.withColumn("n", F.row_number().over(place)).where(F.col("n") <= 2 * slots).select("scope", "pos")
+    opening = keys.select("scope", "pos").withColumn("n", F.row_number().over(place)).where("n <= 3").select("scope", "pos", F.lit(True).alias("opens"))
+    ends = keys.groupBy("scope").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    edge = ends.select("scope", F.explode(F.array_distinct(F.array("low", "high"))).alias("pos"), F.lit(True).alias("edge"))
+    spare = firsts.join(opening, ["scope", "pos"], "full").join(edge, ["scope", "pos"], "full")
+    hit = scored.where("score <> 0").select("q_id", "pos", F.col("score").cast("double").alias("score"))
+    best = hit.join(keys.select("pos", "source"), "pos").withColumn("r", F.row_number().over(W.partitionBy("q_id", "source").orderBy(F.desc("score"), "pos"))).where("r = 1")
+    best = best.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "pos"))).where(F.col("r") <= slots).select("q_id", "pos", "score")
+    every = questions.join(spare, "scope").select("q_id", "pos", "opens", "edge").join(best, ["q_id", "pos"], "full")
+    # at most slots + 2 * slots + 5 rows a question from here on
+    every = every.join(keys, "pos").withColumn("some", F.max(F.col("score").isNotNull()).over(W.partitionBy("q_id")))
+    one = W.partitionBy("q_id", "source").orderBy(F.desc_nulls_last("score"), "pos")
+    every = every.withColumn("own", F.row_number().over(one))
+    order = W.partitionBy("q_id").orderBy(F.col("own") > 1, F.desc_nulls_last("score"), "pos")
+    every = every.withColumn("r", F.row_number().over(order))
+    every = every.withColumn("ranked", F.when(F.col("some"), (F.col("own") == 1) & (F.col("r") <= slots)).otherwise(F.coalesce("opens", F.lit(False))))
+    kept = every.where(F.col("ranked") | (F.lit(anchors) & F.col("some") & F.coalesce("edge", F.lit(False))))
+    listed = W.partitionBy("q_id").orderBy(~F.col("ranked"), F.when(F.col("ranked") & F.col("some"), F.col("r")).otherwise(0), "pos")
+    kept = kept.withColumn("rank", F.row_number().over(listed))
+    kept = kept.withColumn("running", F.sum("size").over(W.partitionBy("q_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    fits = F.col("running") <= budget
+    none = ~F.max(fits).over(W.partitionBy("q_id"))
+    kept = kept.withColumn("none", none & F.col("some"))
+    normal = kept.where(~F.col("some") | fits).where(~F.col("none"))
+    empty = kept.where("none").select("q_id", "scope").distinct().join(ends.select("scope", F.col("low").alias("pos")), "scope").join(keys, ["scope", "pos"])
+    empty = empty.select("q_id", "pos", "source", F.lit(None).cast("double").alias("score"), F.lit(1).alias("rank"), F.lit(True).alias("ranked"), F.col("size").alias("running"))
+    return normal.select("q_id", "pos", "source", "score", "rank", "ranked", "running").unionByName(empty).withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def char_budget(ranked: DataFrame, length: Column, budget: int = BUDGET) -> DataFrame:
     """The prefix of each question's ranking whose running length stays within the budget (lengths are not negative, so this is the stop at the first overflow)."""
     w = W.partitionBy("q_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     return ranked.withColumn("running", F.sum(length).over(w)).where(F.col("running") <= budget)
 
 
+def labelled_context(selected: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``q_id, context``: the selected passages under their labels; the first always, the others while the running length with separators fits."""
+    block = F.concat(F.lit("["), "label", F.lit("]\n"), "passage")
+    w = W.partitionBy("q_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = selected.select("q_id", "rank", block.alias("block")).withColumn("total", F.sum(F.length("block") + 5).over(w)).where((F.col("rank") == 1) | (F.col("total") <= budget))
+    # at most a handful of passages a question
+    return rows.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b")).select("q_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n").alias("context"))
+
+
+def citable(selected: DataFrame) -> DataFrame:
+    """``q_id, sources, bare, n``: labels, without and with the document, of the passages that earned their place, in order; unknown sources are not cited."""
+    named = F.col("ranked") & ~F.col("label").rlike("(^|, )Unknown source$")
+    rows = selected.groupBy("q_id").agg(F.array_sort(F.collect_list(F.when(named, F.struct("rank", "label")))).alias("l"))
+    bare = lambda x: F.regexp_replace(x["label"], "^.*, (Page |Sheet: )", "$1")
+    return rows.select("q_id", F.array_join(F.transform("l", lambda x: x["label"]), "; ").alias("sources"), F.array_join(F.transform("l", bare), "; ").alias("bare"), F.size("l").cast("bigint").alias("n"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays in double precision, in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -16,7 +16,27 @@ PASSAGES = f"SELECT doc_id * 1000000 + chunk_index * 1000 AS passage_id, doc_id,
 SCORED = f"SELECT q_id, passage_id, count(*) AS score FROM (SELECT q_id, unnest({TOKENS('question')}) AS token FROM ({QUESTIONS})) JOIN (SELECT passage_id, unnest({TOKENS('passage')}) AS token FROM ({PASSAGES})) USING (token) GROUP BY q_id, passage_id"
 LABEL = "CASE WHEN coalesce(document, '') <> '' THEN document || ', ' ELSE '' END || CASE WHEN page_no IS NOT NULL THEN 'Page ' || page_no WHEN coalesce(sheet_name, '') <> '' THEN 'Sheet: ' || sheet_name ELSE 'Unknown source' END"
 FULL = f"SELECT s.q_id, s.score, s.passage_id AS pos, p.doc_id, p.passage, {LABEL} AS label FROM ({SCORED}) s JOIN ({PASSAGES}) p USING (passage_id)"
+#: Selection by its rules, over every pair of a question and a passage of its scope. ``q``: q_id, scope; ``p``: scope, pos, label, passage; ``s``: q_id, pos, score.
+
+
+def select_sql(q: str, p: str, s: str, slots: int, anchors: bool) -> str:
+    return f"""WITH q AS ({q}), p AS ({p}), s AS ({s}),
+ a AS (SELECT q.q_id, p.scope, p.pos, p.label, p.passage, coalesce(s.score, 0) AS score, max(coalesce(s.score, 0)) OVER (PARTITION BY q.q_id) > 0 AS matched, row_number() OVER (PARTITION BY q.q_id ORDER BY p.pos) AS n, row_number() OVER (PARTITION BY q.q_id ORDER BY p.pos DESC) AS m FROM q JOIN p USING (scope) LEFT JOIN s ON s.q_id = q.q_id AND s.pos = p.pos),
+ b AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY score DESC, pos) AS own FROM a),
+ c AS (SELECT *, CASE WHEN own = 1 THEN row_number() OVER (PARTITION BY q_id, own ORDER BY score DESC, pos) END AS r FROM b),
+ d AS (SELECT *, CASE WHEN matched THEN coalesce(r <= {slots}, false) ELSE n <= 3 END AS ranked FROM c),
+ e AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY NOT ranked, CASE WHEN ranked AND matched THEN r ELSE 0 END, pos) AS rank FROM d WHERE ranked OR ({str(anchors).lower()} AND matched AND (n = 1 OR m = 1))),
+ f AS (SELECT *, sum(length(passage)) OVER (PARTITION BY q_id ORDER BY rank) AS running FROM e),
+ g AS (SELECT *, NOT matched OR running <= 6000 AS kept FROM f)
+ SELECT q_id, pos, label, passage, score, rank, ranked, running FROM g WHERE kept UNION ALL
+ SELECT q_id, pos, label, passage, 0, 1, true, length(passage) FROM d WHERE n = 1 AND q_id NOT IN (SELECT q_id FROM g WHERE kept)"""
+
+
 TOPK = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, pos) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY score DESC, pos) AS r FROM ({FULL})) WHERE r = 1) WHERE rank <= 6"
+CORPUS = select_sql(f"SELECT q_id, 0 AS scope FROM ({QUESTIONS})", f"SELECT 0 AS scope, passage_id AS pos, {LABEL} AS label, passage FROM ({PASSAGES})", f"SELECT q_id, passage_id AS pos, score FROM ({SCORED})", 6, False)
+#: The same questions, each put to its own document.
+OWN = "SELECT result_id AS q_id, min(doc_id) AS scope FROM pipeline_results WHERE result_id % 50 = 0 AND doc_id IS NOT NULL GROUP BY result_id"
+SINGLE = select_sql(OWN, f"SELECT doc_id AS scope, passage_id AS pos, {LABEL.split('END || ', 1)[1]} AS label, passage FROM ({PASSAGES})", f"SELECT q_id, passage_id AS pos, score FROM ({SCORED}) JOIN ({PASSAGES}) USING (passage_id) JOIN ({OWN}) USING (q_id) WHERE doc_id = scope", 3, True)
 #: The expected sources of a question: the documents it was taken from.
 EXPECTED = "SELECT result_id AS q_id, list_sort(list(DISTINCT doc_id)) AS expected FROM pipeline_results WHERE result_id % 50 = 0 AND doc_id IS NOT NULL GROUP BY result_id"
 
@@ -40,6 +60,24 @@ def top(spark, root):
     return retrieval.distinct_sources(scored(spark, root), ["label"])
 
 
+def corpus_selection(spark, root):
+    p = materialize(held(spark, root), "passages")
+    keys = p.select(F.lit(0).alias("scope"), F.col("passage_id").alias("pos"), F.col("label").alias("source"), F.length("passage").alias("size"))
+    hit = retrieval.keyword_scores(asked(spark, root), p).withColumnRenamed("passage_id", "pos")
+    chosen = retrieval.select_context(hit, keys, asked(spark, root).select("q_id", F.lit(0).alias("scope")), retrieval.SLOTS, False)
+    return chosen.withColumnRenamed("source", "label").join(p.select(F.col("passage_id").alias("pos"), "doc_id", "passage"), "pos")
+
+
+def document_selection(spark, root):
+    p = chunk_rows(spark, root).where("text IS NOT NULL").select((F.col("doc_id") * 1000000 + F.col("chunk_index") * 1000).alias("passage_id"), F.col("doc_id").alias("scope"), T.source_label(F.lit(None), F.col("page_no"), F.col("sheet_name")).alias("label"), F.col("text").alias("passage"))
+    own = read(spark, root, "pipeline_results").where("result_id % 50 = 0 AND doc_id IS NOT NULL").groupBy(F.col("result_id").alias("q_id")).agg(F.min("doc_id").alias("scope"))
+    p = materialize(p.join(own.select("scope").distinct(), "scope", "left_semi"), "passages")
+    hit = retrieval.keyword_scores(asked(spark, root), p).join(p.select("passage_id", "scope"), "passage_id").join(own, ["q_id", "scope"], "left_semi").withColumnRenamed("passage_id", "pos")
+    keys = p.select("scope", F.col("passage_id").alias("pos"), F.col("label").alias("source"), F.length("passage").alias("size"))
+    chosen = retrieval.select_context(hit, keys, own, retrieval.SINGLE_SLOTS, True)
+    return chosen.withColumnRenamed("source", "label").join(p.select(F.col("passage_id").alias("pos"), "passage"), "pos")
+
+
 def expected(spark, root):
     return read(spark, root, "pipeline_results").where("result_id % 50 = 0 AND doc_id IS NOT NULL").groupBy(F.col("result_id").alias("q_id")).agg(F.sort_array(F.collect_set("doc_id")).alias("expected"))
 
@@ -56,28 +94,38 @@ def vector_retrieve(spark, root):
     return retrieval.vector_top(asking, v, 10).select("q_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT q_id, pos, label, score, rank FROM ({TOPK})")
+@query(f"SELECT q_id, pos, label, score, rank FROM ({CORPUS}) WHERE ranked")
 def retrieve_topk(spark, root):
-    return top(spark, root).select("q_id", "pos", "label", "score", "rank")
+    return corpus_selection(spark, root).where("ranked").select("q_id", "pos", "label", "score", "rank")
 
 
-@query(f"SELECT q_id, pos, rank, running FROM (SELECT *, sum(length(passage)) OVER (PARTITION BY q_id ORDER BY rank) AS running FROM ({TOPK})) WHERE running <= 6000")
+@query(f"SELECT q_id, pos, rank, running FROM ({CORPUS})")
 def context_budget(spark, root):
-    return retrieval.char_budget(top(spark, root), F.length("passage")).select("q_id", "pos", "rank", "running")
+    return corpus_selection(spark, root).select("q_id", "pos", "rank", "running")
+
 
+@query(f"SELECT q_id, pos, label, score, rank, ranked, running FROM ({SINGLE})")
+def document_context(spark, root):
+    """One document: three sources, its first and last passage, the budget."""
+    return document_selection(spark, root).select("q_id", "pos", "label", "score", "rank", "ranked", "running")
 
-@query(f"SELECT q_id, string_agg('[' || label || ']' || chr(10) || passage, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM (SELECT *, sum(length(label) + 3 + length(passage) + 5) OVER (PARTITION BY q_id ORDER BY rank) AS running FROM ({TOPK})) WHERE rank = 1 OR running <= 6000 GROUP BY q_id")
+
+@query(f"SELECT q_id, string_agg('[' || label || ']' || chr(10) || passage, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, sum(length(label) + 3 + length(passage) + 5) OVER (PARTITION BY q_id ORDER BY rank) AS total FROM ({CORPUS})) WHERE rank = 1 OR total <= 6000 GROUP BY q_id")
 def format_context(spark, root):
-    block = F.concat(F.lit("["), "label", F.lit("]\n"), "passage")
-    w = W.partitionBy("q_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = top(spark, root).select("q_id", "rank", block.alias("block")).withColumn("running", F.sum(F.length("block") + 5).over(w)).where("rank = 1 OR running <= 6000")
-    return rows.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b")).select("q_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n---\n").alias("context"))
+    return retrieval.labelled_context(corpus_selection(spark, root))
+
 
+CITABLE = "label <> 'Unknown source' AND NOT label LIKE '%, Unknown source'"
 
-@query(f"SELECT q_id, string_agg(label, '; ' ORDER BY rank) AS sources, count(*) AS n FROM ({TOPK}) GROUP BY q_id")
+
+@query(f"SELECT q_id, coalesce(string_agg(label, '; ' ORDER BY rank) FILTER ({CITABLE}), '') AS sources, coalesce(string_agg(regexp_replace(label, '^.*, (Page |Sheet: )', '\\1'), '; ' ORDER BY rank) FILTER ({CITABLE}), '') AS bare, count(*) FILTER ({CITABLE}) AS n FROM ({CORPUS}) WHERE ranked GROUP BY q_id")
 def citations(spark, root):
-    rows = top(spark, root).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("l"), F.count("*").alias("n"))
-    return rows.select("q_id", F.array_join(F.transform("l", lambda x: x["label"]), "; ").alias("sources"), "n")
+    return retrieval.citable(corpus_selection(spark, root))
+
+
+@query(f"SELECT q_id, list_sort(list(DISTINCT pos // 1000000)) AS documents FROM ({CORPUS}) GROUP BY q_id")
+def documents_searched(spark, root):
+    return corpus_selection(spark, root).groupBy("q_id").agg(F.sort_array(F.collect_set(F.floor(F.col("pos") / 1000000))).alias("documents"))
 
 
 @query(f"SELECT doc_id, min(chunk_index) AS first_chunk, max(chunk_index) AS last_chunk FROM ({CHUNKS}) GROUP BY doc_id")
