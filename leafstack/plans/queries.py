@@ -1,6 +1,6 @@
 """All core queries and their SQL."""
 
-from leafstack.plans import documents, retrieval, store  # noqa: F401
+from leafstack.plans import documents, models, retrieval, store  # noqa: F401
 from leafstack.plans.base import QUERIES, SQL
 
 

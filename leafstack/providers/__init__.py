@@ -38,11 +38,32 @@ class Offline:
         return (out / norm if norm else out).tolist()
 
 
+class Rehearsed(Offline):
+    """A stand-in whose replies have the form a task asks for and depend on the length of the text alone, so that whole stages can be checked.
+
+    Some replies are empty, cut or not what was asked for.
+    """
+
+    def complete(self, prompt: str) -> str | tuple[str, str]:
+        task, n = prompt[6 : prompt.index(".")], len(prompt.split("\n\nText:\n", 1)[-1])
+        if task == "classify":
+            return "It depends." if n % 7 == 0 else f'Here: {{"type": "{"questionnaire" if n % 2 else "normal_document"}", "confidence": {n % 100 / 100}, "domain": "Legal"}}'
+        if task == "facts":
+            return "" if n % 11 == 0 else f"{n} characters."
+        if task in ("summarise", "reduce"):
+            return "" if n % 13 == 0 else (f"Summary of {n} characters.", "length" if n % 5 == 0 else "stop")
+        if task == "questions":
+            return f'{{"questions": ["What is {n}?", "ab", " Why {n}? "]}}' if n % 3 else f"What about {n}?\n{{skip\nWhen was {n}?"
+        if task == "fields":
+            return "none" if n % 4 == 0 else f'```json\n{{"dates": "{n}", "people": "", "parties": "p{n}", "other": "x"}}\n```'
+        return f"{n} characters on page {n % 9}."
+
+
 def apply(rows: DataFrame, text: str, provider: Provider, what: str = "complete") -> DataFrame:
-    """``rows`` with ``value`` and ``error`` of a model call on column ``text``.
+    """``rows`` with ``value``, ``error`` and ``reason`` of a model call on column ``text``.
 
-    Equal texts are called once: distinct texts by hash, the call, then a join back. Null and empty texts are not called.
-    A provider is pickled to the workers and made ready there once per task.
+    A provider may return a pair of its reply and why it ended (``length`` if it was cut). Equal texts are called once: distinct texts by hash,
+    the call, then a join back. Null and empty texts are not called. A provider is pickled to the workers and made ready there once per task.
     """
     kind = "array<double>" if what == "embed" else "string"
     keyed = rows.withColumn("__key", F.when(F.col(text) != "", F.sha2(text, 256)))
@@ -54,16 +75,27 @@ def apply(rows: DataFrame, text: str, provider: Provider, what: str = "complete"
             out = []
             for k, t in batch.itertuples(index=False):
                 try:
-                    out.append((k, call(t), None))
+                    value = call(t)
+                    out.append((k, *value[:1], None, value[1]) if isinstance(value, tuple) else (k, value, None, None))
                 except Exception as e:  # a failed call is a row, not a failed job
-                    out.append((k, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["__key", "value", "error"])
+                    out.append((k, None, f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(out, columns=["__key", "value", "error", "reason"])
 
-    called = distinct.mapInPandas(run, f"__key string, value {kind}, error string")
+    called = distinct.mapInPandas(run, f"__key string, value {kind}, error string, reason string")
     return keyed.join(called, "__key", "left").drop("__key")
 
 
-def fill_gaps(rows: DataFrame, text: str, stored: str, provider: Provider) -> DataFrame:
-    """Vectors for the rows that lack one in column ``stored``; the others keep theirs."""
-    missing = apply(rows.where(F.col(stored).isNull()).drop(stored), text, provider, "embed").withColumnRenamed("value", stored)
-    return rows.where(F.col(stored).isNotNull()).withColumn("error", F.lit(None).cast("string")).unionByName(missing)
+def fill_gaps(rows: DataFrame, text: str, stored: str, provider: Provider, group: str | None = None) -> DataFrame:
+    """Vectors for the rows that lack one in column ``stored``; the others keep theirs. ``filled`` tells the new ones.
+
+    Vectors of one ``group`` (all rows without it) must agree in length: where the stored ones do not, or are not as long as the model's, the whole
+    group is encoded again.
+    """
+    key = F.col(group) if group else F.lit(0)
+    dims = len(provider.embed("length"))
+    rows = rows.withColumn("__group", key)
+    mixed = rows.where(F.col(stored).isNotNull() & (F.size(stored) != dims)).select("__group").distinct().withColumn("__mixed", F.lit(True))
+    rows = rows.join(mixed, "__group", "left").withColumn(stored, F.when(F.col("__mixed").isNull(), F.col(stored).cast("array<double>"))).drop("__group", "__mixed")
+    missing = apply(rows.where(F.col(stored).isNull()).drop(stored), text, provider, "embed").drop("reason").withColumnRenamed("value", stored).withColumn("filled", F.col(stored).isNotNull())
+    kept = rows.where(F.col(stored).isNotNull()).withColumns({"error": F.lit(None).cast("string"), "filled": F.lit(False)})
+    return kept.unionByName(missing)
