@@ -119,3 +119,41 @@ def source_label(document: Column, page: Column, sheet: Column) -> Column:
     """``Page n``, ``Sheet: x`` or ``Unknown source``, after the document's name if there is one."""
     where = F.when(page.isNotNull(), F.concat(F.lit("Page "), page.cast("string"))).when(F.coalesce(sheet, F.lit("")) != "", F.concat(F.lit("Sheet: "), sheet)).otherwise(F.lit("Unknown source"))
     return F.when(F.coalesce(document, F.lit("")) != "", F.concat(document, F.lit(", "), where)).otherwise(where)
+
+
+def unfenced(c: Column) -> Column:
+    """A reply without the fence around it."""
+    return F.regexp_replace(F.regexp_replace(strip(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+
+
+def escaped(c: Column) -> Column:
+    """Text for a page: the characters with a meaning in HTML as entities."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
+def highlighted(c: Column, term: Column) -> Column:
+    """Text for a page with every place of ``term`` marked, whatever its case; an empty term marks nothing."""
+    quoted = F.concat(F.lit("(?i)(\\Q"), F.replace(escaped(term), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.when(term == "", escaped(c)).otherwise(F.regexp_replace(escaped(c), quoted, F.lit("<mark>$1</mark>")))
+
+
+#: Fixed value: a page that a reply claims.
+CLAIM = r"(?i)\bpages?\s+(\d+)|\bp\.?\s*(\d+)\b"
+
+
+def claimed_pages(c: Column) -> Column:
+    """The page numbers that a reply names, distinct and in order of number; numbers beyond ten digits are none."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CLAIM), F.lit(0))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda x: F.regexp_extract(x, r"\d+", 0).try_cast("bigint")))))
+
+
+#: Marks of a key that was never filled in, and the fewest characters of a key.
+PLACEHOLDERS, LEAST_KEY = ("PASTE", "REPLACE_ME", "REPLACEME", "YOUR_", "_HERE", "CHANGE_ME", "CHANGEME", "DUMMY"), 20
+
+
+def key_fault(c: Column) -> Column:
+    """Why a key cannot be used: ``placeholder``, ``short`` or ``white space``; null for a plausible one."""
+    marked = F.array_contains(F.transform(F.array(*map(F.lit, PLACEHOLDERS)), lambda m: F.upper(c).contains(m)), True)
+    return F.when(marked, "placeholder").when(F.coalesce(F.length(c), F.lit(0)) < LEAST_KEY, "short").when(c.rlike(SPACE), "white space")

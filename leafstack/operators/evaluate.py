@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from leafstack.functions import text as T
 from leafstack.operators.running import running_sum
 
 
@@ -43,6 +44,24 @@ def collisions(scored: DataFrame, label: str) -> DataFrame:
     return scored.join(best, ["q_id", label]).where("doc_id <> winner").groupBy("q_id", label).agg(F.count("*").alias("losers"))
 
 
+def anchor_sources(passages: DataFrame) -> DataFrame:
+    """``doc_id, anchors``: the sources of the first and last passage of each document, one if they are the same passage. ``passages`` has ``doc_id, pos, source``."""
+    ends = passages.groupBy("doc_id").agg(F.min(F.struct("pos", "source")).alias("a"), F.max(F.struct("pos", "source")).alias("b"))
+    return ends.select("doc_id", F.when(F.col("a.pos") == F.col("b.pos"), F.array("a.source")).otherwise(F.array("a.source", "b.source")).alias("anchors"))
+
+
+def answer_hit(reply: Column, every: Column, any_: Column) -> Column:
+    """Whether a reply holds each of ``every`` (where there are any), or else one of ``any_``, as whole values; without either it does not."""
+    has = lambda x: T.contains_value(reply, x)
+    return F.when(F.size(every) > 0, F.forall(every, has)).otherwise(F.coalesce(F.exists(any_, has), F.lit(False)))
+
+
+def citation_verdict(reply: Column, pages: Column) -> Column:
+    """``correct`` if a page that the reply names is expected, ``wrong`` if none is, ``none`` if it names none, ``n/a`` where no page is expected."""
+    named = T.claimed_pages(reply)
+    return F.when(F.coalesce(F.size(pages), F.lit(0)) == 0, "n/a").when(F.size(named) == 0, "none").when(F.arrays_overlap(named, pages), "correct").otherwise("wrong")
+
+
 def roll_up(rows: DataFrame) -> DataFrame:
     """Cases, hits and mean number of questions by method and type, by method, and overall."""
     return rows.rollup("summary_method", "file_type").agg(F.count("*").alias("cases"), F.count_if("success").alias("hits"), F.round(F.avg(F.size("questions")), 6).alias("mean_questions"))

@@ -40,15 +40,10 @@ def asked(rows: DataFrame, body: Column, provider: Provider, to: str = "reply")
 
 def reply_object(c: Column) -> Column:
     """The reply if it is an object, else the first object without inner braces in it; null if there is none."""
-    bare = T.strip(unfenced(c))
+    bare = T.strip(T.unfenced(c))
     return F.when(F.get_json_object(bare, "$").startswith("{"), bare).otherwise(F.nullif(F.regexp_extract(c, r"\{[^{}]*\}", 0), F.lit("")))
 
 
-def unfenced(c: Column) -> Column:
-    """A reply without the fence around it."""
-    return F.regexp_replace(F.regexp_replace(T.strip(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
-
-
 def kept_fields(c: Column, fields: Column) -> Column:
     """Of an object in JSON the known fields with a value: null, false, 0, empty strings, lists and objects are none."""
     every = F.from_json(c, "map<string,string>")

@@ -94,3 +94,18 @@ def rate_limit(message: Column) -> list[Column]:
     numbers = lambda g: F.nullif(F.regexp_extract(message, r"Limit ([0-9]+), Used ([0-9]+), Requested ([0-9]+)", g), F.lit("")).cast("bigint")
     wait = F.regexp_replace(F.regexp_extract(message, r"try again in ([0-9hms.]+)", 1), r"\.+$", "")
     return [F.nullif(F.regexp_extract(message, r"on (tokens|requests) per (day|minute) \((RPD|TPD|RPM|TPM)\)", 3), F.lit("")).alias("limit_type"), numbers(1).alias("limit_n"), numbers(2).alias("used_n"), numbers(3).alias("requested_n"), T.duration_seconds(F.nullif(wait, F.lit(""))).alias("wait_seconds")]
+
+
+#: The keys of an exported result, in order.
+EXPORTED = ("file_name", "file_type", "doc_type", "domain", "classification_confidence", "classification_method", "summary", "summary_method", "questions", "entities", "extraction_method", "metadata", "word_count", "page_count", "processing_time_ms", "skill_timings", "warnings", "errors", "success", "created_at")
+
+
+def result_json(results: DataFrame) -> DataFrame:
+    """``result_id, result_json``: one object a result with the keys of EXPORTED, from its newest row; keys without a column are empty, nulls stay as keys."""
+    held = {c: F.col(c) for c in results.columns}
+    empty = {"questions": F.array().cast("array<string>"), "warnings": F.array().cast("array<string>"), "errors": F.array().cast("array<string>"), "summary": F.lit(""), "entities": F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), "metadata": F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), "skill_timings": F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))}
+    value = lambda k: F.coalesce(held[k], empty[k]) if k in held and k in empty else held[k] if k in held else empty.get(k, F.lit(None).cast("string"))
+    rows = results.select("result_id", *(value(k).alias(k) for k in EXPORTED), *(c for c in ("stored_at",) if c in held))
+    first = ["created_at", *(c for c in ("stored_at",) if c in held), "summary", "file_name", "doc_type", "file_type"]
+    ordered = F.max_by(F.to_json(F.struct(*EXPORTED), {"ignoreNullFields": "false"}), F.struct(*first)).alias("result_json")
+    return rows.groupBy("result_id").agg(ordered)

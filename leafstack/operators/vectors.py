@@ -9,20 +9,48 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Floats per vector of the known models.
-DIMS = {"mini-passage-64": 64, "edge-passage-48": 48}
+#: Models are a column of few values; more are refused.
+MOST_MODELS = 1_000
 BASE64 = "^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
 
-def parts(history: DataFrame) -> DataFrame:
-    """``id, embedding_model, scheme, elements, bytes, dims`` of the rows whose passages parse and whose vectors, if any, are base64."""
+def sizes(history: DataFrame) -> DataFrame:
+    """``id, embedding_model, scheme, elements, bytes`` of the rows whose passages parse and whose vectors, if any, are base64."""
     blob = F.col("content_embeddings_b64")
     size = (F.length(blob) / 4 * 3 - F.when(blob.endswith("=="), 2).when(blob.endswith("="), 1).otherwise(0)).cast("double")
-    dims = F.try_element_at(F.create_map(*(F.lit(x) for kv in DIMS.items() for x in kv)), F.col("embedding_model"))
-    rows = history.select("id", "embedding_model", F.coalesce("chunk_scheme", F.lit("page")).alias("scheme"), F.json_array_length("content_chunks_json").cast("bigint").alias("elements"), size.alias("bytes"), dims.alias("dims"), blob.alias("blob"))
+    rows = history.select("id", "embedding_model", F.coalesce("chunk_scheme", F.lit("page")).alias("scheme"), F.json_array_length("content_chunks_json").cast("bigint").alias("elements"), size.alias("bytes"), blob.alias("blob"))
     return rows.where("elements IS NOT NULL").where(F.col("blob").isNull() | F.col("blob").rlike(BASE64)).drop("blob")
 
 
+def widths(history: DataFrame) -> DataFrame:
+    """``embedding_model, dims``: floats per vector of each model, the width that most of its rows have (the larger of two)."""
+    whole = sizes(history).where("elements > 0 AND bytes > 0 AND bytes % (4 * elements) = 0 AND embedding_model IS NOT NULL")
+    seen = whole.groupBy("embedding_model", (F.col("bytes") / (4 * F.col("elements"))).cast("int").alias("dims")).agg(F.count("*").alias("n"))
+    return seen.groupBy("embedding_model").agg(F.max_by("dims", F.struct("n", "dims")).alias("dims"))
+
+
+def parts(history: DataFrame) -> DataFrame:
+    """:func:`sizes` with the width of the row's model, ``dims``, null where no row of it tells."""
+    return sizes(history).join(widths(history), "embedding_model", "left")
+
+
+def passage_vectors(history: DataFrame, model: str, scheme: str) -> DataFrame:
+    """``id, passage_index, text, vector``: every stored passage, with its stored vector where the row has one for each, of this model and scheme.
+
+    Vectors meet passages by position. Rows with broken passages or vectors, of another model or scheme, or with another number of vectors come without.
+    """
+    usable = attachable(history, model, scheme).where("attached").select("id").distinct().withColumn("attached", F.lit(True))
+    kind = "array<struct<text:string>>"
+    rows = history.select("id", F.from_json("content_chunks_json", kind).alias("p"), "content_embeddings_b64").where("p IS NOT NULL").join(usable, "id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "p": batch["p"], "v": [decode(b, len(base64.b64decode(b)) // (4 * len(p))).tolist() if ok is True and len(p) else None for p, b, ok in zip(batch["p"], batch["content_embeddings_b64"], batch["attached"])]})
+
+    made = rows.mapInPandas(run, f"id bigint, p {kind}, v array<array<double>>")
+    return made.select("id", "v", F.posexplode("p").alias("passage_index", "x")).select("id", "passage_index", "x.text", F.get("v", F.col("passage_index")).alias("vector"))
+
+
 def _complete():
     return F.col("bytes") == F.col("elements") * F.col("dims") * 4
 

@@ -340,10 +340,46 @@ def whole_value(spark, root):
     return forms(spark, root).select("doc_id", T.contains_value(F.translate("form", ".,", "  "), (F.col("doc_id") % 7).cast("string")).alias("has_number"))
 
 
-@query("SELECT DISTINCT result_id, regexp_matches(coalesce(summary, ''), '(?i)\\b(no change|not found|only (list|cover|give|state)s?|does not (state|list))\\b') AS declined FROM pipeline_results WHERE summary IS NULL OR NOT regexp_matches(summary, '(?i)\\b(not |no (information|mention|reference|figure|data|detail|record|breakdown)|states? no|cannot|unable)') AND NOT contains(lower(summary), 'no change')")
+REFUSALS = ("The figure is not stated.", "We are unable to find it.", "The text only lists prices.", "See page 4, p. 7 and Pages 12.", "No total was given on p.3")
+SAID = "coalesce(summary, '') || ' ' || [" + ", ".join(f"'{x}'" for x in REFUSALS) + "][result_id % 5 + 1]"
+
+
+def said(spark, root):
+    """Every summary followed by one of REFUSALS in turn."""
+    return read(spark, root, "pipeline_results").select("result_id", F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.element_at(F.array(*map(F.lit, REFUSALS)), (F.col("result_id") % 5 + 1).cast("int"))).alias("reply")).distinct()
+
+
+@query(f"SELECT DISTINCT result_id, {SAID} AS reply, regexp_matches({SAID}, '{T.DECLINE.replace(chr(39), chr(39) * 2)}') AS declined FROM pipeline_results")
 def decline(spark, root):
-    rows = read(spark, root, "pipeline_results").where(F.col("summary").isNull() | (~F.col("summary").rlike(r"(?i)\b(not |no (information|mention|reference|figure|data|detail|record|breakdown)|states? no|cannot|unable)") & ~F.lower("summary").contains("no change")))
-    return rows.select("result_id", T.declines(F.coalesce("summary", F.lit(""))).alias("declined")).distinct()
+    return said(spark, root).select("result_id", "reply", T.declines(F.col("reply")).alias("declined"))
+
+
+CLAIMED = f"list_sort(list_distinct(list_transform(regexp_extract_all(reply, '{T.CLAIM}', 0), lambda x: regexp_extract(x, '[0-9]+')::BIGINT)))"
+
+
+@query(f"SELECT result_id, pages, CASE WHEN result_id % 7 = 0 THEN 'n/a' WHEN len(pages) = 0 THEN 'none' WHEN list_contains(pages, result_id % 9 + 1) THEN 'correct' ELSE 'wrong' END AS verdict FROM (SELECT result_id, {CLAIMED} AS pages FROM (SELECT DISTINCT result_id, {SAID} AS reply FROM pipeline_results))")
+def citation_verdict(spark, root):
+    from leafstack.operators import evaluate
+
+    expected = F.when(F.col("result_id") % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("result_id") % 9 + 1))
+    return said(spark, root).select("result_id", T.claimed_pages(F.col("reply")).alias("pages"), evaluate.citation_verdict(F.col("reply"), expected).alias("verdict"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN a AND b WHEN doc_id % 3 = 1 THEN a OR b ELSE false END AS hit FROM (SELECT doc_id, regexp_matches(t, '[^0-9]' || (doc_id % 7) || '[^0-9]') AS a, regexp_matches(t, '[^0-9]' || (doc_id % 13 + 20) || '[^0-9]') AS b FROM (SELECT doc_id, ' ' || lower(replace(replace(form, '.', ' '), ',', ' ')) || ' ' AS t FROM (" + FORMS + ")))")
+def answer_hit(spark, root):
+    from leafstack.operators import evaluate
+
+    d = F.col("doc_id")
+    both = F.array((d % 7).cast("string"), (d % 13 + 20).cast("string"))
+    none = F.array().cast("array<string>")
+    return forms(spark, root).select("doc_id", evaluate.answer_hit(F.translate("form", ".,", "  "), F.when(d % 3 == 0, both).otherwise(none), F.when(d % 3 == 1, both).otherwise(none)).alias("hit"))
+
+
+@query(f"SELECT doc_id, CASE WHEN min(chunk_index) = max(chunk_index) THEN [coalesce(min_by(page_no, chunk_index), 0)] ELSE [arg_min(coalesce(page_no, 0), chunk_index), arg_max(coalesce(page_no, 0), chunk_index)] END AS anchors FROM ({CHUNKS}) GROUP BY doc_id")
+def anchor_sources(spark, root):
+    from leafstack.operators import evaluate
+
+    return evaluate.anchor_sources(chunk_rows(spark, root).select("doc_id", F.col("chunk_index").alias("pos"), F.coalesce("page_no", F.lit(0)).alias("source")))
 
 
 # tables and sheets

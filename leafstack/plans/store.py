@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from leafstack.functions import text as T
+from leafstack import providers
 from leafstack.operators import store as S
 from leafstack.operators import vectors
 from leafstack.plans.base import query
@@ -86,7 +87,7 @@ def corpus_build(spark, root):
     return newest.select("id", "display", (F.coalesce("content_text", F.lit("")) == "").alias("skipped")).withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k").drop("k")
 
 
-PARTS = "SELECT id, embedding_model, coalesce(chunk_scheme, 'page') AS scheme, json_array_length(content_chunks_json) AS elements, length(content_embeddings_b64) / 4 * 3 - CASE WHEN content_embeddings_b64 LIKE '%==' THEN 2 WHEN content_embeddings_b64 LIKE '%=' THEN 1 ELSE 0 END AS bytes, CASE embedding_model WHEN 'mini-passage-64' THEN 64 WHEN 'edge-passage-48' THEN 48 END AS dims FROM history WHERE json_valid(content_chunks_json) AND (content_embeddings_b64 IS NULL OR regexp_full_match(content_embeddings_b64, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?'))"
+PARTS = "SELECT id, embedding_model, coalesce(chunk_scheme, 'page') AS scheme, json_array_length(content_chunks_json) AS elements, length(content_embeddings_b64) / 4 * 3 - CASE WHEN content_embeddings_b64 LIKE '%==' THEN 2 WHEN content_embeddings_b64 LIKE '%=' THEN 1 ELSE 0 END AS bytes, CASE embedding_model WHEN 'mini-passage-64' THEN 64 WHEN 'edge-passage-48' THEN 48 END AS dims, content_chunks_json FROM history WHERE json_valid(content_chunks_json) AND (content_embeddings_b64 IS NULL OR regexp_full_match(content_embeddings_b64, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?'))"
 
 
 @query(f"SELECT id, elements AS chunks, CASE WHEN bytes = elements * dims * 4 THEN elements ELSE 0 END AS vectors, coalesce(bytes = elements * dims * 4 AND elements > 0, false) AS searchable FROM ({PARTS})")
@@ -105,6 +106,21 @@ def load_with_vectors(spark, root):
     return rows.select("id", "elements", (F.col("bytes") == F.col("elements") * F.col("dims") * 4).alias("complete"))
 
 
+@query(f"SELECT id, i AS passage_index, json_extract_string(content_chunks_json, '$[' || i || '].text') AS text, CASE WHEN bytes = elements * dims * 4 AND embedding_model = 'mini-passage-64' AND scheme = 'passage:100/20' THEN 64 END AS dims FROM ({PARTS} AND json_type(content_chunks_json) = 'ARRAY'), range(0, elements::BIGINT) r(i)")
+def passages_with_vectors(spark, root):
+    """Every stored passage with its vector, where it may be used."""
+    rows = vectors.passage_vectors(read(spark, root, "history").where(F.col("content_embeddings_b64").isNull() | F.col("content_embeddings_b64").rlike(vectors.BASE64)), "mini-passage-64", "passage:100/20")
+    return rows.select("id", F.col("passage_index").cast("bigint").alias("passage_index"), "text", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"))
+
+
+@query(f"SELECT id, i AS passage_index, text, attached AS kept, 64 AS dims FROM (SELECT id, i, json_extract_string(content_chunks_json, '$[' || i || '].text') AS text, coalesce(bytes = elements * dims * 4 AND embedding_model = 'mini-passage-64' AND scheme = 'passage:100/20', false) AS attached FROM ({PARTS} AND json_type(content_chunks_json) = 'ARRAY'), range(0, elements::BIGINT) r(i)) WHERE attached OR text <> ''")
+def vectors_filled(spark, root):
+    """The same with the missing vectors made by the (offline) model; a passage without text has none."""
+    rows = vectors.passage_vectors(read(spark, root, "history").where(F.col("content_embeddings_b64").isNull() | F.col("content_embeddings_b64").rlike(vectors.BASE64)), "mini-passage-64", "passage:100/20")
+    made = providers.fill_gaps(rows, "text", "vector", providers.Offline(64), "id").where("vector IS NOT NULL")
+    return made.select("id", F.col("passage_index").cast("bigint").alias("passage_index"), "text", (~F.col("filled")).alias("kept"), F.size("vector").alias("dims"))
+
+
 @query()
 def vector_codec(spark, root):
     return vectors.round_trip(read(spark, root, "embeddings"))
@@ -176,12 +192,14 @@ def json_from_reply(spark, root):
     return read(spark, root, "events").select("event_id", F.get_json_object(body, "$.k").alias("k"))
 
 
-ONE_RESULT = "SELECT result_id, max(file_name) AS file_name, max(file_type) AS file_type, max(doc_type) AS doc_type, max(coalesce(summary, '')) AS summary, max(coalesce(questions, [])) AS questions FROM pipeline_results GROUP BY result_id"
+ONE_RESULT = "SELECT result_id, file_name, file_type, doc_type, coalesce(summary, '') AS summary, coalesce(questions, []) AS questions FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY created_at DESC NULLS LAST, stored_at DESC NULLS LAST, coalesce(summary, '') DESC, file_name DESC NULLS LAST, doc_type DESC NULLS LAST, file_type DESC NULLS LAST) AS nth FROM pipeline_results) WHERE nth = 1"
 
 
 def one_result(spark, root):
-    none = F.array().cast("array<string>")
-    return read(spark, root, "pipeline_results").groupBy("result_id").agg(F.max("file_name").alias("file_name"), F.max("file_type").alias("file_type"), F.max("doc_type").alias("doc_type"), F.max(F.coalesce("summary", F.lit(""))).alias("summary"), F.max(F.coalesce("questions", none)).alias("questions"))
+    """One whole row of each result: the newest, where the repeated ones differ."""
+    text = F.coalesce("summary", F.lit("")).alias("summary")
+    newest = F.max(F.struct("created_at", "stored_at", text, "file_name", "doc_type", "file_type", F.coalesce("questions", F.array().cast("array<string>")).alias("questions"))).alias("r")
+    return read(spark, root, "pipeline_results").groupBy("result_id").agg(newest).select("result_id", "r.file_name", "r.file_type", "r.doc_type", "r.summary", "r.questions")
 
 
 @query(f"SELECT result_id, '# Analysis Report' || chr(10) || chr(10) || '> **File:** `' || file_name || '`' || chr(10) || '> **Format:** ' || upper(file_type) || '  |  **Type:** ' || replace(doc_type, '_', ' ') || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || CASE WHEN summary = '' THEN '_No summary could be generated._' ELSE summary END || CASE WHEN len(questions) > 0 THEN chr(10) || chr(10) || '## Questions' || chr(10) || chr(10) || array_to_string(list_transform(questions, lambda q, i: i || '. ' || q), chr(10)) ELSE '' END AS report FROM ({ONE_RESULT})")
@@ -196,9 +214,12 @@ def questions_csv(spark, root):
     return one_result(spark, root).select("result_id", F.posexplode("questions").alias("p", "question")).select("result_id", (F.col("p") + 1).cast("bigint").alias("no"), "question")
 
 
-@query()
+@query(f"SELECT result_id, file_name, summary, len(questions) AS questions, 20 AS keys FROM ({ONE_RESULT})")
 def result_json(spark, root):
-    return one_result(spark, root).select("result_id", F.to_json(F.struct("file_name", "file_type", "doc_type", "summary", "questions")).alias("result_json"))
+    """Every result as one JSON object of 20 keys, read back."""
+    made = S.result_json(read(spark, root, "pipeline_results"))
+    j = lambda k: F.get_json_object("result_json", f"$.{k}")
+    return made.select("result_id", j("file_name").alias("file_name"), j("summary").alias("summary"), F.json_array_length(j("questions")).cast("bigint").alias("questions"), F.size(F.json_object_keys("result_json")).alias("keys"))
 
 
 @query(f"SELECT q.result_id, i AS no, q.questions[i] AS question, 'answer ' || (q.result_id % 5) AS answer FROM ({ONE_RESULT}) q, range(1, len(questions) + 1) r(i) WHERE i % 2 = 1")
@@ -220,3 +241,27 @@ def edit_ops(spark, root):
 
     cells = read(spark, root, "lineitem").select(F.col("l_returnflag").alias("sheet"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.lit("quantity").alias("column"), F.col("l_quantity").cast("string").alias("value"))
     return tables.apply_edits(cells, [{"op": "rename_column", "sheet": "A", "old": "quantity", "new": "units"}, {"op": "set_cell_value", "sheet": "N", "row": 11, "column": "quantity", "value": "0"}, {"op": "rename_sheet", "sheet": "R", "new": "returned"}, {"op": "delete_row", "sheet": "N", "row": 12}, {"op": "add_column", "sheet": "A", "column": "note", "default": "-"}])
+
+
+@query("SELECT event_id, CASE WHEN m = 0 THEN 'placeholder' WHEN m = 1 THEN 'short' WHEN m = 2 THEN 'white space' END AS fault FROM (SELECT event_id, event_id % 5 AS m FROM events)")
+def key_plausibility(spark, root):
+    e = F.col("event_id")
+    key = F.when(e % 5 == 0, "gsk_replace_me_key_number_one").when(e % 5 == 1, "gsk_1234").when(e % 5 == 2, "gsk_abcdefghijkl mnopqrstuvwx").otherwise(F.concat(F.lit("gsk_"), F.sha2(e.cast("string"), 256)))
+    return read(spark, root, "events").select("event_id", T.key_fault(key).alias("fault"))
+
+
+@query("SELECT event_id, props AS bare FROM events")
+def strip_fences(spark, root):
+    e = F.col("event_id")
+    reply = F.when(e % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(e % 3 == 1, F.concat(F.lit(" ```\n"), "props", F.lit("```  "))).otherwise(F.col("props"))
+    return read(spark, root, "events").select("event_id", T.unfenced(reply).alias("bare"))
+
+
+ESCAPED = "replace(replace(replace(replace(replace(q, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@query(rf"SELECT result_id, no, regexp_replace({ESCAPED}, '(?i)(e\?|what)', '<mark>\1</mark>', 'g') AS shown FROM (SELECT result_id, i AS no, questions[i] || ' <what> & why' AS q FROM ({ONE_RESULT}), range(1, len(questions) + 1) r(i))")
+def highlight_search(spark, root):
+    shown = F.concat("question", F.lit(" <what> & why"))
+    once = T.highlighted(shown, F.lit("what"))
+    return questions_csv(spark, root).select("result_id", "no", F.regexp_replace(once, r"(?i)(e\?)", "<mark>$1</mark>").alias("shown"))
