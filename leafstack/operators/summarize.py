@@ -2,52 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from leafstack.functions import text as T
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, whatever the optimizer merges."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+from leafstack.session import spread
 
 #: Sentences of a whole text, fewest of a section, and the longest summary.
 SENTENCES, FEWEST, LONGEST = 15, 2, 4000
+END = re.compile(r"(?<=[.!?])[\t\n\x0b\f\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+WORD = re.compile(r"\w+")
+STOP = frozenset(T.SENTENCE_STOPWORDS)
+MILLIONTH = Decimal("0.000001")
 
 
-def extractive(docs: DataFrame, n: int | str = SENTENCES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys, summary, picked``: the ``n`` best sentences of each text in their order; ``n`` is a number or a column's name.
+def terms(text: str) -> list[str]:
+    """The terms of :func:`leafstack.functions.text.term_list`."""
+    return [w for w in WORD.findall(text.lower()) if len(w) > 2 and w not in STOP and w.isascii() and w.isalpha()]
+
+
+def best_sentences(text: str, n: int) -> list[str]:
+    """The ``n`` best sentences of a text in their order.
 
-    A sentence scores the mean frequency of its words in the document, more at its begin and end and at a usual length;
-    ties go to the later sentence. All within the row: no shuffle. Texts without a sentence give no row.
+    A sentence scores the mean frequency of its words in the text, more at its begin and end and at a usual length;
+    ties go to the later sentence.
     """
-    t = F.col("text")
-    most = (F.lit(n) if isinstance(n, int) else F.col(n)).cast("int")
+    found = [x for x in (part.strip() for part in END.split(text)) if len(x) > 25]
+    counts = Counter(terms(text))
+
+    def score(i: int) -> Decimal:
+        own = terms(found[i])
+        mean = sum(counts[w] for w in own) / (len(own) + 1)
+        place = 1.2 if i / len(found) < 0.1 or i / len(found) > 0.9 else 1.0
+        return Decimal(repr(mean * place * (1.1 if 40 < len(found[i]) < 200 else 0.9))).quantize(MILLIONTH, ROUND_HALF_UP)
+
+    best = heapq.nlargest(n, ((score(i), i) for i in range(len(found))))
+    return [found[i] for i in sorted(i for _, i in best)]
 
-    def picked(found: Column, counts: Column) -> Column:
-        total = F.size(found)
 
-        def score(sentence: Column, idx: Column) -> Column:
-            own = T.term_list(sentence)
-            hits = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.try_element_at(counts, w), F.lit(0)))
-            place = F.when((idx / total < 0.1) | (idx / total > 0.9), 1.2).otherwise(1.0)
-            size = F.when((F.length(sentence) > 40) & (F.length(sentence) < 200), 1.1).otherwise(0.9)
-            return F.round(let(own, lambda words: hits(words).cast("double") / (F.size(words) + 1)) * place * size, 6)
+def extractive(docs: DataFrame, n: int | str = SENTENCES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, summary, picked``: the best ``n`` sentences of each text; ``n`` is a number or a column's name.
 
-        ranked = F.transform(found, lambda x, i: F.struct((-score(x, i)).alias("neg"), (-i).alias("later"), i.alias("i"), x.alias("x")))
-        best = F.slice(F.array_sort(ranked), F.lit(1), most)
-        return F.transform(F.array_sort(F.transform(best, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
+    Null texts and texts without a sentence give no row. The mean over a text's own counts is a fold within the row, so an Arrow function; no shuffle of the
+    texts but where the table has fewer parts than the cluster has cores.
+    """
+    most = (F.lit(n) if isinstance(n, int) else F.col(n)).cast("int")
+    rows = spread(docs.where(F.col("text").isNotNull()).select(*keys, F.col("text").alias("__text"), most.alias("__most")))
+    kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
 
-    def counted(terms: Column) -> Column:
-        # a term's count is what its removal takes away; array_remove runs natively, unlike a lambda over all terms
-        return F.map_from_entries(F.transform(F.array_distinct(terms), lambda w: F.struct(w.alias("w"), (F.size(terms) - F.size(F.array_remove(terms, w))).alias("n"))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            picked = [best_sentences(t, m) for t, m in zip(batch["__text"], batch["__most"])]
+            made = batch[list(keys)].assign(summary=[" ".join(x) for x in picked], picked=[len(x) for x in picked])
+            yield made[made["picked"] > 0]
 
-    made = let(T.sentences(t), lambda found: let(let(T.term_list(t), counted), lambda counts: picked(found, counts)))
-    rows = docs.where(t.isNotNull()).select(*keys, let(made, lambda x: F.struct(F.array_join(x, " ").alias("summary"), F.size(x).cast("bigint").alias("picked"))).alias("r"))
-    return rows.select(*keys, "r.*").where("picked > 0")
+    return rows.mapInPandas(run, f"{kept}, summary string, picked bigint")
 
 
 def by_section(docs: DataFrame, sections: DataFrame) -> DataFrame:

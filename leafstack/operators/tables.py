@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from leafstack.session import shared_dir
+from leafstack.session import new_folder
 
 
 def render(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -42,7 +41,7 @@ def head_tail(rows: DataFrame, group: list[str], order: list[str], n: int = 300)
 
 def csv_round_trip(rows: DataFrame) -> DataFrame:
     """The rows written as CSV and read again with types, profiled."""
-    path = f"{shared_dir(rows.sparkSession).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = new_folder(rows.sparkSession, "csv")
     rows.write.csv(path, header=True)
     back = rows.sparkSession.read.schema(rows.schema).csv(path, header=True)
     return back.agg(F.count("*").alias("n"), F.count("o_totalprice").alias("filled"), F.round(F.min("o_totalprice"), 2).alias("least"), F.round(F.max("o_totalprice"), 2).alias("most"), F.countDistinct("o_orderpriority").alias("kinds"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from leafstack.functions import text as T
 from leafstack.operators import chunking, classify, questions, reports, summarize, tables
-from leafstack.plans.base import query
+from leafstack.plans.base import SQL, query
 from leafstack.session import read_table as read
 
 SP = r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -137,7 +137,13 @@ def extractive_sections(spark, root):
     return summarize.by_section(docs, chunking.sections(docs, "text"))
 
 
-@query()
+def cut_sql(at: str, size: int = 4000, overlap: int = 300) -> str:
+    """End of the chunk that starts at ``at`` (from 0) in the text ``t``."""
+    last = [f"length(regexp_extract(substring(t, {at} + {overlap} + 1, {size - overlap}), '(?s)^(.*{b.replace('.', chr(92) + '.').replace('?', chr(92) + '?')})', 1))" for b in chunking.BREAKS]
+    return f"CASE WHEN {at} + {size} >= length(t) THEN length(t) " + " ".join(f"WHEN {x} > 0 THEN {at} + {overlap} + {x}" for x in last) + f" ELSE {at} + {size} END"
+
+
+@query(f"WITH RECURSIVE c AS (SELECT doc_id, full_text AS t, 0 AS chunk_no, 0::BIGINT AS start_at, ({cut_sql('0').replace('(t,', '(full_text,').replace('(t)', '(full_text)')})::BIGINT AS end_at FROM parsed_documents WHERE full_text <> '' UNION ALL SELECT doc_id, t, chunk_no + 1, s, ({cut_sql('s')})::BIGINT FROM (SELECT *, greatest(start_at + 1, end_at - 300) AS s FROM c WHERE end_at < length(t))) SELECT doc_id, chunk_no, start_at, end_at, substring(t, start_at + 1, end_at - start_at) AS chunk FROM c")
 def boundary_chunks(spark, root):
     return chunking.boundary_chunks(read(spark, root, "parsed_documents"), "full_text")
 
@@ -220,7 +226,24 @@ def domain_schema(spark, root):
 
 # questions
 
-@query()
+def found_sql() -> str:
+    """All findings of a form, in the order of the patterns, then those over two lines."""
+    listed = ", ".join(f"regexp_extract_all(form, '{p.replace(chr(39), chr(39) * 2)}', {g})" for _, p, g in questions.PATTERNS)
+    line = lambda i: STRIP(f"l[{i}]")
+    two = f"list_transform(list_filter(range(1, len(l)::BIGINT), lambda i: regexp_matches({line('i')}, '^[A-Z]') AND NOT regexp_matches({line('i')}, '[.?!:,;]$') AND {line('i + 1')} LIKE '%?' AND length({line('i')}) > 10 AND length({line('i')} || {line('i + 1')}) < 250), lambda i: {line('i')} || ' ' || {line('i + 1')})"
+    return f"SELECT doc_id, list_concat({listed}, {two}) AS q FROM (SELECT *, string_split(form, chr(10)) AS l FROM ({FORMS}))"
+
+
+OPTION_SQL = questions.ANSWER.replace("'", "''")
+
+
+def questions_sql() -> str:
+    kept = f"list_filter(list_transform(q, lambda x: {STRIP('x')}), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '{OPTION_SQL}'))"
+    cleaned = f"list_filter(list_transform({kept}, lambda x: {clean_q_sql('x')}), lambda x: length(x) >= 4)"
+    return f"SELECT doc_id, i - 1 AS pos, upper(left(c[i], 1)) || substring(c[i], 2) AS question FROM (SELECT doc_id, {cleaned} AS c FROM ({found_sql()})), range(1, len(c)::BIGINT + 1) r(i)"
+
+
+@query("LATER")
 def question_regex(spark, root):
     return questions.extract(forms(spark, root), "form")
 
@@ -248,6 +271,9 @@ def clean_q_sql(c: str) -> str:
     return STRIP(rf"regexp_replace({q}, '(?i)[ \t]*[\[(]?[ \t]*required[ \t]*[\])]?[ \t]*$', '')")
 
 
+SQL["question_regex"] = questions_sql()
+
+
 @query(f"SELECT doc_id, pos, upper(left(q, 1)) || substring(q, 2) AS question FROM (SELECT doc_id, pos, {clean_q_sql('line')} AS q FROM ({QLINES})) WHERE length(q) >= 4")
 def question_clean(spark, root):
     return question_lines(spark, root).select("doc_id", "pos", T.clean_question(F.col("line")).alias("question")).where(F.length("question") >= 4)

@@ -121,9 +121,9 @@ def vectors_filled(spark, root):
     return made.select("id", F.col("passage_index").cast("bigint").alias("passage_index"), "text", (~F.col("filled")).alias("kept"), F.size("vector").alias("dims"))
 
 
-@query()
+@query("SELECT vec_id, (len(embedding) * 4 + 2) // 3 * 4 AS chars, true AS same FROM embeddings WHERE embedding IS NOT NULL")
 def vector_codec(spark, root):
-    return vectors.round_trip(read(spark, root, "embeddings"))
+    return vectors.round_trip(read(spark, root, "embeddings")).select("vec_id", F.length("blob").cast("bigint").alias("chars"), "same")
 
 
 @query("SELECT count(*) AS documents, count(DISTINCT file_name) AS names, count(DISTINCT lower(file_hash)) AS hashes FROM history")
@@ -214,10 +214,16 @@ def questions_csv(spark, root):
     return one_result(spark, root).select("result_id", F.posexplode("questions").alias("p", "question")).select("result_id", (F.col("p") + 1).cast("bigint").alias("no"), "question")
 
 
-@query(f"SELECT result_id, file_name, summary, len(questions) AS questions, 20 AS keys FROM ({ONE_RESULT})")
+@query()
 def result_json(spark, root):
+    """Every result as one JSON object of 20 keys."""
+    return S.result_json(read(spark, root, "pipeline_results"))
+
+
+@query(f"SELECT result_id, file_name, summary, len(questions) AS questions, 20 AS keys FROM ({ONE_RESULT})")
+def result_export(spark, root):
     """Every result as one JSON object of 20 keys, read back."""
-    made = S.result_json(read(spark, root, "pipeline_results"))
+    made = result_json(spark, root)
     j = lambda k: F.get_json_object("result_json", f"$.{k}")
     return made.select("result_id", j("file_name").alias("file_name"), j("summary").alias("summary"), F.json_array_length(j("questions")).cast("bigint").alias("questions"), F.size(F.json_object_keys("result_json")).alias("keys"))
 
@@ -235,7 +241,7 @@ def metadata_clean(spark, root):
     return read(spark, root, "parsed_documents").select("doc_id", F.explode(F.slice(F.map_entries(kept), 1, 20)).alias("e")).select("doc_id", F.col("e.key").alias("key"), F.left("e.value", F.lit(120)).alias("value"))
 
 
-@query()
+@query("WITH c AS (SELECT l_returnflag AS sheet, l_orderkey * 10 + l_linenumber AS row, l_quantity::VARCHAR AS value FROM lineitem) SELECT CASE WHEN sheet = 'R' THEN 'returned' ELSE sheet END AS sheet, row, CASE WHEN sheet = 'A' THEN 'units' ELSE 'quantity' END AS \"column\", CASE WHEN sheet = 'N' AND row = 11 THEN '0' ELSE value END AS value FROM c WHERE NOT (sheet = 'N' AND row = 12) UNION ALL SELECT DISTINCT 'A', row, 'note', '-' FROM c WHERE sheet = 'A'")
 def edit_ops(spark, root):
     from leafstack.operators import tables
 

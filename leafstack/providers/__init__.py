@@ -88,14 +88,13 @@ def apply(rows: DataFrame, text: str, provider: Provider, what: str = "complete"
 def fill_gaps(rows: DataFrame, text: str, stored: str, provider: Provider, group: str | None = None) -> DataFrame:
     """Vectors for the rows that lack one in column ``stored``; the others keep theirs. ``filled`` tells the new ones.
 
-    Vectors of one ``group`` (all rows without it) must agree in length: where the stored ones do not, or are not as long as the model's, the whole
-    group is encoded again.
+    Vectors of one ``group`` must agree in length: where the stored ones are not as long as the model's, the whole group is encoded again.
+    Without a group the stored ones stay as they are.
     """
-    key = F.col(group) if group else F.lit(0)
-    dims = len(provider.embed("length"))
-    rows = rows.withColumn("__group", key)
-    mixed = rows.where(F.col(stored).isNotNull() & (F.size(stored) != dims)).select("__group").distinct().withColumn("__mixed", F.lit(True))
-    rows = rows.join(mixed, "__group", "left").withColumn(stored, F.when(F.col("__mixed").isNull(), F.col(stored).cast("array<double>"))).drop("__group", "__mixed")
+    if group:
+        off = rows.where(F.col(stored).isNotNull() & (F.size(stored) != len(provider.embed("length")))).select(group).distinct().withColumn("__off", F.lit(True))
+        rows = rows.join(off, group, "left").withColumn(stored, F.when(F.col("__off").isNull(), F.col(stored))).drop("__off")
+    rows = rows.withColumn(stored, F.col(stored).cast("array<double>"))
     missing = apply(rows.where(F.col(stored).isNull()).drop(stored), text, provider, "embed").drop("reason").withColumnRenamed("value", stored).withColumn("filled", F.col(stored).isNotNull())
     kept = rows.where(F.col(stored).isNotNull()).withColumns({"error": F.lit(None).cast("string"), "filled": F.lit(False)})
     return kept.unionByName(missing)

@@ -84,6 +84,12 @@ def materialize(df: DataFrame, label: str, written: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as the cluster has cores, so that a table of few files does not keep the others idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the package to the Python workers of the session, once, so that they need no installation."""
     context = spark.sparkContext

@@ -1,6 +1,7 @@
 """Operators on small fixtures with expected values worked out by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +240,66 @@ def test_running_sum_against_brute_force(spark, descending):
     for r in got:
         assert r["s"] == sum(v or 0 for k, o, v in rows if k == r["k"] and (o >= r["o"] if descending else o <= r["o"]))
     assert len(got) == len(rows)
+
+
+def plain_fold(found):
+    """The questions kept, by the definition: each against all kept ones."""
+    kept = []
+    for q in found:
+        words = set(" ".join(q.lower().strip().rstrip("?. ").split()).split())
+        scores = [len(words & w) / len(words | w) if words | w else 0.0 for _, w in kept]
+        if scores and max(scores) >= 0.72:
+            at = scores.index(max(scores))
+            if len(q) > len(kept[at][0]):
+                kept[at] = (q, words)
+        else:
+            kept.append((q, words))
+    return [q for q, _ in kept]
+
+
+def test_greedy_against_every_pair():
+    r = random.Random(2)
+    for _ in range(300):
+        found = [" ".join(r.choice("what is your name age town please now here".split()) for _ in range(r.randint(0, 6))) + r.choice(["?", "", "."]) for _ in range(r.randint(0, 25))]
+        assert questions.greedy(found) == plain_fold(found)
+    assert questions.greedy(["a b c d e f g h", "a b c d e f g x y", "a b c d e f g h y"]) == ["a b c d e f g h y", "a b c d e f g x y"][:2]
+
+
+def test_cap_comes_after_duplicates(spark):
+    rows = [(1, i, f"Is the item number {i % 150} here" + " now" * (i // 150)) for i in range(400)] + [(1, 400, "Entirely different question text")]
+    got = questions.greedy_distinct(spark.createDataFrame(rows, "doc_id int, pos int, question string")).first()["questions"]
+    assert len(got) <= 200 and len(got) == len(set(got))
+
+
+def plain_cuts(text, size, overlap):
+    out, first = [], 0
+    while first < len(text):
+        end = min(first + size, len(text))
+        if end < len(text):
+            for b in chunking.BREAKS:
+                places = [i for i in range(first + overlap, end - len(b) + 1) if text.startswith(b, i)]
+                if places:
+                    end = places[-1] + len(b)
+                    break
+        out.append((first, end))
+        if end == len(text):
+            return out
+        first = max(first + 1, end - overlap)
+    return out
+
+
+def test_boundaries_against_every_place():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "b", ". ", ".\n", "\n\n", "\n", "? ", "! ", "; ", ".", " "]) for _ in range(r.randint(0, 120)))
+        size = r.randint(2, 30)
+        overlap = r.randint(0, size - 1)
+        assert chunking.boundary_offsets(text, size, overlap) == plain_cuts(text, size, overlap)
+
+
+def test_packed_before_cut():
+    small, large = ("a", "x" * 10), ("b", ("y" * 9 + ". ") * 20)
+    assert chunking.pack_sections([small, small], 60, 5) == ["## a\n\nxxxxxxxxxx\n\n## a\n\nxxxxxxxxxx"]
+    got = chunking.pack_sections([small, large, small], 60, 5)
+    assert got[0] == "## a\n\nxxxxxxxxxx" and got[1].startswith("## b\n\n") and got[-1] == "## a\n\nxxxxxxxxxx" and len(got) > 4
+    assert chunking.pack_sections([("c", "z" * 80)], 60, 5) == ["## c\n\n" + "z" * 80]
