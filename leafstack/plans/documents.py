@@ -224,6 +224,19 @@ def domain_schema(spark, root):
     return read(spark, root, "pipeline_results").select("result_id", classify.domain_schema(F.col("domain")).alias("field_schema")).distinct()
 
 
+CLEANED = f"SELECT p.doc_id, file_type, coalesce(d.domain, 'General') AS domain, {clean_sql('full_text')} AS form FROM parsed_documents p LEFT JOIN (SELECT doc_id, min(domain) AS domain FROM pipeline_results GROUP BY doc_id) d ON p.doc_id = d.doc_id"
+
+
+@query(f"SELECT c.doc_id, coalesce(s.score, 0) AS score, CASE WHEN coalesce(s.score, 0) >= 0.35 THEN 'questionnaire' ELSE 'normal_document' END AS doc_type, array_to_string(list_filter(['text_cleaner', 'document_classifier', CASE WHEN file_type <> 'audio' AND (domain IN ('Technical', 'Financial', 'Research', 'Scientific', 'Medical') OR file_type = 'excel') THEN 'structure_recognition' END, 'summarization', CASE WHEN coalesce(s.score, 0) >= 0.35 THEN 'question_extraction' END, CASE WHEN coalesce(s.score, 0) < 0.35 AND file_type <> 'audio' THEN 'structured_extraction' END], lambda x: x IS NOT NULL), ',') AS plan FROM ({CLEANED}) c LEFT JOIN ({classify.score_sql(CLEANED)}) s USING (doc_id)")
+def analyse(spark, root):
+    """The pipeline over all parsed documents: verdict and plan of each."""
+    from leafstack.registry import analyse
+
+    domains = read(spark, root, "pipeline_results").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    made = analyse(read(spark, root, "parsed_documents").join(domains, "doc_id", "left"), domain="domain")
+    return made.select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), "doc_type", F.array_join("plan", ",").alias("plan"))
+
+
 # questions
 
 def found_sql() -> str:
