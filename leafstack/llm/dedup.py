@@ -39,7 +39,7 @@ SKETCH, DEVIATIONS = 128, 3.5
 #: Rows of the first load to a part of the index.
 PART_ROWS = 20_000
 #: Bits of the filter that a batch's values set; rows of the index that meet none are dropped before the shuffle.
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 24
 #: From this many parts on, a batch first asks which it meets; fewer are all met.
 MANY_PARTS = 16
 #: Rows of one key up to which it is joined in one piece; larger keys are salted.
@@ -235,37 +235,32 @@ class HistoryIndex:
     def _add(self, name: str, rows: DataFrame, by: str) -> None:
         rows.withColumn("part", self.part(by)).drop("k").repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
 
-    def _classes(self, prepared: DataFrame, written: list[str]) -> DataFrame:
-        """``class, own, rep, fresh`` of a batch: its first row, the representative, and whether the index had none before."""
-        own = materialize(prepared.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("own")), "batch-wordings", written)
-        found = own.join(self.met("classes", "class", own), "class", "left")
-        return materialize(found.select("class", "own", F.coalesce("rep", "own").alias("rep"), F.col("rep").isNull().alias("fresh")), "batch-classes", written)
-
-    def _texts(self, prepared: DataFrame, classes: DataFrame, written: list[str]) -> DataFrame:
-        """``class, rep, fresh, words, keys, s1, s2``: every class of a batch once."""
-        one = classes.withColumnRenamed("own", "id").join(prepared, ["class", "id"]).dropDuplicates(["class"])
-        return materialize(one.select("class", "rep", "fresh", "words", "keys", "s1", "s2"), "batch-texts", written)
+    def _texts(self, prepared: DataFrame, written: list[str]) -> DataFrame:
+        """``class, rep, fresh, words, keys, s1, s2``: every class of a batch once, with its representative and whether the index had none before."""
+        held = prepared.where("class IS NOT NULL")
+        one = held.groupBy("class").agg(F.min(F.struct("id", "words", "keys", "s1", "s2")).alias("t"))
+        found = one.join(self.met("classes", "class", held.select("class")), "class", "left")
+        return materialize(found.select("class", F.coalesce("rep", "t.id").alias("rep"), F.col("rep").isNull().alias("fresh"), "t.words", "t.keys", "t.s1", "t.s2"), "batch-texts", written)
 
     def append(self, prepared: DataFrame, seed: bool = False) -> None:
         """Adds prepared rows; wordings that the index holds already get no second set of keys."""
         if self.parts is None:
             self.parts = max(1, prepared.count() // PART_ROWS)
         written: list[str] = []
-        classes = self._classes(prepared, written)
-        self._append(prepared, classes, self._texts(prepared, classes, written), seed)
+        self._append(prepared, self._texts(prepared, written), seed)
         discard(self.spark, written)
 
-    def _append(self, prepared: DataFrame, classes: DataFrame, texts: DataFrame, seed: bool) -> None:
+    def _append(self, prepared: DataFrame, texts: DataFrame, seed: bool) -> None:
         fresh = texts.where("fresh")
         self._add("keys", exploded(fresh), "k")
         self._add("texts", fresh.select("rep", "words"), "rep")
         self._add("classes", fresh.select("class", "rep"), "class")
-        self._add("members", self._members(prepared, classes, seed), "rep")
+        self._add("members", self._members(prepared, texts, seed), "rep")
         self._add("bare", self._bare(prepared, seed), "hash")
 
     @staticmethod
-    def _members(prepared: DataFrame, classes: DataFrame, seed: bool) -> DataFrame:
-        return prepared.where("class IS NOT NULL").select("class", "id").join(classes, "class").select("rep", "id", F.lit(seed).alias("seed")).distinct()
+    def _members(prepared: DataFrame, texts: DataFrame, seed: bool) -> DataFrame:
+        return prepared.where("class IS NOT NULL").select("class", "id").join(texts.select("class", "rep"), "class").select("rep", "id", F.lit(seed).alias("seed")).distinct()
 
     @staticmethod
     def _bare(prepared: DataFrame, seed: bool) -> DataFrame:
@@ -288,12 +283,11 @@ class HistoryIndex:
         if self.parts is None:
             self.parts = max(1, prepared.count() // PART_ROWS)
         written: list[str] = []
-        classes = self._classes(prepared, written)
-        texts = self._texts(prepared, classes, written)
+        texts = self._texts(prepared, written)
         links = self.links(texts, written)
-        new = materialize(self._members(prepared, classes, False), "batch-members", written)
+        new = materialize(self._members(prepared, texts, False), "batch-members", written)
         both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-        near = both.join(classes.select("rep"), "rep", "left_semi").unionByName(classes.select("rep", F.col("rep").alias("other")))
+        near = both.join(texts.select("rep"), "rep", "left_semi").unionByName(texts.select("rep", F.col("rep").alias("other")))
         near = materialize(near, "near-classes", written)
         members = self.met("members", "rep", near.select(F.col("other").alias("rep"))).unionByName(new)
         members = materialize(members.select(F.col("rep").alias("other"), F.struct("id", "seed").alias("a")), "met-members", written)
@@ -304,7 +298,7 @@ class HistoryIndex:
         hashed = salted_join(bare.select("hash", F.struct("id", "seed").alias("b")), others, "hash", written).select("a", "b")
         pairs = met.unionByName(hashed).where("a.id <> b.id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("NOT b.seed")
         pairs = materialize(pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct(), "batch-pairs")
-        self._append(prepared, classes, texts, False)
+        self._append(prepared, texts, False)
         discard(self.spark, written)
         return pairs
 
