@@ -15,7 +15,6 @@ import base64
 import binascii
 import hashlib
 import json
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from leafstack.session import materialize, shared_dir
+from leafstack.session import materialize, new_folder
 
-#: Floats per vector of the known embedding models.
-MODEL_DIMS = {"mini-passage-64": 64, "edge-passage-48": 48}
 #: Bounds of the sample that the lists are fitted on (vectors per group of comparable rows), of the lists, and of groups.
 SAMPLE, MOST_LISTS, MOST_GROUPS = 16_384, 4_096, 1_000
 LIST_SIZE, QUERY_BLOCK, BLOCK_ROWS = 512, 1_024, 8_192
@@ -36,46 +33,52 @@ TARGET_RECALL = 0.95
 ABANDON_Z = 3.0
 
 
-def decode_row(chunks_json: str | None, blob: str | None, dims: int | None) -> np.ndarray | None:
-    """Vectors of one stored row, or None unless it is valid base64 of one vector per array element."""
-    if not chunks_json or not blob or not dims:
+def decode_row(chunks_json: str | None, blob: str | None) -> np.ndarray | None:
+    """Vectors of one stored row, or None unless it is valid base64 of vectors of one width for the array elements."""
+    if not chunks_json or not blob:
         return None
     try:
         elements = json.loads(chunks_json)
         raw = base64.b64decode(blob, validate=True)
     except (ValueError, binascii.Error, RecursionError):
         return None
-    if not isinstance(elements, list) or not elements or len(raw) != 4 * dims * len(elements):
+    if not isinstance(elements, list) or not elements or not raw or len(raw) % (4 * len(elements)):
         return None
-    return np.frombuffer(raw, "<f4").reshape(-1, dims).astype(np.float64)
+    return np.frombuffer(raw, "<f4").reshape(len(elements), -1).astype(np.float64)
 
 
-def decode_passages(history: DataFrame, dims: dict[str, int] | None = None) -> DataFrame:
-    """``id, passage, grp, vector`` (unit length, binary float32) and ``class`` of every usable passage.
+def decode_passages(history: DataFrame) -> DataFrame:
+    """``id, passage, grp, dims, vector`` (unit length, binary float32) and ``class`` of every passage of a row whose string can be cut evenly.
 
-    Rows without text, vectors or known model, damaged strings and strings of another length are
-    left out, as are vectors of length 0 or with a value that is not finite. ``grp`` is model and
-    scheme; a null scheme counts as ``page``. A repeated ``id`` counts once per passage and vector.
+    Rows without passages, vectors or model and damaged strings are left out, as are vectors of length 0 or with a value that is not
+    finite. ``grp`` is model and scheme; a null scheme counts as ``page``. ``dims`` is the width that the row's own string
+    gives: :func:`most_similar` keeps the width that most passages of a group have, so a string with too few or too many vectors drops out there.
     """
-    dims = dims or MODEL_DIMS
     rows = history.select("id", "content_chunks_json", "content_embeddings_b64", "embedding_model", F.coalesce("chunk_scheme", F.lit("page")).alias("scheme"))
-    rows = rows.where(F.col("content_embeddings_b64").isNotNull() & F.col("content_chunks_json").isNotNull() & F.col("embedding_model").isin(list(dims)))
+    rows = rows.where(F.col("content_embeddings_b64").isNotNull() & F.col("content_chunks_json").isNotNull() & F.col("embedding_model").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, chunks, blob, model, scheme in batch.itertuples(index=False):
-                vectors = decode_row(chunks, blob, dims[model])
+                vectors = decode_row(chunks, blob)
                 if vectors is None:
                     continue
                 norms = np.linalg.norm(vectors, axis=1)
                 for p in np.flatnonzero(np.isfinite(norms) & (norms > 0)):
                     unit = vectors[p] / norms[p]
                     key = hashlib.blake2b((np.round(unit, 5) + 0.0).astype("<f4").tobytes() + f"{model}|{scheme}".encode(), digest_size=12).hexdigest()
-                    out.append((i, int(p), f"{model}|{scheme}", unit.astype("<f4").tobytes(), key))
-            yield pd.DataFrame(out, columns=["id", "passage", "grp", "vector", "class"])
+                    out.append((i, int(p), f"{model}|{scheme}", vectors.shape[1], unit.astype("<f4").tobytes(), key))
+            yield pd.DataFrame(out, columns=["id", "passage", "grp", "dims", "vector", "class"])
 
-    return rows.mapInPandas(run, "id bigint, passage int, grp string, vector binary, class string")
+    return rows.mapInPandas(run, "id bigint, passage int, grp string, dims int, vector binary, class string")
+
+
+def of_one_width(passages: DataFrame) -> DataFrame:
+    """The passages of the width that most of their group have (the larger of two that are even)."""
+    seen = passages.groupBy("grp", "dims").agg(F.count("*").alias("n"))
+    main = seen.groupBy("grp").agg(F.max_by("dims", F.struct("n", "dims")).alias("dims"))
+    return passages.join(F.broadcast(main.limit(MOST_GROUPS + 1)), ["grp", "dims"], "left_semi")  # more groups are refused below
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -231,7 +234,7 @@ def nearest_classes(classes: DataFrame, k: int, list_size: int = LIST_SIZE, targ
                 yield pd.DataFrame({"seq": part["seq"].to_numpy(), "class": part["class"].to_numpy(), "vector": [v.tobytes() for v in x], "grp": np.full(len(x), number, np.int32), "list": np.argmax(x @ centres.T, 1).astype(np.int32)})
 
     placed = classes.select("seq", "class", "grp", "vector").mapInPandas(assign, "seq bigint, class string, vector binary, grp int, list int")
-    root = f"{shared_dir(spark).rstrip('/')}/vector-lists-{uuid.uuid4().hex}"
+    root = new_folder(spark, "vector-lists")
     placed.repartition("grp", "list").sortWithinPartitions("grp", "list").write.partitionBy("grp", "list").parquet(root)
     sizes = spark.read.parquet(root).groupBy(F.col("grp").cast("int").alias("grp"), F.col("list").cast("int").alias("list")).count()
     there = {(r[0], r[1]) for r in sizes.select("grp", "list").collect()}  # at most MOST_LISTS a group
@@ -276,7 +279,7 @@ def most_similar(passages: DataFrame, k: int = 10, **fit) -> DataFrame:
     cosines go by (id, passage). A group of fewer than ``k + 1`` passages gives what it has; an empty table
     gives no row. Neighbours are approximate: ``tests/llm`` measures the recall.
     """
-    rows = materialize(passages.dropDuplicates(["id", "passage", "class"]), "passages")
+    rows = of_one_width(materialize(passages.dropDuplicates(["id", "passage", "class"]), "passages"))
     key = F.struct("id", "passage")
     classes = rows.groupBy("grp", "class").agg(F.min(F.struct("id", "passage", "vector")).alias("first"), F.count("*").alias("n"))
     classes = materialize(classes.select("grp", "class", "n", F.struct("first.id", "first.passage").alias("first"), F.col("first.vector").alias("vector"), F.monotonically_increasing_id().alias("seq")), "vector-classes")
