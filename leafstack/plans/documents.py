@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from leafstack.functions import text as T
 from leafstack.operators import chunking, classify, questions, reports, summarize, tables
 from leafstack.plans.base import SQL, query
-from leafstack.session import read_table as read
+from leafstack.session import read_table as read, spread
 
 SP = r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 STRIP = lambda c: f"regexp_replace({c}, '^{SP}+|{SP}+$', '', 'g')"
@@ -35,7 +35,7 @@ def forms(spark: SparkSession, root: str) -> DataFrame:
     d, s = F.col("doc_id"), F.coalesce("source", F.lit("us"))
     n = lambda m: (d % m).cast("string")
     form = F.concat(F.coalesce("text", c("")), c("\nCustomer survey "), d, c("\nQ1. How often do you visit "), s, c("?\n2) Please describe problem "), n(7), c(" in detail\na) Yes\nb) No\nHow satisfied are you with "), s, c("?\nWe would like to know more about\nyour plans for "), n(5), c("?\n**What is item "), n(3), c("?**\nFirst Name: ____\n3. what is required (required)\nPage "), d, c(" of 9\n[ ] agree\n"), F.when(d % 2 == 0, "Strongly agree").otherwise("Comments:"), c("\nwritten on "), (d % 28 + 1).cast("string"), c("/03/2024 for $"), n(90), c(".50 million at "), n(100), c("% by a"), d, c("@mail.org\n"), F.element_at(F.array(*map(c, SIGNS)), (d % len(SIGNS) + 1).cast("int")))
-    return read(spark, root, "documents").select("doc_id", "source", form.alias("form"))
+    return spread(read(spark, root, "documents").select("doc_id", "source", "text")).select("doc_id", "source", form.alias("form"))
 
 
 FORMS = f"SELECT doc_id, source, {FORM} AS form FROM documents"
