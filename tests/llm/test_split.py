@@ -46,3 +46,21 @@ def test_found_equals_sql(spark):
     from tests.oracle import connect, same_rows
 
     assert same_rows(p1_found(spark, DATA), connect(DATA), oracle_sql()["p1_found"]) > 0
+
+
+def test_pieces_of_the_tables(spark):
+    """Over all documents: pieces within the limit, the exact overlap between them, and together the text."""
+    from leafstack.llm.queries import p1_pieces
+
+    root = "/root/testdata/sf0.01"
+    rules = {r["file_type"]: r for r in spark.read.parquet(f"{root}/summarization_config.parquet").collect()}
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{root}/parsed_documents.parquet").where("full_text IS NOT NULL").collect()}
+    pieces = {}
+    for r in p1_pieces(spark, root).orderBy("doc_id", "piece_index").collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert pieces.keys() == docs.keys()
+    for k, got in pieces.items():
+        text, rule = docs[k]["full_text"], rules[docs[k]["file_type"]]
+        assert all(len(p["piece"]) <= rule["chunk_size"] and p["piece"] == text[p["start"] : p["end"]] for p in got)
+        assert (got[0]["start"], got[-1]["end"]) == (0, len(text))
+        assert all(a["end"] - b["start"] == rule["chunk_overlap"] for a, b in zip(got, got[1:]))
