@@ -33,8 +33,9 @@ from leafstack.session import discard, materialize, new_folder
 BANDS, ROWS = 48, 3
 #: Texts of at most this many pairs, where one changed word weighs more, also get bands of two.
 SHORT, SHORT_BANDS = 32, 28
-#: One-bit minwise hashes of the words, kept beside the keys, and the standard deviations by which their agreement may fall short of what
-#: texts at the bound have. Texts of one length share two thirds of their words, so five in six bits agree.
+#: Minwise hashes of the words, of which two bits each are kept beside the keys, and the standard deviations by which their agreement may fall
+#: short of what texts at the bound have. Texts of one length share two thirds of their words, so three in four hashes agree. With one bit
+#: each, one in seven pairs that share half of their words in a form passed, and their words were sent about.
 SKETCH, DEVIATIONS = 128, 3.5
 #: Rows of the first load to a part of the index.
 PART_ROWS = 20_000
@@ -105,15 +106,15 @@ def band_keys(words: np.ndarray) -> list[int]:
     return (key ^ (key >> np.uint64(31))).astype(np.int64).tolist()
 
 
-def sketch(words: np.ndarray) -> tuple[int, int]:
-    """SKETCH bits of a text; a word that stands twice counts as two."""
+def sketch(words: np.ndarray) -> tuple[int, int, int, int]:
+    """Two bits of each of SKETCH hashes of a text, the first bits before the second ones; a word that stands twice counts as two."""
     w = np.sort(words).astype(np.uint64)
     nth = np.arange(len(w)) - np.searchsorted(w, w)
     x = (w + (nth.astype(np.uint64) << np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
-    bits = np.packbits((minima(x * np.uint64(0x9E3779B97F4A7C15), _SKETCH_SEEDS) >> np.uint64(17) & np.uint64(1)).astype(np.uint8))
-    one, two = bits.view(np.int64).tolist()
-    return one, two
+    low = minima(x * np.uint64(0x9E3779B97F4A7C15), _SKETCH_SEEDS)
+    bits = np.packbits((np.concatenate([low >> np.uint64(17), low >> np.uint64(18)]) & np.uint64(1)).astype(np.uint8))
+    return tuple(bits.view(np.int64).tolist())
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -149,11 +150,12 @@ def same_document(a: np.ndarray, b: np.ndarray, share: float = SHARE) -> bool:
     return common_subsequence(a, b) >= need - 1e-9
 
 
-PREPARED = "id bigint, class binary, words binary, hash string, keys array<bigint>, s1 bigint, s2 bigint"
+SKETCHED = ["s1", "s2", "s3", "s4"]
+PREPARED = "id bigint, class binary, words binary, hash string, keys array<bigint>, s1 bigint, s2 bigint, s3 bigint, s4 bigint"
 
 
 def prepare(rows: DataFrame, key: str = "id", text: str = "content_text", file_hash: str = "file_hash") -> DataFrame:
-    """``id, class, words, hash, keys, s1, s2`` of every row; rows without a word have a null class, nulls in ``key`` are left out.
+    """``id, class, words, hash, keys`` and the sketch (``s1`` to ``s4``) of every row; rows without a word have a null class, nulls in ``key`` are left out.
 
     ``class`` is a 96-bit hash of the wording.
     """
@@ -161,13 +163,13 @@ def prepare(rows: DataFrame, key: str = "id", text: str = "content_text", file_h
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
-        seen: dict[bytes, tuple[list[int], int, int]] = {}
+        seen: dict[bytes, tuple] = {}
         for batch in batches:
             out = []
             for i, t, h in batch.itertuples(index=False):
                 words = normal_words(t)
                 if not words:
-                    out.append((i, None, None, h, None, None, None))
+                    out.append((i, None, None, h, None, *[None] * len(SKETCHED)))
                     continue
                 of = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=12).digest()
                 numbers = np.array([hashes[w] for w in words], np.uint32)
@@ -176,7 +178,7 @@ def prepare(rows: DataFrame, key: str = "id", text: str = "content_text", file_h
                         seen.clear()
                     seen[of] = band_keys(numbers), *sketch(numbers)
                 out.append((i, of, numbers.tobytes(), h, *seen[of]))
-            yield pd.DataFrame(out, columns=["id", "class", "words", "hash", "keys", "s1", "s2"]).astype({"s1": "Int64", "s2": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "class", "words", "hash", "keys", *SKETCHED]).astype(dict.fromkeys(SKETCHED, "Int64"))
 
     return source.mapInPandas(run, PREPARED)
 
@@ -192,7 +194,15 @@ def salted_join(few: DataFrame, many: DataFrame, on: str, written: list[str], ho
     return left.join(right, [on, "salt"]).drop("salt")
 
 
-TABLES = {"classes": "class binary, rep bigint", "members": "rep bigint, id bigint, seed boolean", "texts": "rep bigint, words binary", "keys": "key int, rep bigint, n int, s1 bigint, s2 bigint", "bare": "hash string, id bigint, seed boolean"}
+def looked_up(rows: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``hit``: whether ``by`` sets a bit that a value of ``wanted`` sets too, in a filter of fixed size. No value of ``wanted`` is missed."""
+    cell, word = F.pmod(F.xxhash64(by), F.lit(FILTER_BITS)).cast("int"), F.shiftright("c", 6).alias("w")
+    bits = wanted.select(cell.alias("c")).groupBy(word).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits"))
+    found = rows.select("*", cell.alias("c")).select("*", word).join(F.broadcast(bits), "w", "left")  # at most FILTER_BITS / 64 rows
+    return found.select(*rows.columns, F.coalesce(F.expr("bit_get(bits, c & 63) = 1"), F.lit(False)).alias("hit"))
+
+
+TABLES = {"classes": "class binary, rep bigint", "members": "rep bigint, id bigint, seed boolean", "texts": "rep bigint, words binary", "keys": "key int, rep bigint, n int, s1 bigint, s2 bigint, s3 bigint, s4 bigint", "bare": "hash string, id bigint, seed boolean"}
 
 
 class HistoryIndex:
@@ -227,20 +237,21 @@ class HistoryIndex:
         ``part`` names the column of ``wanted`` that gives the part, where it is not ``by``.
         """
         held = self.table(name, wanted.select(self.part(part or by)))
-        cell = F.pmod(F.xxhash64(by), F.lit(FILTER_BITS)).cast("int")
-        bits = wanted.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits"))
-        found = held.withColumn("c", cell).withColumn("w", F.shiftright("c", 6)).join(F.broadcast(bits), "w")  # at most FILTER_BITS / 64 rows
-        return found.where("bit_get(bits, c & 63) = 1").select(*held.columns)
+        return looked_up(held, by, wanted).where("hit").select(*held.columns)
 
     def _add(self, name: str, rows: DataFrame, by: str) -> None:
         rows.withColumn("part", self.part(by)).drop("k").repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
 
     def _texts(self, prepared: DataFrame, written: list[str]) -> DataFrame:
-        """``class, rep, fresh, words, keys, s1, s2``: every class of a batch once, with its representative and whether the index had none before."""
+        """``class, rep, fresh, words, keys`` and sketch: every class of a batch once, with its representative and whether the index had none before."""
         held = prepared.where("class IS NOT NULL")
-        one = held.groupBy("class").agg(F.min(F.struct("id", "words", "keys", "s1", "s2")).alias("t"))
-        found = one.join(self.met("classes", "class", held.select("class")), "class", "left")
-        return materialize(found.select("class", F.coalesce("rep", "t.id").alias("rep"), F.col("rep").isNull().alias("fresh"), "t.words", "t.keys", "t.s1", "t.s2"), "batch-texts", written)
+        known = self.met("classes", "class", held.select("class"))
+        again = held.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+        seen = looked_up(held, "class", again.unionByName(known.select("class")))
+        alone = seen.where("NOT hit").select("class", F.col("id").alias("rep"), F.lit(True).alias("fresh"), "words", "keys", *SKETCHED)  # its text stays where it is
+        one = seen.where("hit").groupBy("class").agg(F.min(F.struct("id", "words", "keys", *SKETCHED)).alias("t"))
+        found = one.join(known, "class", "left").select("class", F.coalesce("rep", "t.id").alias("rep"), F.col("rep").isNull().alias("fresh"), "t.words", "t.keys", *(f"t.{s}" for s in SKETCHED))
+        return materialize(alone.unionByName(found), "batch-texts", written)
 
     def append(self, prepared: DataFrame, seed: bool = False) -> None:
         """Adds prepared rows; wordings that the index holds already get no second set of keys."""
@@ -304,20 +315,21 @@ class HistoryIndex:
 
 
 def exploded(texts: DataFrame) -> DataFrame:
-    """``k, key, rep, n, s1, s2``: a row for every band key, with the number of words and the sketch."""
-    of = texts.select(F.explode("keys").alias("k"), "rep", (F.length("words") / 4).cast("int").alias("n"), "s1", "s2")
-    return of.select("k", F.shiftright("k", 32).cast("int").alias("key"), "rep", "n", "s1", "s2")
+    """``k, key, rep, n`` and sketch: a row for every band key, with the number of words."""
+    of = texts.select(F.explode("keys").alias("k"), "rep", (F.length("words") / 4).cast("int").alias("n"), *SKETCHED)
+    return of.select("k", F.shiftright("k", 32).cast("int").alias("key"), "rep", "n", *SKETCHED)
 
 
 def candidate_pairs(new: DataFrame, met: DataFrame, written: list[str]) -> DataFrame:
     """Distinct ``a < b`` of representatives that share a band key and most of their sketch, one of them new. Hot keys are salted."""
-    few = new.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-    many = met.unionByName(new).select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
+    few = new.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), *(F.col(s).alias(f"x{s[1]}") for s in SKETCHED))
+    many = met.unionByName(new).select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), *(F.col(s).alias(f"y{s[1]}") for s in SKETCHED))
     low, high = F.least("nx", "ny"), F.greatest("nx", "ny")
     alike = SHARE * high / (low + (1 - SHARE) * high)  # the least share of all words that two texts of these lengths have in common
-    agree = SKETCH - F.expr("bit_count(x1 ^ y1) + bit_count(x2 ^ y2)")
+    agree = SKETCH - F.expr("bit_count((x1 ^ y1) | (x3 ^ y3)) + bit_count((x2 ^ y2) | (x4 ^ y4))")
+    equal = (1 + 3 * alike) / 4  # the share of the hashes whose two bits then agree
     pairs = salted_join(few, many, "key", written).where("x <> y").where(low >= SHARE * high)
-    pairs = pairs.where(agree >= SKETCH / 2 * (1 + alike) - DEVIATIONS * F.sqrt(SKETCH / 4 * (1 - alike * alike)))
+    pairs = pairs.where(agree >= SKETCH * equal - DEVIATIONS * F.sqrt(SKETCH * equal * (1 - equal)))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

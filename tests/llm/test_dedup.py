@@ -141,3 +141,32 @@ def test_known_wording_meets_its_near_copies(spark):
     history = spark.createDataFrame([(1, " ".join(words), None), (2, " ".join(words[2:]), None)], "id long, content_text string, file_hash string")
     incoming = spark.createDataFrame([(10, " ".join(words), None, 1)], "id long, content_text string, file_hash string, batch_no int")
     assert {(r["id_a"], r["id_b"]) for r in dedup.check_batches(history, incoming).collect()} == {(1, 10), (2, 10)}
+
+
+def test_texts_of_one_form_are_told_apart_by_their_sketches(spark):
+    """Texts that share two in five phrases share band keys, but few of them may reach the comparison of words; near-copies all must."""
+    r = random.Random(12)
+    phrases = [[f"f{i}x{j}" for j in range(5)] for i in range(24)]
+    texts = [[w for p in r.sample(phrases, 10) for w in p] + [f"o{n}x{j}" for j in range(4)] for n in range(120)]
+    near = [[f"c{n}x{j}" if j % 6 == 5 else w for j, w in enumerate(t)] for n, t in enumerate(texts[:60])]
+    rows = spark.createDataFrame([(i, " ".join(w), None) for i, w in enumerate(texts + near)], "id long, content_text string, file_hash string")
+    keys = dedup.exploded(dedup.prepare(rows).withColumnRenamed("id", "rep")).cache()
+    one, other = keys.selectExpr("key", "rep AS a"), keys.selectExpr("key", "rep AS b")
+    meet = {(x["a"], x["b"]) for x in one.join(other, "key").where("a < b").distinct().collect()}
+    got = {(x["a"], x["b"]) for x in dedup.candidate_pairs(keys.drop("k"), keys.drop("k").limit(0), []).collect()}
+    same = {(n, 120 + n) for n in range(60)}
+    assert len(meet - same) > 2_000 and len(got - same) < 0.1 * len(meet - same)
+    assert got <= meet and len(got & same) >= 0.98 * len(same)
+
+
+def test_classes_do_not_depend_on_the_filter(spark, monkeypatch):
+    """A wording that stands once is taken as it is; where the filter lets everything through the classes are the same."""
+    history = spark.createDataFrame([(5, "one two three", None), (9, "four five six", None), (7, "four five six", None)], "id long, content_text string, file_hash string")
+    batch = spark.createDataFrame([(3, "Four five six", None), (20, "new words here", None), (21, "new words here", None), (22, "a wording alone", None), (22, "a wording alone", None), (23, "stands once", None), (24, None, "x")], history.schema)
+    got = []
+    for bits in (dedup.FILTER_BITS, 1):
+        monkeypatch.setattr(dedup, "FILTER_BITS", bits)
+        index = dedup.HistoryIndex(spark)
+        index.append(dedup.prepare(history), seed=True)
+        got.append(sorted((r["rep"], r["fresh"], len(r["words"]) // 4) for r in index._texts(dedup.prepare(batch), []).collect()))
+    assert got[0] == got[1] == [(7, False, 3), (20, True, 3), (22, True, 3), (23, True, 2)]
